@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize, tokens
+from ..functions.text import let, tokenize, tokens
 
 # Fixed values of the scoring.
 K1, B, LEAST_IDF, RRF_K = 1.2, 0.75, 1e-6, 60
@@ -61,11 +61,14 @@ def count_phrase(found: Column, phrase: list[str]) -> Column:
 
 def scan(docs: DataFrame, columns: list[str], query: list[list[str]], key: str = "relpath") -> DataFrame:
     """(key, n_tokens, f0, f1, ...) of every row, from texts: one narrow pass, no shuffle."""
-    named = docs.select(key, *[tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)])
-    arrays = [F.col(f"t{i}") for i in range(len(columns))]
-    total = reduce(lambda a, b: a + b, [F.size(a) for a in arrays]).cast("long")
-    counts = [reduce(lambda a, b: a + b, [count_phrase(a, p) for a in arrays]).alias(f"f{k}") for k, p in enumerate(query)]
-    return named.select(key, total.alias("n_tokens"), *counts)
+
+    def of(found: Column) -> Column:
+        return F.struct(F.size(found).cast("long").alias("n_tokens"), *[count_phrase(found, p).alias(f"f{k}") for k, p in enumerate(query)])
+
+    # Bound by ``let``, so that the optimizer can't put the tokenizer inside the phrase lambdas.
+    per = docs.select(key, *[let(tokens(F.col(c)), of).alias(f"x{i}") for i, c in enumerate(columns)])
+    names = ["n_tokens", *[f"f{k}" for k in range(len(query))]]
+    return per.select(key, *[reduce(lambda a, b: a + b, [F.col(f"x{i}.{n}") for i in range(len(columns))]).alias(n) for n in names])
 
 
 def postings(docs: DataFrame, columns: list[str], key: str = "relpath") -> DataFrame:

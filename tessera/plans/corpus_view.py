@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..functions.text import collapse_blanks
+from ..functions.text import collapse_blanks, let
 from ..schema import MAX_TEXT
 
 #: Extension of a document by its id modulo their number; empty is none.
@@ -20,12 +20,22 @@ def files_and_content(docs: DataFrame, globs: list[str] = GLOBS, pattern: str |
     number = F.col("doc_id").cast("string")
     ext = F.get(F.array(*map(F.lit, EXTENSIONS)), F.pmod("doc_id", F.lit(len(EXTENSIONS))).cast("int"))
     relpath = F.concat("source", F.lit("/"), (2015 + F.pmod("doc_id", F.lit(12))).cast("string"), F.lit("/"), "lang", F.lit("-"), F.lpad(number, F.greatest(F.length(number), F.lit(6)), F.lit("0")), F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)))
-    base = docs.select(relpath.alias("relpath"), "text", F.octet_length("text").cast("long").alias("size_bytes"), (1_700_000_000 + F.col("doc_id")).alias("mtime"))
-    base = base.withColumn("filename", paths.filename(F.col("relpath"))).withColumn("ext", paths.extension(F.col("filename")))
-    early = paths.early_status(F.col("relpath"), F.col("ext"), F.col("size_bytes"), globs)
-    body = collapse_blanks(F.col("text"))
-    late = F.when(F.octet_length(body) > MAX_TEXT, "too_big").when((F.col("ext") == "pdf") & (body == ""), "empty_pdf").otherwise("extracted")
-    base = base.withColumn("content_status", F.coalesce(early, late))
+    size = F.octet_length("text").cast("long")
+
+    # Each level is bound by ``let``: pushing the filter on states down would otherwise
+    # put copies of the path expression into every place where it is used.
+    def named(path):
+        return let(paths.filename(path), lambda name: let(paths.extension(name), lambda e: state(path, name, e)))
+
+    def state(path, name, e):
+        return let(collapse_blanks(F.col("text")), lambda body: let(paths.early_status(path, e, size, globs), lambda early: result(path, name, e, body, early)))
+
+    def result(path, name, e, body, early):
+        late = F.when(F.octet_length(body) > MAX_TEXT, "too_big").when((e == "pdf") & (body == ""), "empty_pdf").otherwise("extracted")
+        return F.struct(path.alias("relpath"), name.alias("filename"), e.alias("ext"), body.alias("body"), early.alias("early"), F.coalesce(early, late).alias("content_status"))
+
+    base = docs.select(let(relpath, named).alias("d"), "text", size.alias("size_bytes"), (1_700_000_000 + F.col("doc_id")).alias("mtime")).select("d.*", "text", "size_bytes", "mtime")
+    body, early = F.col("body"), F.col("early")
     full = (F.col("content_status") == "extracted") & (body != "")
     files = base.select(
         "relpath", F.col("relpath").alias("relpath_nfc"), "filename", F.col("filename").alias("filename_nfc"), paths.area(F.col("relpath")).alias("area"), "ext", "size_bytes", "mtime",
