@@ -136,7 +136,7 @@ class SubstringDedup:
         def run(batches):
             for batch in batches:
                 text, block = batch.column(0), batch.column(1).to_numpy()
-                for i, j in K.slices(text, 8 << 20):
+                for i, j in K.slices(text):
                     rows: list = []
                     x = Stretches(text[i:j], window, gram)
                     rec = np.zeros(len(x.whole), _OPEN)
@@ -178,7 +178,7 @@ class SubstringDedup:
                 block = docs.column("block")[0].as_py()
                 wanted = np.unique(np.frombuffer(_joined(told), "<u8"))
                 text = docs.column("text").combine_chunks()
-                for i, j in K.slices(text, 8 << 20):
+                for i, j in K.slices(text):
                     x = Stretches(text[i:j], window, gram)
                     h = x.hashes(x.windows(np.flatnonzero(np.isin(x.whole, wanted))))
                     rec = np.zeros(len(h), _OPEN)
@@ -197,7 +197,7 @@ class SubstringDedup:
             hashes = [np.unique(np.frombuffer(b"".join(d for d, s in zip(told.column("data").to_pylist(), told.column("side").to_pylist(), strict=True) if s == k), "<u8")) for k in (1, 3)]
             ids, n_words, n_removed, kept, spans = [], [], [], [], []
             text = docs.column("text").combine_chunks() if docs.num_rows else pa.array([], pa.string())
-            for i, j in K.slices(text, 8 << 20):
+            for i, j in K.slices(text):
                 x = Stretches(text[i:j], window, gram)
                 gone = np.zeros(x.words + 1, np.int32)
                 if len(x.whole):
@@ -288,7 +288,7 @@ def _settle(rows: list, rec: np.ndarray, shards: int, windows: bool = False) ->
     _send(rows, 0, (K.mix(rec["a"]) % _U(shards)).astype(np.int64), rec)
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 8, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 8, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, removed, *keep): every word in a repeated window goes.
 
     A window is repeated if its words also start anywhere else.  ``removed``
