@@ -1,3 +1,133 @@
-"""SQL for the registered queries, where DuckDB can express them."""
+"""DuckDB SQL for the registered queries that SQL can express.
 
-ORACLES: dict[str, str] = {}
+Packing (a linear program), language identification (a trained network), N-best
+segmentation (a search over a model file) and the pipeline, which starts with
+language identification, have none; tests/llm holds their brute-force versions.
+"""
+
+from __future__ import annotations
+
+from . import chat, line_dedup, quality, url_filter
+from .common import SPACE, WORD
+
+_WORDS = f"regexp_extract_all(coalesce(text, ''), '{WORD}')"
+
+_EXACT = rf"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '{SPACE}+', '', 'g')) AS h FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
+  doc_id = first_value(doc_id) OVER w AS kept, h AS text_sha256
+FROM t WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)"""
+
+_SUBSTRING = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 33), lambda i: array_to_string(w[i : i + 34], ' '))) AS x, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY x) AS n FROM s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM g WHERE n > 1),
+gl AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS t FROM each e LEFT JOIN gone ON gone.doc_id = e.doc_id AND gone.i = e.i WHERE gone.i IS NULL GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN gl USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+_NEAR = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", f"translate(coalesce(text, ''), '{url_filter._UPPER}', '{url_filter._LOWER}')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, x FROM (
+  SELECT doc_id, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) AS x FROM w WHERE len(w) >= 4
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 3)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(r.m, w.doc_id)) AS component_id, least(w.doc_id, coalesce(r.m, w.doc_id)) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = w.doc_id"""
+
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
+
+
+def _judged(table: str, key: str) -> str:
+    """(key, rule, verdict) by the longest fitting rule."""
+    return f"""SELECT {key}, max_by(rh || rp, length(rh || rp)) AS rule, max_by(rv, length(rh || rp)) AS verdict
+  FROM {table}, (VALUES {_RULES}) r(rv, rh, rp) WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY {key}"""
+
+
+def _parts(url: str) -> str:
+    rest = f"CASE WHEN position('://' IN {url}) > 0 THEN substr({url}, position('://' IN {url}) + 3) ELSE '' END"
+    return f"""coalesce(translate(regexp_extract({rest}, '^([^/?#]*)', 1), '{url_filter._UPPER}', '{url_filter._LOWER}'), '') AS host,
+  coalesce(regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1), '') AS path, regexp_extract({rest}, '^[^/?#]*([^#]*)', 1) AS target"""
+
+
+_URL = f"""
+WITH RECURSIVE u AS (SELECT page_id, url, html, {_parts("url")} FROM pages),
+tag AS (SELECT url, host, target, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS t FROM u WHERE position('://' IN url) > 0),
+far AS (SELECT host || target AS a, CASE WHEN regexp_matches(t, '(?is)^<link.*\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(t, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
+  WHEN regexp_matches(t, '(?is)^<meta.*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(t, '(?is)\\bcontent\\s*=\\s*["'']?\\s*\\d*\\s*[;,]\\s*url\\s*=\\s*["'']?([^"''\\s>]+)', 1) END AS to_url FROM tag),
+link AS (SELECT DISTINCT a, host || target AS b FROM (SELECT a, {_parts("to_url")} FROM far WHERE regexp_matches(to_url, '(?i)^https?://'))),
+ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a),
+node AS (SELECT DISTINCT b AS node, regexp_extract(b, '^([^/?#]*)', 1) AS host, regexp_extract(b, '^[^/?#]*([^?#]*)', 1) AS path FROM reach),
+bad AS (SELECT DISTINCT a FROM reach WHERE b IN (SELECT node FROM ({_judged("node", "node")}) WHERE verdict = 'block')),
+own AS ({_judged("u", "page_id")})
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad.a IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN own USING (page_id) LEFT JOIN bad ON bad.a = host || target"""
+
+
+def _escaped(text: str) -> str:
+    out = f"replace({text}, '\\', '\\\\')"
+    for c in chat.CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+_CHAT = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(chat._OPEN) + len(chat._END) + 2} + length({_escaped("role")}) + length({_escaped("text")})) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+_LINES = f"""
+WITH l AS (SELECT doc_id, md5(coalesce(text, '')) AS mark, text, string_split(text, chr(10)) AS l FROM documents),
+e AS (SELECT doc_id, mark, unnest(l) AS line, unnest(range(len(l))) AS i, len(l) AS n FROM l WHERE text IS NOT NULL),
+h AS (SELECT *, CAST('0x' || substr(md5(line), 1, {line_dedup._DIGITS}) AS BIGINT) AS h FROM e),
+b AS (SELECT *, i = n - 1 OR (h + 31 * coalesce(lag(h, 1) OVER d, 0) + 961 * coalesce(lag(h, 2) OVER d, 0)) % 1000003 % 4 = 0 AS cut FROM h WINDOW d AS (PARTITION BY doc_id, mark ORDER BY i)),
+k AS (SELECT *, coalesce(sum(CAST(cut AS INTEGER)) OVER (PARTITION BY doc_id, mark ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM b),
+c AS (SELECT doc_id, mark, no, count(*) AS m, string_agg(line, chr(10) ORDER BY i) AS body FROM k GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, mark, no) AS place FROM c WHERE m > 1 AND regexp_matches(body, '{WORD}')),
+g AS (SELECT doc_id, mark, no, m FROM r WHERE place > 1),
+t AS (SELECT c.doc_id, c.mark, string_agg(body, chr(10) ORDER BY c.no) AS kept FROM c ANTI JOIN g USING (doc_id, mark, no) GROUP BY ALL),
+s AS (SELECT doc_id, mark, sum(m) AS m, string_agg(CAST(CAST(no AS BIGINT) AS VARCHAR), ',' ORDER BY no) AS gone FROM g GROUP BY ALL)
+SELECT l.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(s.m, 0) AS BIGINT) AS n_removed, coalesce(s.gone, '') AS removed_chunks, sha256(coalesce(kept, '')) AS kept_sha256
+FROM l LEFT JOIN s USING (doc_id, mark) LEFT JOIN t USING (doc_id, mark)"""
+
+_COUNTS = [*[f"len(regexp_extract_all(text, '{p}'))" for k, p in quality.CLASSES.items() if k != "blank"]]
+_LIST = "[" + ", ".join(f"'{w}'" for w in quality.WORD_LIST) + "]"
+_QUALITY = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM documents),
+t AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS x, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM t),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE n > 1) GROUP BY doc_id),
+m AS (SELECT doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) AS n_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+  [{", ".join(_COUNTS)}] AS k, list_transform({_LIST}, lambda c: len(list_filter(w, lambda x: x = c))) AS c FROM d LEFT JOIN r USING (doc_id)),
+h AS (SELECT *, list_concat(k, [n_chars - word_chars, word_chars - list_sum(k)]) AS ch, list_concat(c, [n_words - list_sum(c)]) AS wh FROM m),
+v AS (SELECT doc_id, lang, 'c' AS kind, unnest(ch) AS x, unnest(range(len(ch))) AS b FROM h UNION ALL SELECT doc_id, lang, 'w', unnest(wh), unnest(range(len(wh))) FROM h),
+q AS (SELECT lang, kind, b, CAST(sum(x) AS DOUBLE) / sum(sum(x)) OVER (PARTITION BY lang, kind) AS q FROM v WHERE lang IN ('de', 'en', 'es', 'fr') GROUP BY lang, kind, b),
+p AS (SELECT doc_id, kind, b, CAST(x AS DOUBLE) / nullif(sum(x) OVER (PARTITION BY doc_id, kind), 0) AS p FROM v),
+j AS (SELECT doc_id, q.lang, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS x FROM p JOIN q USING (kind, b) WHERE p IS NOT NULL GROUP BY ALL),
+z AS (SELECT doc_id, min(x) AS distance FROM (SELECT doc_id, lang, max(x) AS x FROM j GROUP BY ALL) GROUP BY doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM h LEFT JOIN z USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND (n_words < 100 OR list_sum(c) = 0 OR distance IS NULL OR distance <= 0.3) AS kept FROM f"""
+
+ORACLES: dict[str, str] = {
+    "op3_exact_dedup": _EXACT,
+    "op4_substring_dedup": _SUBSTRING,
+    "op5_near_dedup": _NEAR,
+    "op6_url_filter": _URL,
+    "op7_chat": _CHAT,
+    "op8_line_dedup": _LINES,
+    "op9_quality": _QUALITY,
+}
