@@ -86,14 +86,14 @@ def collapse_blanks(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _BLANK, " "))
 
 
-@F.pandas_udf("string")
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+def nfc(text: Column) -> Column:
+    """NFC form; ASCII, which is its own, is taken as it is."""
 
+    @F.pandas_udf("string")
+    def normal(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
-def nfc(text: Column) -> Column:
-    """NFC form; ASCII, which is its own, does not leave the JVM's columns changed."""
-    return F.when(F.length(text) == F.octet_length(text), text).otherwise(_nfc(text))
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(normal(text))
 
 
 # Named character references of HTML that the native extractor reads.

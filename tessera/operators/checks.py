@@ -16,8 +16,8 @@ def reuse(manifest: DataFrame, files: DataFrame, content: DataFrame) -> DataFram
     lack a content row only if it had no text; else the cache is ``broken``.
     """
     old = files.where(F.col("content_status").isin(REUSABLE) & F.col("source_hash").isNotNull()).join(content.select("relpath", "text", "extractor", "source_sig"), "relpath", "left")
-    broken = (F.col("source_sig") != F.col("source_hash")) | ((F.col("content_present") == 1) != F.col("source_sig").isNotNull())
-    old = old.select("relpath", "source_hash", F.col("content_status").alias("old_status"), "text", "extractor", F.coalesce(broken, F.lit(True)).alias("broken"))
+    broken = F.coalesce(F.col("source_sig") != F.col("source_hash"), F.lit(False)) | ((F.col("content_present") == 1) != F.col("source_sig").isNotNull())
+    old = old.select("relpath", "source_hash", F.col("content_status").alias("old_status"), "text", "extractor", broken.alias("broken"))
     return manifest.join(old, ["relpath", "source_hash"], "left").withColumn("hit", F.col("old_status").isNotNull())
 
 

@@ -122,7 +122,7 @@ def run_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame], second
     timer.start()
     out, size = [], 2
     try:
-        for row in df.limit(MAX_ROWS + 1).toLocalIterator():
+        for row in df.limit(MAX_ROWS + 1).collect():
             if len(out) == MAX_ROWS:
                 raise SqlError(f"over {MAX_ROWS} rows")
             item = {n: json_value(v) for n, v in zip(names, row, strict=True)}
