@@ -17,8 +17,8 @@ are packed separately; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,38 +26,112 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .common import durable, partitions
 
-_CACHE_WORDS = 400_000
-_loaded: dict[str, tuple] = {}
+_CACHE_WORDS = 1_000_000
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_loaded: dict[str, WordEncoder] = {}
 
 
-def _word_ids(path: str):
-    """The tokenizer and its cache from a word (no blank inside) to packed ids; one for each worker."""
-    if path not in _loaded:
-        from tokenizers import Tokenizer
-
-        _loaded[path] = Tokenizer.from_file(path), {"": b""}
-    return _loaded[path]
+class WordEncoder:
+    """Token ids of texts, by encoding each distinct word once.
 
+    The tokenizer must lower-case, drop white space before it looks for pieces,
+    and take runs of letters apart from what follows, as ``word_bpe_49k.json``
+    does: then the ids of a text are those of its parts in turn, where a part
+    ends at a blank, or after an ASCII letter that another ASCII character
+    follows (only at blanks where a text may hold added tokens, which all begin
+    with ``<|``).  Parts are told apart by 64-bit hashes of their bytes and lengths.
+    """
 
-def encoded(texts: list[str], path: str) -> Iterator[bytes]:
-    """Little-endian unsigned 32-bit ids of each text.
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-    The tokenizer must drop white space before it looks for pieces, as
-    ``word_bpe_49k.json`` does: then the ids of a text are those of its
-    blank-separated words in turn, and each distinct word is encoded once.
-    """
-    tokenizer, cache = _word_ids(path)
-    for i in range(0, len(texts), 256):
-        split = [t.replace("\n", " ").split(" ") for t in texts[i : i + 256]]
-        if len(cache) > _CACHE_WORDS:
-            cache.clear()
-        new = list({w for ws in split for w in ws if w not in cache})
-        for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-        for ws in split:
-            yield b"".join(map(cache.__getitem__, ws))
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.closes[i] = token.endswith("</w>")
+        self.fold = all(t.content.startswith("<|") for t in self.tokenizer.get_added_tokens_decoder().values())
+        self._empty()
+
+    def _empty(self) -> None:
+        self.row: dict[int, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _add(self, keys: list[int], parts: list[str]) -> None:
+        """Encode new parts; those of letters alone in one call, cut after each closing piece."""
+        found: list[np.ndarray | None] = [None] * len(parts)
+        plain = [k for k, w in enumerate(parts) if w.isalpha()]
+        ids = np.array(self.tokenizer.encode(" ".join(parts[k] for k in plain), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(self.closes[ids]) + 1
+        if len(cuts) == len(plain):
+            for k, a, b in zip(plain, np.append(0, cuts)[:-1].tolist(), cuts.tolist(), strict=True):
+                found[k] = ids[a:b]
+        rest = [k for k, x in enumerate(found) if x is None]
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([parts[k] for k in rest], add_special_tokens=False), strict=True):
+            found[k] = np.array(e.ids, "<u4")
+        sizes = np.array([len(x) for x in found])
+        n, total = len(self.row), int(sizes.sum())
+        while len(self.flat) < self.used + total:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.start) < n + len(parts):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + total] = np.concatenate(found)
+        self.size[n : n + len(parts)] = sizes
+        self.start[n : n + len(parts)] = self.used + np.cumsum(sizes) - sizes
+        self.used += total
+        self.row.update(zip(keys, range(n, n + len(parts)), strict=True))
+
+    def encode(self, column: pa.Array):
+        """(ids of all rows, number of ids before each row's end with 0 first) for each slice of rows."""
+        for i, j in K.slices(column):
+            data, offsets, _ = K.parts(column[i:j])
+            at, buf = offsets - offsets[0], data[offsets[0] : offsets[-1]]
+            # "<|" may open an added token, which is matched before anything else.
+            fold = self.fold and b"<|" not in buf.tobytes()
+            start, end = self._bounds(buf, at, fold)
+            if len(self.row) > _CACHE_WORDS:
+                self._empty()
+            keys, first, which = np.unique(K.span_hash(K.prefix((K._LOWER if fold else K._TABLE)[buf], K._BYTE_BASE), start, end, K._BYTE_BASE), return_index=True, return_inverse=True)
+            keys = keys.tolist()
+            new = [k for k, x in enumerate(keys) if x not in self.row]
+            if new:
+                raw = buf.tobytes()
+                parts = [raw[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
+                self._add([keys[k] for k in new], [(p.translate(_ASCII_LOWER) if fold else p).decode() for p in parts])
+            row = np.fromiter(map(self.row.__getitem__, keys), np.int64, len(keys))[which] if keys else np.zeros(0, np.int64)
+            size = self.size[row]
+            total = np.append(0, np.cumsum(size))
+            ids = self.flat[np.repeat(self.start[row] - total[:-1], size) + np.arange(total[-1])]
+            yield ids, total[np.searchsorted(start, at)]
+
+    @staticmethod
+    def _bounds(buf: np.ndarray, at: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
+        ink = ~K._BLANK[buf]
+        first = ink.copy()
+        letter = _LETTER[buf]
+        first[1:] &= ~ink[:-1] | (letter[:-1] & ~letter[1:] & (buf[1:] < 128)) if within else ~ink[:-1]
+        edge = at[(at > 0) & (at < len(buf))]
+        first[edge] = ink[edge]
+        start = np.flatnonzero(first)
+        last = np.zeros(len(buf) + 1, bool)
+        last[1:] = ink
+        last[1:-1] &= ~ink[1:] | first[1:]
+        last[edge] = ink[edge - 1]
+        return start, np.flatnonzero(last)
+
+
+def encoder(path: str) -> WordEncoder:
+    """One for each worker."""
+    if path not in _loaded:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        _loaded[path] = WordEncoder(path)
+    return _loaded[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -67,24 +141,29 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_
     """
 
     def run(batches):
-        tail = np.array([end_id], "<u4").tobytes()
-        step = 4 * capacity
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = []
-            for i, data in zip(ids, encoded([t or "" for t in texts], tokenizer_path), strict=True):
-                data += tail
-                for k in range(0, len(data), step):
-                    part = data[k : k + step]
-                    rows.append((i, k // step, k // 4, len(part) // 4, len(data) // 4, zlib.crc32(part), part))
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                arrays = [pa.array(c, t) for c, t in zip(cols, [batch.schema.types[0], *[pa.int64()] * 5], strict=False)]
+            i = 0
+            for ids, ends in encoder(tokenizer_path).encode(batch.column(1)):
+                n = len(ends) - 1
+                size = np.diff(ends) + 1
+                flat = np.full(int(size.sum()), end_id, "<u4")
+                keep = np.ones(len(flat), bool)
+                keep[np.cumsum(size) - 1] = False
+                flat[keep] = ids
+                many = -(-size // capacity)
+                doc = np.repeat(np.arange(n), many)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                length = np.minimum(capacity, size[doc] - piece * capacity)
+                begin = (np.cumsum(size) - size)[doc] + piece * capacity
+                raw = flat.tobytes()
+                parts = [raw[4 * a : 4 * (a + k)] for a, k in zip(begin.tolist(), length.tolist(), strict=True)]
+                arrays = [batch.column(0)[i : i + n].take(pa.array(doc)), *map(pa.array, (piece, piece * capacity, length, size[doc])), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "doc_tokens", "ids_crc32"]
                 if with_ids:
-                    arrays.append(pa.array(cols[6], pa.binary()))
+                    arrays.append(pa.array(parts, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
+                i += n
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece long, start long, length long, doc_tokens long, ids_crc32 long" + ", ids binary" * with_ids
