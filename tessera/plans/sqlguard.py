@@ -111,32 +111,31 @@ def run_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame], second
     for i, (_, kind) in enumerate(df.dtypes):
         if kind in ("string", "binary"):
             df = df.toDF(*[f"c{k}" for k in range(len(names))]).withColumn(f"c{i}", F.when(F.octet_length(f"c{i}") > MAX_VALUE, F.raise_error(F.lit("a value exceeds the size budget")).cast(kind)).otherwise(F.col(f"c{i}")))
-    group, late = f"sql-{uuid.uuid4().hex}", threading.Event()
-
-    def stop():
-        late.set()
+    group, got = f"sql-{uuid.uuid4().hex}", []
+
+    def fetch() -> None:
+        spark.sparkContext.setJobGroup(group, "bounded SQL", interruptOnCancel=True)
+        try:
+            got.append(df.limit(MAX_ROWS + 1).collect())
+        except Exception as e:
+            got.append(SqlError(str(e).splitlines()[0]))
+
+    # The caller waits no longer than the budget; tasks end at the next point where they can be stopped.
+    worker = threading.Thread(target=fetch, daemon=True)
+    worker.start()
+    worker.join(seconds)
+    if worker.is_alive():
         spark.sparkContext.cancelJobGroup(group)
-
-    timer = threading.Timer(seconds, stop)
-    spark.sparkContext.setJobGroup(group, "bounded SQL", interruptOnCancel=True)
-    timer.start()
+        raise SqlError(f"the statement exceeded the work budget of {seconds} s")
+    if isinstance(got[0], SqlError):
+        raise got[0]
+    if len(got[0]) > MAX_ROWS:
+        raise SqlError(f"over {MAX_ROWS} rows")
     out, size = [], 2
-    try:
-        for row in df.limit(MAX_ROWS + 1).collect():
-            if len(out) == MAX_ROWS:
-                raise SqlError(f"over {MAX_ROWS} rows")
-            item = {n: json_value(v) for n, v in zip(names, row, strict=True)}
-            size += len(json.dumps(item, ensure_ascii=False, separators=(",", ":")).encode()) + bool(out)
-            if size > MAX_OUTPUT:
-                raise SqlError("the output exceeds its size budget")
-            out.append(item)
-    except SqlError:
-        raise
-    except Exception as e:
-        if late.is_set():
-            raise SqlError(f"the statement exceeded the work budget of {seconds} s") from None
-        raise SqlError(str(e).splitlines()[0]) from None
-    finally:
-        timer.cancel()
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for row in got[0]:
+        item = {n: json_value(v) for n, v in zip(names, row, strict=True)}
+        size += len(json.dumps(item, ensure_ascii=False, separators=(",", ":")).encode()) + bool(out)
+        if size > MAX_OUTPUT:
+            raise SqlError("the output exceeds its size budget")
+        out.append(item)
     return out
