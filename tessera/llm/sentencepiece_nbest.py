@@ -6,8 +6,9 @@ forward Viterbi pass gives every position the best score from the start; a
 backward A* from the end uses it as its heuristic, which is exact, so paths leave
 the queue in order of score and the first N are the N best.
 
-No piece has a character before a word mark (U+2581) or beside a line feed, so
-the lattice falls apart there: each distinct unit is searched once and kept, and
+No piece has a character before a word mark (U+2581) or beside a line feed, nor a
+full stop or the like after a letter (the model file is searched for all three),
+so the lattice falls apart there: each distinct unit is searched once and kept, and
 the N best of a text are the N least sums of its units' losses, found by another
 best-first search.  For models that do join over these places the units are whole
 texts.
@@ -28,14 +29,17 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
+
 _MARK = "\u2581"
-_CACHE_UNITS = 200_000
+_NEW_UNITS, _OLD_UNITS = 80_000, 160_000
 _loaded: dict[str, Pieces] = {}
 
 
@@ -58,61 +62,115 @@ class Pieces:
         self.longest = max(map(len, self.piece))
         self.gap = min(s for _, s in self.piece.values()) - 10
         joins = any(re.search(f"[^{_MARK}]{_MARK}", p) or ("\n" in p and p != "\n") for p in self.piece)
-        self.unit = re.compile("(?s).+" if joins else f"\n|{_MARK}*[^{_MARK}\n]+|{_MARK}+")
-        self.cache: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
-
-    def edges(self, s: str, end: int):
-        """(start, ids, score) of the edges that end at ``end``."""
-        for start in range(max(0, end - self.longest), end):
-            if found := self.piece.get(s[start:end]):
-                yield start, (found[0],), found[1]
-        if s[end - 1] not in self.piece:
-            data = s[end - 1].encode()
-            ids = tuple(self.byte.get(b, self.unknown) for b in data) if self.byte else (self.unknown,)
-            yield end - 1, ids, self.gap * len(ids)
-
-    def search(self, s: str, n: int) -> list[tuple[float, bytes]]:
-        """The n best (score, packed ids) of one unit, best first."""
-        best, into = [0.0] + [-math.inf] * len(s), [[] for _ in range(len(s) + 1)]
-        for end in range(1, len(s) + 1):
-            into[end] = list(self.edges(s, end))
-            best[end] = max((best[a] + score for a, _, score in into[end]), default=-math.inf)
-        queue, out, serial = [(-best[-1], 0, len(s), 0.0, None)], [], 0
-        while queue and len(out) < n:
-            _, _, at, done, tail = heapq.heappop(queue)
-            if not at:
-                ids: list[int] = []
-                while tail:
-                    ids += tail[0]
-                    tail = tail[1]
-                out.append((done, np.array(ids, "<u4").tobytes()))
-                continue
-            for start, ids, score in into[at]:
-                serial += 1
-                heapq.heappush(queue, (-(best[start] + score + done), serial, start, done + score, (ids, tail)))
-        return out
-
-    def of_unit(self, s: str, n: int) -> list[tuple[float, bytes]]:
-        found = self.cache.get((s, n))
-        if found is None:
-            if len(self.cache) > _CACHE_UNITS:
-                self.cache.clear()
-            found = self.cache[s, n] = self.search(s, n)
-        return found
+        letter = re.compile(r"[^\W\d_]")
+        inside = {p[k] for p in self.piece for k in range(1, len(p)) if letter.match(p[k - 1])}
+        ends = "".join(re.escape(c) for c in "!%&*+,.:;?|" if c not in inside)
+        stem = f"{_MARK}*{letter.pattern}+(?=[{ends}])|" if ends else ""
+        self.unit = re.compile("(?s).+" if joins else f"\n|{stem}{_MARK}*[^{_MARK}\n]+|{_MARK}+")
+        # A tree by characters; under "" what the piece that ends there has.
+        self.root: dict = {}
+        for p, (i, score) in self.piece.items():
+            node = self.root
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = ((i,), score)
+        # Units seen once, and those seen again, which rare ones can't displace.
+        self.new: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+        self.cached_for = 0
+
+    def lattice(self, s: str) -> tuple[list[list[tuple[int, tuple[int, ...], float]]], list[float]]:
+        """For each end, the (start, ids, score) of the edges that end there, and the best score of a path from 0 to there."""
+        n, root, none = len(s), self.root, -math.inf
+        into: list[list] = [[] for _ in range(n + 1)]
+        best = [0.0] + [none] * n
+        for start in range(n):
+            here, node, end = best[start], root, start
+            for c in s[start:]:
+                if (node := node.get(c)) is None:
+                    break
+                end += 1
+                if (found := node.get("")) is not None:
+                    into[end].append((start, *found))
+                    if here + found[1] > best[end]:
+                        best[end] = here + found[1]
+            if s[start] not in self.piece:
+                ids = tuple(self.byte.get(b, self.unknown) for b in s[start].encode()) if self.byte else (self.unknown,)
+                score = self.gap * len(ids)
+                into[start + 1].append((start, ids, score))
+                best[start + 1] = max(best[start + 1], here + score)
+        return into, best
+
+    def search(self, s: str, n: int) -> tuple:
+        """The best score and packed ids of one unit, then loss and packed ids of each of the next n - 1.
+
+        Forward Viterbi gives each position its best score; against that, every
+        edge has a loss, and a path's loss is the sum of its edges'.  The queue
+        holds partial paths from the end by loss.  A path taken from it goes on
+        along edges without loss; its other edges, at most n at a position, open
+        new entries unless n better ones are known.
+        """
+        into, best = self.lattice(s)
+        ranked: list[list | None] = [None] * (len(s) + 1)
+        queue, out, serial, worst = [(0.0, 0, len(s), None)], [], 0, []
+        while queue and len(out) < 2 * n:
+            loss, _, at, tail = heapq.heappop(queue)
+            while at:
+                steps = ranked[at]
+                if steps is None:
+                    top = best[at]
+                    steps = ranked[at] = sorted([(top - best[start] - score, k) for k, (start, _, score) in enumerate(into[at])])[:n]
+                for extra, k in steps[1:]:
+                    total = loss + extra
+                    if len(worst) < n:
+                        heapq.heappush(worst, -total)
+                    elif total < -worst[0]:
+                        heapq.heapreplace(worst, -total)
+                    else:
+                        break
+                    serial += 1
+                    start, ids, _ = into[at][k]
+                    heapq.heappush(queue, (total, serial, start, (ids, tail)))
+                start, ids, _ = into[at][steps[0][1]]
+                at, tail = start, (ids, tail)
+            ids = []
+            while tail:
+                ids += tail[0]
+                tail = tail[1]
+            out += (loss, struct.pack(f"<{len(ids)}I", *ids))
+        # One flat tuple, which the garbage collector needn't visit.
+        out[0] = best[-1]
+        return tuple(out)
 
     def nbest(self, text: str, n: int) -> list[tuple[float, bytes]]:
         """The n best (score, packed ids) of a whole text."""
-        units = [self.of_unit(u, n) for u in self.unit.findall(_MARK + text.replace(" ", _MARK))] if text else []
-        top = math.fsum(u[0][0] for u in units)
-        out = [(top, b"".join([u[0][1] for u in units]))]
+        names = self.unit.findall(_MARK + text.replace(" ", _MARK)) if text else []
+        old, new, units = self.old, self.new, []
+        if self.cached_for != n or len(old) > _OLD_UNITS:
+            old.clear()
+        if self.cached_for != n or len(new) > _NEW_UNITS:
+            new.clear()
+        self.cached_for = n
+        for u in names:
+            found = old.get(u)
+            if found is None:
+                found = new.pop(u, None)
+                if found is None:
+                    found = new[u] = self.search(u, n)
+                else:
+                    old[u] = found
+            units.append(found)
+        top = math.fsum([u[0] for u in units])
+        ids = [u[1] for u in units]
+        out = [(top, b"".join(ids))]
         if n > 1 and units:
             # Only the n - 1 units with the least first losses can differ in the n best.
-            near = heapq.nsmallest(n - 1, ((u[0][0] - u[1][0], k) for k, u in enumerate(units) if len(u) > 1))
-            for loss, choice in _least_sums([(k, [units[k][0][0] - s for s, _ in units[k]]) for _, k in near], n)[1:]:
-                pieces = [u[0][1] for u in units]
+            near = heapq.nsmallest(n - 1, [(u[2], k) for k, u in enumerate(units) if len(u) > 2])
+            for loss, choice in _least_sums([(k, [0.0, *units[k][2::2]]) for _, k in near], n)[1:]:
+                other = list(ids)
                 for k, c in choice:
-                    pieces[k] = units[k][c][1]
-                out.append((top - loss, b"".join(pieces)))
+                    other[k] = units[k][2 * c + 1]
+                out.append((top - loss, b"".join(other)))
         return out
 
     def decode(self, ids) -> str:
@@ -162,11 +220,11 @@ def encode(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id",
     def run(batches):
         model = load(model_path)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(ids), 256):
-                rows = [(d, k, score, data) for d, t in zip(ids[i : i + 256], texts[i : i + 256], strict=True) for k, (score, data) in enumerate(model.nbest(t or "", n), 1)]
+            for a, b in K.slices(batch.column(1), 1 << 19):
+                part = batch.slice(a, b - a)
+                rows = [(k, place, score, data) for k, t in enumerate(part.column(1).to_pylist()) for place, (score, data) in enumerate(model.nbest(t or "", n), 1)]
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [batch.schema.types[0], pa.int32(), pa.float64(), pa.binary()], strict=True)], ["doc_id", "place", "score", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(cols[0])), *(pa.array(c, t) for c, t in zip(cols[1:], [pa.int32(), pa.float64(), pa.binary()], strict=True))], ["doc_id", "place", "score", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, place int, score double, ids binary")
@@ -178,6 +236,8 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     def run(batches):
         model = load(model_path)
         for batch in batches:
-            yield batch.append_column("text", pa.array([model.decode_packed(x) for x in batch.column("ids").to_pylist()], pa.string()))
+            for a, b in K.slices(batch.column(batch.schema.get_field_index("ids"))):
+                part = batch.slice(a, b - a)
+                yield part.append_column("text", pa.array([model.decode_packed(x) for x in part.column("ids").to_pylist()], pa.string()))
 
     return encoded.mapInArrow(run, encoded.schema.simpleString()[7:-1].replace(":", " ") + ", text string")

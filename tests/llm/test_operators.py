@@ -351,13 +351,13 @@ def brute(model, s):
     """All segmentations with their scores."""
     if not s:
         return [(0.0, ())]
-    return [(score + rest, (*ids, *more)) for n in range(1, min(len(s), model.longest) + 1) for a, ids, score in model.edges(s[:n], n) if a == 0 for rest, more in brute(model, s[n:])]
+    return [(score + rest, (*ids, *more)) for n in range(1, min(len(s), model.longest) + 1) for a, ids, score in model.lattice(s[:n])[0][n] if a == 0 for rest, more in brute(model, s[n:])]
 
 
 def test_nbest(spark, empty):
     path = vocabulary("piece_bpe_32k.model")
     model = sentencepiece_nbest.load(path)
-    for text in ("the cat", "a", "aa  b", "x\ny", "é☃", "inthe"):
+    for text in ("the cat", "a", "aa  b", "x\ny", "é☃", "inthe", "the.cat", "a.,b", "é!"):
         want = sorted((-s, i) for s, i in brute(model, "▁" + text.replace(" ", "▁")))[:6]
         got = model.nbest(text, 6)
         assert [s for s, _ in got] == pytest.approx([-s for s, _ in want])
