@@ -3,19 +3,22 @@
 Each document's distinct word shingles get a MinHash signature.  A tree of the
 forest sorts the documents by a few signature values of its own, so documents
 that agree on a long prefix stand side by side.  Neighbours that share the base
-prefix become candidates; within a dense region (a prefix with many documents)
-the sort goes deeper, and neighbours are those with the longest common prefixes.
+prefix become candidates.
 
 Documents with equal sets are one class first.  Then, in two rounds: every class
 links to its best neighbour in each tree, the links are confirmed on full sets,
-and components found; next, all sorted neighbours from different components are
-candidates.  So a group of any size costs about one link per member and tree,
-never all its pairs, and the second round spends its effort where something may
-still be joined.
+and components found; next, all pairs of a region (the rows of a tree with one
+base prefix) from different components are compared.  A region of at most
+``_FAR`` + 1 rows gives them as sorted neighbours.  A larger one, if it holds more
+than one component, is dealt into tiles of about ``_TILE`` rows or less, and each pair of
+tiles is compared completely on full sets in a task of its own, which returns only
+links that join components.  So a linked group of any size costs about one link
+per member and tree; n unlinked documents of one region cost n**2 / 2 comparisons,
+and n**2 / ``_TILE`` sets are moved.
 
 With trees of base depth 2, a pair of similarity s shares no tree's prefix with
-probability (1 - s**2)**trees: 6e-7 at 0.8 with 14 trees.  A candidate is compared on full
-sets only if at least ``agree`` of 224 four-bit signature values agree; a pair of
+probability (1 - s**2)**trees: 6e-7 at 0.8 with 14 trees; all other pairs are
+compared.  A sorted neighbour is compared on full sets only if at least ``agree`` of 224 four-bit signature values agree; a pair of
 similarity 0.8, of which 182 agree on average, fails that with a
 probability of about 1e-6.
 
@@ -42,6 +45,8 @@ TREES, DEPTH, BASE = 14, 4, 2
 _KEYS, _HASHES = TREES * DEPTH, 224
 _MUL = K.mix(np.arange(1, _HASHES + 1, dtype=_U)) | _U(1)
 _NEAR, _FAR = 4, 64
+#: Rows and shingles of a tile, about.
+_TILE, _TILE_SIZE = 1024, 2 << 20
 
 
 def shingle_sets(column: pa.Array, size: int):
@@ -90,8 +95,8 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, set_id binary, sig binary, mark binary")
 
 
-def forest(classes: DataFrame) -> DataFrame:
-    """Rows (tree, key, doc_id, mark, comp) sorted within range partitions by (tree, key, doc_id).
+def trees(classes: DataFrame) -> DataFrame:
+    """Rows (tree, key, doc_id, mark, comp, n_shingles), one for each class and tree.
 
     ``key`` holds the tree's own signature values, most significant first, and
     ``mark`` four bits of every value.
@@ -104,12 +109,16 @@ def forest(classes: DataFrame) -> DataFrame:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), ">u4").reshape(-1, _KEYS)
             for t in range(TREES):
                 keys = pa.array([k.tobytes() for k in sig[:, t * DEPTH : (t + 1) * DEPTH]], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), keys, batch.column("doc_id"), batch.column("mark"), batch.column("comp")], ["tree", "key", "doc_id", "mark", "comp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), keys, batch.column("doc_id"), batch.column("mark"), batch.column("comp"), batch.column("n_shingles")], ["tree", "key", "doc_id", "mark", "comp", "n_shingles"])
+
+    return classes.select("doc_id", "sig", "mark", "comp", "n_shingles").mapInArrow(run, "tree int, key binary, doc_id long, mark binary, comp long, n_shingles long")
 
-    n = partitions(classes.sparkSession)
-    rows = classes.select("doc_id", "sig", "mark", "comp").mapInArrow(run, "tree int, key binary, doc_id long, mark binary, comp long")
-    return rows.repartitionByRange(n, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
 
+def forest(rows: DataFrame) -> DataFrame:
+    """The rows of ``trees`` sorted within range partitions by (tree, key, doc_id)."""
+    n = partitions(rows.sparkSession)
+    rows = rows.select("tree", "key", "doc_id", "mark", "comp")
+    return rows.repartitionByRange(n, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -215,21 +224,94 @@ def _border(rows):
     return pa.RecordBatch.from_arrays([pa.array(doc), none, none, pa.array(tree), pa.array([k.tobytes() for k in key], pa.binary()), pa.array([m.tobytes() for m in mark], pa.binary()), pa.array(comp)], _NAMES)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc_id, set) of the documents in ``ids``."""
 
     def run(batches):
         for batch in batches:
             sets = [x.view(np.int64) for x in shingle_sets(batch.column(1), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "set"])
 
-    chosen = small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = durable(docs.join(chosen, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, set array<long>").dropDuplicates(["doc_id"]))
+    return durable(docs.join(small(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, set array<long>").dropDuplicates(["doc_id"]))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size)
     left = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     both = F.size(F.array_intersect("set_a", "set_b"))
     return left.where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
+def _joining(doc: np.ndarray, comp: np.ndarray, values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Linked pairs of rows of ``left`` and ``right`` that join all components which such pairs join."""
+    # Rows of the commonest component needn't be compared with each other.
+    names, counts = np.unique(comp, return_counts=True)
+    main = comp == names[counts.argmax()]
+    parts = [(left[~main[left]], right), (left[main[left]], right[~main[right]])]
+    _, column, held = np.unique(values, return_inverse=True, return_counts=True)
+    shared = held > 1
+    row = np.repeat(np.arange(len(doc)), sizes)
+    at = shared[column]
+    row, column = row[at], (np.cumsum(shared) - 1)[column[at]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = [np.zeros((len(a), len(b)), np.int64) for a, b in parts]
+    width = 8192
+    for start in range(0, int(shared.sum()), width):
+        i, j = np.searchsorted(column, [start, start + width])
+        x = np.zeros((len(doc), width), np.float32)
+        x[row[i:j], column[i:j] - start] = 1
+        for k, (a, b) in enumerate(parts):
+            if len(a) and len(b):
+                common[k] += (x[a] @ x[b].T).astype(np.int64)
+    group = {c: c for c in names.tolist()}
+
+    def top(c):
+        while group[c] != c:
+            group[c] = c = group[group[c]]
+        return c
+
+    out = []
+    for (a, b), both in zip(parts, common, strict=True):
+        linked = (100 * both >= percent * (sizes[a][:, None] + sizes[b][None, :] - both)) & (comp[a][:, None] != comp[b][None, :])
+        i, j = np.nonzero(linked)
+        i, j = a[i], b[j]
+        _, first = np.unique(np.stack([comp[i], comp[j]], axis=1), axis=0, return_index=True)
+        for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True):
+            p, q = top(int(comp[x])), top(int(comp[y]))
+            if p != q:
+                group[p] = q
+                out.append((int(doc[x]), int(doc[y])))
+    return out
+
+
+def tiled(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each region, all its pairs compared on full sets.
+
+    ``rows`` are (tree, base, doc_id, comp, n, total): n rows with ``total`` shingles are in the region (tree, base).
+    """
+
+    def run(table):
+        table = table.combine_chunks()
+        doc, comp, salt = (table.column(k).to_numpy() for k in ("doc_id", "comp", "salt"))
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        found = []
+        if (comp != comp[0]).any():
+            sets = table.column("set").combine_chunks()
+            sizes = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+            found = _joining(doc, comp, sets.flatten().to_numpy(), sizes, np.flatnonzero(salt == low), np.flatnonzero(salt == high), percent)
+        return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    sets = full_sets(docs, rows.select("doc_id").distinct(), size)
+    k = F.ceil(F.greatest(F.col("n") / _TILE, F.col("total") / _TILE_SIZE)).cast("long")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), k)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), k - 1)))
+    rows = rows.select("tree", "base", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), "doc_id", "comp", "salt")
+    pair = ["tree", "base", "low", "high"]
+    dealt = rows.join(sets, "doc_id").repartitionByRange(partitions(rows.sparkSession), *pair)
+    return dealt.groupBy(*pair).applyInArrow(run, "a long, b long")
+
+
 def near_dedup(docs: DataFrame, size: int = 4, percent: int = 80, agree: int = 153, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): linked are pairs with a Jaccard similarity of ``percent`` or more.
 
@@ -239,17 +321,26 @@ def near_dedup(docs: DataFrame, size: int = 4, percent: int = 80, agree: int = 1
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sigs = durable(signatures(docs, size))
     full = sigs.where("n_shingles > 0")
-    classes = durable(full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("mark").alias("mark"), F.count("*").alias("n")))
-    links = None
-    for best_only, reach in ((True, _NEAR), (False, _FAR)):
-        known = components(links) if links is not None else None
-        labelled = classes.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left") if known is not None else classes.withColumn("component", F.lit(None).cast("long"))
-        labelled = labelled.select("doc_id", "sig", "mark", F.coalesce("component", "doc_id").alias("comp"))
-        pairs = neighbours(forest(labelled), agree, reach, best_only)
-        if best_only:
-            pairs = pairs.groupBy("b").agg(F.max(F.struct("same", "a")).alias("x")).select("b", F.col("x.a").alias("a"))
-        new = durable(confirmed(durable(pairs.select("a", "b")), docs, size, percent))
-        links = new if links is None else links.unionByName(new)
+    classes = durable(full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("mark").alias("mark"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n")))
+
+    def labelled(links):
+        if links is None:
+            return classes.select("doc_id", "sig", "mark", "n_shingles", F.col("doc_id").alias("comp"))
+        known = components(links).withColumnRenamed("node", "doc_id")
+        return classes.join(known, "doc_id", "left").select("doc_id", "sig", "mark", "n_shingles", F.coalesce("component", "doc_id").alias("comp"))
+
+    pairs = neighbours(forest(trees(labelled(None))), agree, _NEAR, True)
+    pairs = pairs.groupBy("b").agg(F.max(F.struct("same", "a")).alias("x")).select("b", F.col("x.a").alias("a"))
+    links = durable(confirmed(durable(pairs.select("a", "b")), docs, size, percent))
+
+    rows = trees(durable(labelled(links))).withColumn("base", F.substring("key", 1, 4 * BASE))
+    regions = durable(rows.select("tree", "base", "doc_id", "comp", "n_shingles"))
+    dense = small(regions.groupBy("tree", "base").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.min("comp").alias("least"), F.max("comp").alias("most")).where(F.col("n") > _FAR + 1))
+    thin = rows.join(dense.select("tree", "base"), ["tree", "base"], "left_anti")
+    pairs = neighbours(forest(thin), agree, _FAR, False)
+    new = durable(confirmed(durable(pairs.select("a", "b")), docs, size, percent))
+    open_ = durable(regions.join(dense.where("least <> most").select("tree", "base", "n", "total"), ["tree", "base"]))
+    links = links.unionByName(new).unionByName(durable(tiled(open_, docs, size, percent)))
     known = components(links)
     labels = classes.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
     out = attach_by_group(full.select("doc_id", "n_shingles", "set_id"), durable(labels), "set_id", "n").select("doc_id", "n_shingles", "component_id")

@@ -245,6 +245,29 @@ def test_near_dedup(spark, docs, empty):
 # URL filters
 
 
+def test_near_dedup_in_a_dense_family(spark, monkeypatch):
+    """Over 1,000 texts of one template, just under 0.8 to each other, and some pairs over it."""
+    template, texts = [f"t{i}" for i in range(203)], []
+    for k in range(1000):
+        texts.append(template + [f"a{k}.{i}" for i in range(33)])
+    for k in range(60):
+        for side in "xy":
+            texts.append(template + [f"p{k}.{i}" for i in range(8)] + [f"{side}{k}.{i}" for i in range(25)])
+    random.Random(1).shuffle(texts)
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in texts]
+    column = {g: i for i, g in enumerate(set().union(*sets))}
+    held = np.zeros((len(texts), len(column)), np.float32)
+    for i, x in enumerate(sets):
+        held[i, [column[g] for g in x]] = 1
+    both, n = held @ held.T, held.sum(axis=1)
+    linked = 100 * both >= 80 * (n[:, None] + n[None, :] - both)
+    assert linked.sum() == len(texts) + 120 and (100 * both >= 74 * (n[:, None] + n[None, :] - both)).all()
+    monkeypatch.setattr(near_dedup, "_TILE", 100, raising=False)
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(rows).collect()}
+    assert got == {i: int(np.flatnonzero(linked[i]).min()) for i in range(len(texts))}
+
+
 def test_url_filter(spark):
     link = '<link rel="canonical" href="{}">'
     pages = [
