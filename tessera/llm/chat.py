@@ -11,7 +11,8 @@ The template opens each turn by ``<|im_start|>role\\n`` and ends it by
 the first character of each control string, so none can occur there and
 ``unescape`` restores the original.
 
-Defined cases: null role or text counts as empty; a parent that is missing or in
+Defined cases: null role or text counts as empty; the messages of a null tree
+(or conv_id) are one tree; a parent that is missing or in
 another tree makes a root; messages on a cycle have no root and are left out;
 ties between branches go to the smaller leaf id; message ids must be unique
 within a tree (``from_turns`` makes them so: repeated turns follow each other,
@@ -52,7 +53,8 @@ def from_turns(rows: DataFrame) -> DataFrame:
 
 def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
     """(tree, branch, id, depth) of the ``keep`` best branches of each tree; ``branch`` is the leaf's id."""
-    base = messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    # Within a struct, null equals null in joins.
+    base = messages.select(F.struct("tree").alias("tree"), "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = base.select("tree", F.col("id").alias("parent"), F.lit(True).alias("there"))
     nodes = base.join(known, ["tree", "parent"], "left").select("tree", "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), "score")
     leaves = nodes.join(nodes.select("tree", F.col("up").alias("id")).where("id is not null").distinct(), ["tree", "id"], "left_anti").select("tree", "id")
@@ -74,7 +76,7 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
     walk = best.select("tree", F.col("id").alias("branch"), "id")
     for j in jumps:
         walk = durable(walk.unionByName(walk.join(j, ["tree", "id"]).select("tree", "branch", F.col("up").alias("id"))))
-    return walk.join(nodes.select("tree", "id", "depth"), ["tree", "id"]).select("tree", "branch", "id", "depth")
+    return walk.join(nodes.select("tree", "id", "depth"), ["tree", "id"]).select("tree.tree", "branch", "id", "depth")
 
 
 def format_branches(messages: DataFrame, keep: int = 1, trained: str = "assistant") -> DataFrame:
@@ -84,8 +86,8 @@ def format_branches(messages: DataFrame, keep: int = 1, trained: str = "assistan
     as escaped, of role ``trained``.
     """
     empty = F.lit("")
-    path = branches(messages, keep)
-    turns = path.join(messages.select("tree", "id", "role", "text"), ["tree", "id"]).select(
+    path = branches(messages, keep).withColumn("tree", F.struct("tree"))
+    turns = path.join(messages.select(F.struct("tree").alias("tree"), "id", "role", "text"), ["tree", "id"]).select(
         "tree",
         "branch",
         F.struct(
@@ -106,7 +108,7 @@ def format_branches(messages: DataFrame, keep: int = 1, trained: str = "assistan
         return F.struct((end + len(_END) + 1).cast("long").alias("at"), F.when(t["loss"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
     return whole.select(
-        "tree",
+        "tree.tree",
         "branch",
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], tail)), "").alias("formatted"),

@@ -306,6 +306,13 @@ def test_reply_trees(spark):
     assert chat.format_branches(frame.limit(0)).count() == 0
 
 
+def test_null_conversation(spark):
+    rows = [(None, 1, "assistant", "yes"), (None, 0, "user", "hm"), (0, 0, "user", "other"), (None, 2, "user", "so")]
+    out = chat.format_branches(chat.from_turns(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")))
+    got = {r.tree: [tuple(t) for t in r.t] for r in out.select("tree", chat.read_back(F.col("formatted")).alias("t")).collect()}
+    assert got == {None: [("user", "hm"), ("assistant", "yes"), ("user", "so")], 0: [("user", "other")]}
+
+
 # Line deduplication
 
 
