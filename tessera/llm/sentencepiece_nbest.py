@@ -6,12 +6,12 @@ forward Viterbi pass gives every position the best score from the start; a
 backward A* from the end uses it as its heuristic, which is exact, so paths leave
 the queue in order of score and the first N are the N best.
 
-No piece has a character before a word mark (U+2581) or beside a line feed, nor a
-full stop or the like after a letter (the model file is searched for all three),
-so the lattice falls apart there: each distinct unit is searched once and kept, and
-the N best of a text are the N least sums of its units' losses, found by another
-best-first search.  For models that do join over these places the units are whole
-texts.
+Two characters that stand side by side in no piece of the model part the lattice
+between them, so a text falls into units that no piece crosses; each distinct unit
+is searched once and kept (up to ``_CACHE_BYTES``), and the N best of a text are the
+N least sums of its units' losses, found by another best-first search.  A unit may
+be as long as the text: the search keeps one number per position, and looks up the
+edges only where its paths pass.
 
 Scores are the model's own for unigram models.  A merge-rank model has ranks for
 scores, which are no log-probabilities; there the score of rank r is -ln(r + 2),
@@ -28,9 +28,8 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
-import struct
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +38,10 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 _MARK = "\u2581"
-_NEW_UNITS, _OLD_UNITS = 80_000, 160_000
+#: Estimated bytes of units that a worker keeps.
+_CACHE_BYTES = 192 << 20
+#: Units up to this length keep their lattices while they are searched.
+_SHORT = 512
 _loaded: dict[str, Pieces] = {}
 
 
@@ -61,48 +63,107 @@ class Pieces:
         self.piece = {self.text[i]: (i, -math.log(2 - s) if ranks else s) for i, s in raw.items()}
         self.longest = max(map(len, self.piece))
         self.gap = min(s for _, s in self.piece.values()) - 10
-        joins = any(re.search(f"[^{_MARK}]{_MARK}", p) or ("\n" in p and p != "\n") for p in self.piece)
-        letter = re.compile(r"[^\W\d_]")
-        inside = {p[k] for p in self.piece for k in range(1, len(p)) if letter.match(p[k - 1])}
-        ends = "".join(re.escape(c) for c in "!%&*+,.:;?|" if c not in inside)
-        stem = f"{_MARK}*{letter.pattern}+(?=[{ends}])|" if ends else ""
-        self.unit = re.compile("(?s).+" if joins else f"\n|{stem}{_MARK}*[^{_MARK}\n]+|{_MARK}+")
-        # A tree by characters; under "" what the piece that ends there has.
-        self.root: dict = {}
+        self.matcher = ahocorasick.Automaton()
         for p, (i, score) in self.piece.items():
-            node = self.root
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = ((i,), score)
-        # Units seen once, and those seen again, which rare ones can't displace.
-        self.new: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
-        self.cached_for = 0
+            self.matcher.add_word(p, (len(p), score, (i,)))
+        self.matcher.make_automaton()
+        self.single = {p for p in self.piece if len(p) == 1}
+        # Characters by number, 0 for those in no piece, and which may stand side by side in a piece.
+        chars = sorted({c for p in self.piece for c in p})
+        number = {c: k for k, c in enumerate(chars, 1)}
+        self.number = np.zeros(0x110000, np.uint16 if len(chars) < 65_535 else np.uint32)
+        self.number[[ord(c) for c in chars]] = range(1, len(chars) + 1)
+        self.width = len(chars) + 1
+        pairs = {number[x] * self.width + number[y] for p in self.piece for x, y in zip(p, p[1:])}
+        self.joined = np.zeros(self.width**2 // 8 + 1, np.uint8)
+        at = np.array(sorted(pairs), np.int64)
+        np.bitwise_or.at(self.joined, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        self.names: list[str] = []
+        self._forget(0, [])
+
+    def _forget(self, n: int, keep: list[int]) -> None:
+        """Drop all units but those of these rows; from now on, units get ``n`` segmentations."""
+        found = [(self.names[k], self.loss[k], [self.ids[self.at[k, j] : self.at[k, j + 1]] for j in range(n)]) for k in keep]
+        self.row: dict[str, int] = {}
+        self.names, self.cached_for, self.held, self.used = [], n, 0, 0
+        # Segmentation j of unit k is ids[at[k, j]:at[k, j + 1]], with loss[k, j] (for j = 0 the best score).
+        self.ids, self.at = np.zeros(1 << 16, "<u4"), np.zeros((1 << 14, n + 1), np.int64)
+        self.loss, self.times = np.zeros((1 << 14, n)), np.zeros(1 << 14, np.int64)
+        for x in found:
+            self._keep(*x)
+
+    def _keep(self, name: str, losses, paths: list) -> int:
+        k, used = len(self.names), self.used
+        if k == len(self.times):
+            self.at, self.loss, self.times = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.loss, self.times))
+        while used + sum(map(len, paths)) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        at = [used]
+        for ids in paths:
+            self.ids[used : used + len(ids)] = ids
+            used += len(ids)
+            at.append(used)
+        missing = self.cached_for - len(paths)
+        self.at[k], self.loss[k] = at + [used] * missing, [*losses, *[math.inf] * missing]
+        self.held += 250 + 4 * len(name) + 4 * (used - self.used) + 16 * self.cached_for
+        self.used = used
+        self.names.append(name)
+        self.row[name] = k
+        return k
+
+    def _row(self, name: str) -> int:
+        found = self.row.get(name)
+        return self._keep(name, *self.search(name, self.cached_for)) if found is None else found
+
+    def units(self, s: str) -> list[str]:
+        """``s`` cut wherever no piece joins the characters on both sides."""
+        x = self.number[np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        pair = x[:-1] * self.width + x[1:]
+        joined = self.joined[pair >> 3] >> (pair & 7).astype(np.uint8) & 1
+        cuts = (np.flatnonzero(joined == 0) + 1).tolist()
+        return [s[a:b] for a, b in zip([0, *cuts], [*cuts, len(s)], strict=True)]
+
+    def _bytes_of(self, c: str) -> tuple[tuple[int, ...], float]:
+        """The edge of a character that is no piece."""
+        ids = tuple(self.byte.get(b, self.unknown) for b in c.encode()) if self.byte else (self.unknown,)
+        return ids, self.gap * len(ids)
+
+    def edges(self, s: str, at: int):
+        """The (start, ids, score) of the edges that end at ``at``."""
+        for start in range(max(0, at - self.longest), at):
+            found = self.piece.get(s[start:at])
+            if found is not None:
+                yield start, (found[0],), found[1]
+        if s[at - 1] not in self.single:
+            yield at - 1, *self._bytes_of(s[at - 1])
 
     def lattice(self, s: str) -> tuple[list[list[tuple[int, tuple[int, ...], float]]], list[float]]:
-        """For each end, the (start, ids, score) of the edges that end there, and the best score of a path from 0 to there."""
-        n, root, none = len(s), self.root, -math.inf
-        into: list[list] = [[] for _ in range(n + 1)]
-        best = [0.0] + [none] * n
-        for start in range(n):
-            here, node, end = best[start], root, start
-            for c in s[start:]:
-                if (node := node.get(c)) is None:
-                    break
-                end += 1
-                if (found := node.get("")) is not None:
-                    into[end].append((start, *found))
-                    if here + found[1] > best[end]:
-                        best[end] = here + found[1]
-            if s[start] not in self.piece:
-                ids = tuple(self.byte.get(b, self.unknown) for b in s[start].encode()) if self.byte else (self.unknown,)
-                score = self.gap * len(ids)
-                into[start + 1].append((start, ids, score))
-                best[start + 1] = max(best[start + 1], here + score)
-        return into, best
-
-    def search(self, s: str, n: int) -> tuple:
-        """The best score and packed ids of one unit, then loss and packed ids of each of the next n - 1.
+        """For each end, the edges that end there, and the best score of a path from 0 to there."""
+        into = [[], *(list(self.edges(s, at)) for at in range(1, len(s) + 1))]
+        return into, list(self.forward(s))
+
+    def forward(self, s: str, into: list[list] | None = None) -> list[float]:
+        """Viterbi: the best score of a path from 0 to each position; edges go to ``into``, if given."""
+        best = [0.0] + [-math.inf] * len(s)
+        if self.single.issuperset(s):
+            # Matches come by their ends, so the scores of their starts are final.
+            for last, (n, score, ids) in self.matcher.iter(s):
+                last += 1
+                if into is not None:
+                    into[last].append((last - n, score, ids))
+                score += best[last - n]
+                if score > best[last]:
+                    best[last] = score
+        else:
+            for at in range(1, len(s) + 1):
+                edges = [(start, score, ids) for start, ids, score in self.edges(s, at)]
+                best[at] = max(best[start] + score for start, score, _ in edges)
+                if into is not None:
+                    into[at] = edges
+        return best
+
+    def search(self, s: str, n: int) -> tuple[list[float], list[list[int]]]:
+        """The best score and the losses of the next n - 1 segmentations of one unit, and the ids of all.
 
         Forward Viterbi gives each position its best score; against that, every
         edge has a loss, and a path's loss is the sum of its edges'.  The queue
@@ -110,17 +171,25 @@ class Pieces:
         along edges without loss; its other edges, at most n at a position, open
         new entries unless n better ones are known.
         """
-        into, best = self.lattice(s)
-        ranked: list[list | None] = [None] * (len(s) + 1)
-        queue, out, serial, worst = [(0.0, 0, len(s), None)], [], 0, []
-        while queue and len(out) < 2 * n:
+        into = [[] for _ in range(len(s) + 1)] if len(s) <= _SHORT else None
+        best = self.forward(s, into)
+        ranked: dict[int, list] = {}
+        queue, losses, paths, serial, worst = [(0.0, 0, len(s), None)], [], [], 0, []
+        while queue and len(paths) < n:
             loss, _, at, tail = heapq.heappop(queue)
             while at:
-                steps = ranked[at]
+                steps = ranked.get(at)
                 if steps is None:
                     top = best[at]
-                    steps = ranked[at] = sorted([(top - best[start] - score, k) for k, (start, _, score) in enumerate(into[at])])[:n]
-                for extra, k in steps[1:]:
+                    if into is not None:
+                        steps = [(top - best[start] - score, start, ids) for start, score, ids in into[at]]
+                    else:
+                        steps = [(top - best[start] - score, start, ids) for start, ids, score in self.edges(s, at)]
+                    if len(steps) > 1:
+                        steps.sort()
+                        del steps[n:]
+                    ranked[at] = steps
+                for extra, start, ids in steps[1:]:
                     total = loss + extra
                     if len(worst) < n:
                         heapq.heappush(worst, -total)
@@ -129,48 +198,52 @@ class Pieces:
                     else:
                         break
                     serial += 1
-                    start, ids, _ = into[at][k]
                     heapq.heappush(queue, (total, serial, start, (ids, tail)))
-                start, ids, _ = into[at][steps[0][1]]
-                at, tail = start, (ids, tail)
+                _, at, ids = steps[0]
+                tail = (ids, tail)
             ids = []
             while tail:
                 ids += tail[0]
                 tail = tail[1]
-            out += (loss, struct.pack(f"<{len(ids)}I", *ids))
-        # One flat tuple, which the garbage collector needn't visit.
-        out[0] = best[-1]
-        return tuple(out)
+            losses.append(loss)
+            paths.append(ids)
+        losses[0] = best[-1]
+        return losses, paths
 
     def nbest(self, text: str, n: int) -> list[tuple[float, bytes]]:
         """The n best (score, packed ids) of a whole text."""
-        names = self.unit.findall(_MARK + text.replace(" ", _MARK)) if text else []
-        old, new, units = self.old, self.new, []
-        if self.cached_for != n or len(old) > _OLD_UNITS:
-            old.clear()
-        if self.cached_for != n or len(new) > _NEW_UNITS:
-            new.clear()
-        self.cached_for = n
-        for u in names:
-            found = old.get(u)
-            if found is None:
-                found = new.pop(u, None)
-                if found is None:
-                    found = new[u] = self.search(u, n)
-                else:
-                    old[u] = found
-            units.append(found)
-        top = math.fsum([u[0] for u in units])
-        ids = [u[1] for u in units]
-        out = [(top, b"".join(ids))]
-        if n > 1 and units:
+        if not text:
+            return [(0.0, b"")]
+        if self.cached_for != n:
+            self._forget(n, [])
+        elif self.held > _CACHE_BYTES:
+            # What was used again since the last time stays, unless that is most of it.
+            again = np.flatnonzero(self.times[: len(self.names)] > 1).tolist()
+            self._forget(n, again if 2 * len(again) < len(self.names) else [])
+        names = self.units(_MARK + text.replace(" ", _MARK))
+        rows = list(map(self.row.get, names))
+        if None in rows:
+            rows = [self._row(u) if k is None else k for u, k in zip(names, rows, strict=True)]
+        rows = np.array(rows)
+        np.add.at(self.times, rows, 1)
+        first, end = self.at[rows, 0], self.at[rows, 1]
+        top, size = math.fsum(self.loss[rows, 0].tolist()), end - first
+        end = np.cumsum(size)
+        ids = self.ids[np.repeat(first - end + size, size) + np.arange(end[-1])]
+        out = [(top, ids.tobytes())]
+        if n > 1:
             # Only the n - 1 units with the least first losses can differ in the n best.
-            near = heapq.nsmallest(n - 1, [(u[2], k) for k, u in enumerate(units) if len(u) > 2])
-            for loss, choice in _least_sums([(k, [0.0, *units[k][2::2]]) for _, k in near], n)[1:]:
-                other = list(ids)
-                for k, c in choice:
-                    other[k] = units[k][2 * c + 1]
-                out.append((top - loss, b"".join(other)))
+            least = self.loss[rows, 1]
+            near = np.argpartition(least, n - 2)[: n - 1] if n - 1 < len(least) else np.arange(len(least))
+            near = sorted(near[np.isfinite(least[near])].tolist(), key=lambda k: (least[k], k))
+            options = [(k, [0.0, *(x for x in self.loss[rows[k], 1:].tolist() if x < math.inf)]) for k in near]
+            for extra, choice in _least_sums(options, n)[1:]:
+                parts, at = [], 0
+                for k, c in sorted(choice):
+                    place = self.at[rows[k]]
+                    parts += ids[at : end[k] - size[k]], self.ids[place[c] : place[c + 1]]
+                    at = end[k]
+                out.append((top - extra, np.concatenate([*parts, ids[at:]]).tobytes()))
         return out
 
     def decode(self, ids) -> str:
