@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,18 +12,25 @@ from pyspark.sql import functions as F
 #: The only characters that separate words: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Tables that ``durable`` wrote.
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``).
 
-    Where the setting is missing, as in tests, a folder of this process is set.
+    Where the setting is missing, as in tests, a folder of this process is set; on
+    a cluster that is an error, since executors couldn't see it.
     """
     context = spark.sparkContext._jsc.sc()
     there = context.getCheckpointDir()
     if there.isDefined():
         return there.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="tessera-")
     spark.sparkContext.setCheckpointDir(path)
     return context.getCheckpointDir().get()
 
@@ -35,10 +43,24 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete at the end the tables that ``durable`` wrote meanwhile; what depends on them must be written by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        jvm, context = spark._jvm, spark._jsc.hadoopConfiguration()
+        while len(_written) > before:
+            path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+            path.getFileSystem(context).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -85,27 +107,33 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     ``component`` is the smallest node that can be reached.  Alternates the
     large-star and small-star steps until nothing changes; every step is a
-    partial aggregation and an equi-join, so a hub of any degree is spread over
-    tasks, and each step's edges are written to the shared folder.  Self-loops
-    are ignored, and nodes without another neighbour are not returned.
+    partial aggregation and a join to one row per node, which is broadcast up to
+    ``BROADCAST_ROWS`` and beyond that joined by ``attach_by_group``, so a hub of any
+    degree is spread over tasks.  Each step's edges are written to the shared
+    folder.  Self-loops are ignored, and nodes without another neighbour are not
+    returned.
     """
-    spark = edges.sparkSession
     e = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct()
     e = durable(e)
     state = None
+
+    def with_least(rows: DataFrame, of: DataFrame, key: str, few: bool) -> DataFrame:
+        least = of.groupBy(key).agg(F.min("w").alias("m"), F.count("*").alias("degree"))
+        return rows.join(F.broadcast(least), key) if few else attach_by_group(rows, durable(least), key, "degree")
+
     while True:
         n, mark = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if n == 0 or (n, mark) == state:
             break
-        state = (n, mark)
-        both = e.union(e.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        state, few = (n, mark), 2 * n <= BROADCAST_ROWS
+        both = e.union(e.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("u", "w")
+        large = with_least(both, both, "u", few).where("w > u").select(F.col("w").alias("u"), F.least("u", "m").alias("w")).distinct()
+        if not few:
+            large = durable(large)
         small = (
-            large.join(least, "hi")
-            .select(F.explode(F.array(F.struct("hi", "m"), F.struct(F.col("lo").alias("hi"), "m"))).alias("x"))
-            .select(F.col("x.hi").alias("hi"), F.col("x.m").alias("lo"))
+            with_least(large, large, "u", few)
+            .select(F.explode(F.array(F.struct(F.col("u").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("w").alias("hi"), F.col("m").alias("lo")))).alias("x"))
+            .select("x.hi", "x.lo")
             .where("hi <> lo")
             .distinct()
         )

@@ -1,8 +1,9 @@
 """Vectorised word and window hashing over Arrow string columns.
 
-Hashes are sums ``h_i * B**i`` modulo 2**64 over prefix sums, so that the hash of
-any run of words or bytes is a difference and a multiplication.  Bytes first go
-through a table of random 64-bit numbers, and every result is mixed once more.
+A word is hashed in blocks of eight bytes, each mixed with a key of its place.  A
+run of words is hashed by doubling: the hash of 2**k words mixes those of its two
+halves, and any other run that of the two overlapping halves that cover it.  No
+step is a sum of powers, so there are no texts of which equal hashes are known.
 """
 
 from __future__ import annotations
@@ -11,53 +12,68 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_BYTE_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD1342543DE82EF95
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of splitmix64."""
     x = x ^ (x >> _U(30))
-    x = x * _U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> _U(27))
-    x = x * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-_TABLE = mix((np.arange(256, dtype=_U) + _U(1)) * _U(_BYTE_BASE))
-_LOWER = _TABLE.copy()
-_LOWER[65:91] = _TABLE[97:123]
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
+
+
+_FIRST, _SECOND, _SIZE = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95), _U(0xA0761D6478BD642F)
+#: What remains of eight bytes of which so many count.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+def hash_bytes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte runs [start, end), none of them empty."""
+    eight = np.ndarray(len(buf), "<u8", np.append(buf, np.zeros(8, np.uint8)), strides=(1,))
+    size = end - start
+    out = mix((eight[start] & _MASK[np.minimum(size, 8)]) + size.astype(_U) * _SIZE)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        blocks = (size[long] - 1) // 8
+        first = np.cumsum(blocks) - blocks
+        which = np.repeat(long, blocks)
+        no = np.arange(len(which)) - np.repeat(first, blocks) + 1
+        x = eight[start[which] + 8 * no] & _MASK[np.minimum(size[which] - 8 * no, 8)]
+        out[long] = mix(out[long] + np.add.reduceat(mix(x ^ mix(no.astype(_U) * _FIRST)), first))
+    return out
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``base**i`` and ``base**-i`` modulo 2**64 for i < n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 20)
-        up = np.full(size, base, _U)
-        up[0] = 1
-        down = np.full(size, pow(base, -1, 1 << 64), _U)
-        down[0] = 1
-        have = np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
-        if size <= 1 << 23:
-            _powers[base] = have
-    return have[0][:n], have[1][:n]
 
+class Runs:
+    """Hashes of runs of words, from the words' own."""
 
-def prefix(values: np.ndarray, base: int = _WORD_BASE) -> np.ndarray:
-    out = np.empty(len(values) + 1, _U)
-    out[0] = 0
-    np.cumsum(values * powers(base, len(values))[0], dtype=_U, out=out[1:])
-    return out
+    def __init__(self, words: np.ndarray):
+        self.level = [words]
 
+    def _doubled(self, k: int) -> np.ndarray:
+        """Hash of the 2**k words from each place on."""
+        while len(self.level) <= k:
+            half, x = 1 << len(self.level) - 1, self.level[-1]
+            n = max(0, len(x) - half)
+            self.level.append(mix(x[:n] * _FIRST + x[half : half + n]))
+        return self.level[k]
 
-def span_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _WORD_BASE) -> np.ndarray:
-    """Mixed hash of the values in [start, end)."""
-    return mix((pre[end] - pre[start]) * powers(base, len(pre))[1][start] + (end - start).astype(_U) * _U(0xA0761D6478BD642F))
+    def of(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """Hashes of the runs of ``size`` words (one or more) from ``start`` on."""
+        if np.ndim(size) == 0:
+            k = int(size).bit_length() - 1
+            x = self._doubled(k)
+            return x[start] if size == 1 << k else mix(x[start] * _SECOND + x[start + (size - (1 << k))] + _U(size * int(_SIZE) & (1 << 64) - 1))
+        out = np.empty(len(start), _U)
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            out[at] = self.of(start[at], n)
+        return out
 
 
 def slices(column: pa.Array, most: int = 1 << 21):
@@ -97,8 +113,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     first[inner] = ink[inner]
     last[inner - 1] = ink[inner - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    pre = prefix((_LOWER if lower else _TABLE)[buf], _BYTE_BASE)
-    return span_hash(pre, start, end, _BYTE_BASE), np.searchsorted(start, at)
+    return hash_bytes(LOWER[buf] if lower else buf, start, end), np.searchsorted(start, at)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

@@ -1,31 +1,36 @@
 """Near-duplicate components by an LSH forest.
 
-Each document's distinct word shingles get a MinHash signature.  A tree of the
-forest sorts the documents by a few signature values of its own, so documents
-that agree on a long prefix stand side by side.  Neighbours that share the base
-prefix become candidates.
-
-Documents with equal sets are one class first.  Then, in two rounds: every class
-links to its best neighbour in each tree, the links are confirmed on full sets,
-and components found; next, all pairs of a region (the rows of a tree with one
-base prefix) from different components are compared.  A region of at most
-``_FAR`` + 1 rows gives them as sorted neighbours.  A larger one, if it holds more
-than one component, is dealt into tiles of about ``_TILE`` rows or less, and each pair of
-tiles is compared completely on full sets in a task of its own, which returns only
-links that join components.  So a linked group of any size costs about one link
-per member and tree; n unlinked documents of one region cost n**2 / 2 comparisons,
-and n**2 / ``_TILE`` sets are moved.
+Each document's distinct word shingles get a MinHash signature.  Documents with
+equal sets are one class, and a tree of the forest sorts the classes by a few
+signature values of its own, then by four bits of every value, beginning with the
+tree's.  So the neighbours of a class are those with the longest common prefix, and
+the depth of a comparison adapts: where few classes share a tree's first ``BASE``
+values all of them meet, and where many do the next ones have more in common.
+
+1.  Every class links to its best of ``_NEAR`` neighbours in each tree; links are
+    confirmed on full sets, and components found.
+2.  A region (the classes of a tree with one base prefix) of ``_FAR`` + 1 or fewer
+    is compared completely: sorted neighbours of different components.
+3.  A larger region with more than one component is compared completely too, without
+    the pairs inside its most frequent component: that one's members and the others
+    are dealt into tiles of about ``_TILE``, and every two tiles that hold an open pair
+    meet in a task, which compares signatures, then full sets, and returns only
+    links that join components.
+
+So a linked group of any size costs about one link a member and tree, and o members
+of other components among n in a region cost o * n comparisons and move
+o * n / ``_TILE`` sets: the square of a region in which nothing is linked.
 
 With trees of base depth 2, a pair of similarity s shares no tree's prefix with
 probability (1 - s**2)**trees: 6e-7 at 0.8 with 14 trees; all other pairs are
-compared.  A sorted neighbour is compared on full sets only if at least ``agree`` of 224 four-bit signature values agree; a pair of
-similarity 0.8, of which 182 agree on average, fails that with a
-probability of about 1e-6.
+compared.  Full sets are compared only if at least ``agree`` of 224 four-bit
+signature values agree; a pair of similarity 0.8, of which 182 agree on average,
+fails that with a probability of about 1e-6.
 
 Defined cases: null, empty and blank texts have empty sets and link with
 nothing; texts with fewer words than a shingle have one shingle, the whole
-sequence; repeated rows of one doc_id have equal sets; an empty table gives no
-rows; other columns are ignored.
+sequence; each row is judged by its own text, also where rows share a doc_id; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -50,20 +55,23 @@ _TILE, _TILE_SIZE = 1024, 2 << 20
 
 
 def shingle_sets(column: pa.Array, size: int):
-    """The sorted distinct shingle hashes of each row."""
+    """The sorted distinct shingle hashes of the rows, a list for each slice of them."""
     for i, j in K.slices(column, 4 << 20):
         data, offsets, _ = K.parts(column[i:j])
         h, ends = K.words(data, offsets, lower=True)
-        pre = K.prefix(h)
-        at = np.arange(max(0, len(h) - size + 1))
-        grams = K.span_hash(pre, at, at + size)
+        runs, out = K.Runs(h), []
+        grams = runs.of(np.arange(max(0, len(h) - size + 1)), size)
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             if b - a >= size:
-                yield np.unique(grams[a : b - size + 1])
-            elif b > a:
-                yield K.span_hash(pre, np.array([a]), np.array([b]))
+                out.append(np.unique(grams[a : b - size + 1]))
             else:
-                yield np.zeros(0, _U)
+                out.append(runs.of(np.array([a]), b - a) if b > a else np.zeros(0, _U))
+        yield out
+
+
+def digest(values: np.ndarray) -> bytes:
+    """128 bits that stand for a whole set."""
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
 def signature(values: np.ndarray) -> np.ndarray:
@@ -80,23 +88,23 @@ def packed(sig: np.ndarray) -> tuple[bytes, bytes]:
     return sig[:_KEYS].astype(">u4").tobytes(), (low[::2] << 4 | low[1::2]).astype(np.uint8).tobytes()
 
 
-def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_id, sig, mark): ``set_id`` is a 128-bit digest of the whole set."""
+def signatures(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n_shingles, set_id, sig, mark) of docs (doc_id, text)."""
 
     def run(batches):
         for batch in batches:
-            n, ids, sigs = [], [], []
-            for x in shingle_sets(batch.column(1), size):
-                n.append(len(x))
-                ids.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
-                sigs.append(packed(signature(x)) if len(x) else (None, None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), *(pa.array([x[k] for x in sigs], pa.binary()) for k in (0, 1))], ["doc_id", "n_shingles", "set_id", "sig", "mark"])
+            i = 0
+            for sets in shingle_sets(batch.column(1), size):
+                sigs = [packed(signature(x)) if len(x) else (None, None) for x in sets]
+                arrays = [pa.array([len(x) for x in sets], pa.int64()), pa.array([digest(x) for x in sets], pa.binary()), *(pa.array([x[k] for x in sigs], pa.binary()) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + len(sets)], *arrays], ["doc_id", "n_shingles", "set_id", "sig", "mark"])
+                i += len(sets)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, set_id binary, sig binary, mark binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sig binary, mark binary")
 
 
 def trees(classes: DataFrame) -> DataFrame:
-    """Rows (tree, key, doc_id, mark, comp, n_shingles), one for each class and tree.
+    """Rows (tree, key, node, mark, comp), one for each class and tree.
 
     ``key`` holds the tree's own signature values, most significant first, and
     ``mark`` four bits of every value.
@@ -109,16 +117,21 @@ def trees(classes: DataFrame) -> DataFrame:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), ">u4").reshape(-1, _KEYS)
             for t in range(TREES):
                 keys = pa.array([k.tobytes() for k in sig[:, t * DEPTH : (t + 1) * DEPTH]], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), keys, batch.column("doc_id"), batch.column("mark"), batch.column("comp"), batch.column("n_shingles")], ["tree", "key", "doc_id", "mark", "comp", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), keys, *(batch.column(c) for c in ("node", "mark", "comp"))], ["tree", "key", "node", "mark", "comp"])
+
+    return classes.select("node", "sig", "mark", "comp").mapInArrow(run, "tree int, key binary, node long, mark binary, comp long")
+
 
-    return classes.select("doc_id", "sig", "mark", "comp", "n_shingles").mapInArrow(run, "tree int, key binary, doc_id long, mark binary, comp long, n_shingles long")
+def _order() -> list[Column]:
+    """Tree, its values, then four bits of all values from the tree's on, and round again."""
+    at = F.col("tree") * (DEPTH // 2)
+    return [F.col("tree"), F.col("key"), F.concat(F.substring("mark", at + 1, F.lit(_HASHES)), F.substring("mark", F.lit(1), at)), F.col("node")]
 
 
 def forest(rows: DataFrame) -> DataFrame:
-    """The rows of ``trees`` sorted within range partitions by (tree, key, doc_id)."""
+    """The rows of ``trees``, sorted within range partitions."""
     n = partitions(rows.sparkSession)
-    rows = rows.select("tree", "key", "doc_id", "mark", "comp")
-    return rows.repartitionByRange(n, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
+    return rows.select("tree", "key", "node", "mark", "comp").repartitionByRange(n, *_order()).sortWithinPartitions(*_order())
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -168,7 +181,7 @@ def neighbours(rows: DataFrame, agree: int, reach: int, best_only: bool) -> Data
         return (
             batch.column("tree").to_numpy(),
             np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u4").reshape(-1, DEPTH),
-            batch.column("doc_id").to_numpy(),
+            batch.column("node").to_numpy(),
             np.frombuffer(b"".join(batch.column("mark").to_pylist()), np.uint8).reshape(-1, _HASHES // 2),
             batch.column("comp").to_numpy(),
         )
@@ -194,7 +207,7 @@ def neighbours(rows: DataFrame, agree: int, reach: int, best_only: bool) -> Data
 
     schema = "a long, b long, same long, tree int, key binary, mark binary, comp long"
     found = durable(rows.mapInArrow(run, schema))
-    border = found.where("tree is not null").select("tree", "key", F.col("a").alias("doc_id"), "mark", "comp").distinct()
+    border = found.where("tree is not null").select("tree", "key", F.col("a").alias("node"), "mark", "comp").distinct()
 
     def across(batches):
         table = [b for b in batches if b.num_rows]
@@ -205,7 +218,8 @@ def neighbours(rows: DataFrame, agree: int, reach: int, best_only: bool) -> Data
                 yield _pairs(a, b, s)
 
     n = partitions(rows.sparkSession)
-    met = border.repartition(n, "tree").sortWithinPartitions("tree", "key", "doc_id").mapInArrow(across, schema)
+    # At most 2 * reach rows a range partition and its neighbours in other ones; a tree's all meet in one task.
+    met = border.repartition(n, "tree").sortWithinPartitions(*_order()).mapInArrow(across, schema)
     both = found.where("tree is null").unionByName(met)
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same").where("a <> b").groupBy("a", "b").agg(F.max("same").alias("same"))
 
@@ -224,91 +238,125 @@ def _border(rows):
     return pa.RecordBatch.from_arrays([pa.array(doc), none, none, pa.array(tree), pa.array([k.tobytes() for k in key], pa.binary()), pa.array([m.tobytes() for m in mark], pa.binary()), pa.array(comp)], _NAMES)
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(doc_id, set) of the documents in ``ids``."""
+def full_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(node, set): the full set of each of ``classes`` (node, doc_id, set_id)."""
 
     def run(batches):
         for batch in batches:
-            sets = [x.view(np.int64) for x in shingle_sets(batch.column(1), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "set"])
+            i = 0
+            for sets in shingle_sets(batch.column(1), size):
+                arrays = [batch.column(0)[i : i + len(sets)], pa.array([digest(x) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "set_id", "set"])
+                i += len(sets)
 
-    return durable(docs.join(small(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, set array<long>").dropDuplicates(["doc_id"]))
+    classes = small(classes.select("node", "doc_id", "set_id"))
+    found = docs.join(classes.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, set_id binary, set array<long>")
+    return durable(found.join(classes, ["doc_id", "set_id"]).select("node", "set").dropDuplicates(["node"]))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size)
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets have 100 * intersection >= percent * union."""
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = full_sets(docs, classes.join(used, "node", "left_semi"), size)
     left = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     both = F.size(F.array_intersect("set_a", "set_b"))
     return left.where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
-def _joining(doc: np.ndarray, comp: np.ndarray, values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Linked pairs of rows of ``left`` and ``right`` that join all components which such pairs join."""
-    # Rows of the commonest component needn't be compared with each other.
-    names, counts = np.unique(comp, return_counts=True)
-    main = comp == names[counts.argmax()]
-    parts = [(left[~main[left]], right), (left[main[left]], right[~main[right]])]
-    _, column, held = np.unique(values, return_inverse=True, return_counts=True)
-    shared = held > 1
-    row = np.repeat(np.arange(len(doc)), sizes)
-    at = shared[column]
-    row, column = row[at], (np.cumsum(shared) - 1)[column[at]]
+def _alike(mark: np.ndarray, a: np.ndarray, b: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of ``a`` and ``b`` that agree in so many of the four-bit values."""
+    out = [], []
+    for i in range(0, len(a), 128):
+        part = a[i : i + 128]
+        same = np.zeros((len(part), len(b)), np.int16)
+        for k in range(0, mark.shape[1], 16):
+            x = mark[part, None, k : k + 16] ^ mark[None, b, k : k + 16]
+            same += ((x & 0xF0) == 0).sum(axis=2, dtype=np.int16)
+            same += ((x & 0x0F) == 0).sum(axis=2, dtype=np.int16)
+        p, q = np.nonzero(same >= agree)
+        out[0].append(part[p]), out[1].append(b[q])
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in out)
+
+
+def _common(values: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets i and j, pair by pair."""
+    rows = np.unique(np.concatenate([i, j]))
+    held, inverse, counts = np.unique(np.concatenate([values[r] for r in rows]), return_inverse=True, return_counts=True)
+    shared = counts > 1
+    if len(i) * 20e-6 < len(rows) ** 2 * int(shared.sum()) / 4e10:
+        return np.array([len(np.intersect1d(values[x], values[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    # Many pairs of few rows: products of rows of 0 and 1, some columns at a time.
+    row = np.repeat(np.arange(len(rows)), [len(values[r]) for r in rows])
+    at = shared[inverse]
+    row, column = row[at], (np.cumsum(shared) - 1)[inverse[at]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    common = [np.zeros((len(a), len(b)), np.int64) for a, b in parts]
-    width = 8192
+    total, width = np.zeros((len(rows), len(rows)), np.float32), 4096
     for start in range(0, int(shared.sum()), width):
-        i, j = np.searchsorted(column, [start, start + width])
-        x = np.zeros((len(doc), width), np.float32)
-        x[row[i:j], column[i:j] - start] = 1
-        for k, (a, b) in enumerate(parts):
-            if len(a) and len(b):
-                common[k] += (x[a] @ x[b].T).astype(np.int64)
-    group = {c: c for c in names.tolist()}
+        p, q = np.searchsorted(column, [start, start + width])
+        x = np.zeros((len(rows), width), np.float32)
+        x[row[p:q], column[p:q] - start] = 1
+        total += x @ x.T
+    return total[np.searchsorted(rows, i), np.searchsorted(rows, j)].astype(np.int64)
+
+
+def _joining(node: np.ndarray, comp: np.ndarray, mark: np.ndarray, values: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, agree: int) -> list[tuple[int, int]]:
+    """Linked pairs of rows of ``left`` and ``right`` that join all components which such pairs join."""
+    i, j = _alike(mark, left, right, agree)
+    open_ = comp[i] != comp[j]
+    i, j = i[open_], j[open_]
+    if not len(i):
+        return []
+    both, size = _common(values, i, j), np.array([len(x) for x in values])
+    linked = 100 * both >= percent * (size[i] + size[j] - both)
+    i, j = i[linked], j[linked]
+    group: dict[int, int] = {}
 
     def top(c):
-        while group[c] != c:
+        while group.setdefault(c, c) != c:
             group[c] = c = group[group[c]]
         return c
 
     out = []
-    for (a, b), both in zip(parts, common, strict=True):
-        linked = (100 * both >= percent * (sizes[a][:, None] + sizes[b][None, :] - both)) & (comp[a][:, None] != comp[b][None, :])
-        i, j = np.nonzero(linked)
-        i, j = a[i], b[j]
-        _, first = np.unique(np.stack([comp[i], comp[j]], axis=1), axis=0, return_index=True)
-        for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True):
-            p, q = top(int(comp[x])), top(int(comp[y]))
-            if p != q:
-                group[p] = q
-                out.append((int(doc[x]), int(doc[y])))
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        p, q = top(int(comp[x])), top(int(comp[y]))
+        if p != q:
+            group[p] = q
+            out.append((int(node[x]), int(node[y])))
     return out
 
 
-def tiled(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) that join the components of each region, all its pairs compared on full sets.
+def tiled(rows: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, agree: int) -> DataFrame:
+    """Links (a, b) of nodes that join the components of each region, all its open pairs compared.
 
-    ``rows`` are (tree, base, doc_id, comp, n, total): n rows with ``total`` shingles are in the region (tree, base).
+    ``rows`` are (tree, base, node, mark, comp, main, n_main, n_other, size_main,
+    size_other): the region's most frequent component, and the rows and shingles
+    in it and outside.
     """
 
     def run(table):
         table = table.combine_chunks()
-        doc, comp, salt = (table.column(k).to_numpy() for k in ("doc_id", "comp", "salt"))
+        node, comp, tile = (table.column(k).to_numpy() for k in ("node", "comp", "tile"))
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         found = []
         if (comp != comp[0]).any():
+            mark = np.frombuffer(b"".join(table.column("mark").to_pylist()), np.uint8).reshape(len(node), -1)
             sets = table.column("set").combine_chunks()
-            sizes = np.diff(sets.offsets.to_numpy()).astype(np.int64)
-            found = _joining(doc, comp, sets.flatten().to_numpy(), sizes, np.flatnonzero(salt == low), np.flatnonzero(salt == high), percent)
+            at, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+            values = [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            found = _joining(node, comp, mark, values, np.flatnonzero(tile == low), np.flatnonzero(tile == high), percent, agree)
         return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    sets = full_sets(docs, rows.select("doc_id").distinct(), size)
-    k = F.ceil(F.greatest(F.col("n") / _TILE, F.col("total") / _TILE_SIZE)).cast("long")
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), k)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), k - 1)))
-    rows = rows.select("tree", "base", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), "doc_id", "comp", "salt")
+    used = rows.select("node").distinct()
+    sets = full_sets(docs, classes.join(used, "node", "left_semi"), size)
+    tiles = lambda n, total: F.ceil(F.greatest(F.col(n) / _TILE, F.col(total) / _TILE_SIZE, F.lit(1))).cast("long")
+    others, mains, is_main = tiles("n_other", "size_other"), tiles("n_main", "size_main"), F.col("comp") == F.col("main")
+    # Tiles of the others come first; these meet all tiles, those of the main component only the others'.
+    rows = rows.withColumn("tile", F.when(is_main, others + F.pmod(F.xxhash64("node"), mains)).otherwise(F.pmod(F.xxhash64("node"), others)))
+    rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_main, others).otherwise(others + mains) - 1)))
+    rows = rows.select("tree", "base", F.least("tile", "partner").alias("low"), F.greatest("tile", "partner").alias("high"), "node", "mark", "comp", "tile")
     pair = ["tree", "base", "low", "high"]
-    dealt = rows.join(sets, "doc_id").repartitionByRange(partitions(rows.sparkSession), *pair)
+    dealt = rows.join(sets, "node").repartitionByRange(partitions(rows.sparkSession), *pair)
     return dealt.groupBy(*pair).applyInArrow(run, "a long, b long")
 
 
@@ -321,28 +369,42 @@ def near_dedup(docs: DataFrame, size: int = 4, percent: int = 80, agree: int = 1
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sigs = durable(signatures(docs, size))
     full = sigs.where("n_shingles > 0")
-    classes = durable(full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("mark").alias("mark"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n")))
+    classes = full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("mark").alias("mark"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
+    # Written at once, so each class keeps its number.
+    classes = durable(classes.withColumn("node", F.monotonically_increasing_id()))
 
     def labelled(links):
         if links is None:
-            return classes.select("doc_id", "sig", "mark", "n_shingles", F.col("doc_id").alias("comp"))
-        known = components(links).withColumnRenamed("node", "doc_id")
-        return classes.join(known, "doc_id", "left").select("doc_id", "sig", "mark", "n_shingles", F.coalesce("component", "doc_id").alias("comp"))
-
-    pairs = neighbours(forest(trees(labelled(None))), agree, _NEAR, True)
-    pairs = pairs.groupBy("b").agg(F.max(F.struct("same", "a")).alias("x")).select("b", F.col("x.a").alias("a"))
-    links = durable(confirmed(durable(pairs.select("a", "b")), docs, size, percent))
-
-    rows = trees(durable(labelled(links))).withColumn("base", F.substring("key", 1, 4 * BASE))
-    regions = durable(rows.select("tree", "base", "doc_id", "comp", "n_shingles"))
-    dense = small(regions.groupBy("tree", "base").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.min("comp").alias("least"), F.max("comp").alias("most")).where(F.col("n") > _FAR + 1))
-    thin = rows.join(dense.select("tree", "base"), ["tree", "base"], "left_anti")
-    pairs = neighbours(forest(thin), agree, _FAR, False)
-    new = durable(confirmed(durable(pairs.select("a", "b")), docs, size, percent))
-    open_ = durable(regions.join(dense.where("least <> most").select("tree", "base", "n", "total"), ["tree", "base"]))
-    links = links.unionByName(new).unionByName(durable(tiled(open_, docs, size, percent)))
-    known = components(links)
-    labels = classes.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
-    out = attach_by_group(full.select("doc_id", "n_shingles", "set_id"), durable(labels), "set_id", "n").select("doc_id", "n_shingles", "component_id")
+            return classes.withColumn("comp", F.col("node"))
+        known = components(links).withColumnRenamed("component", "comp")
+        return classes.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    def links_of(candidates):
+        return durable(confirmed(durable(candidates), docs, classes, size, percent))
+
+    best = neighbours(forest(trees(labelled(None))), agree, _NEAR, True)
+    links = links_of(best.groupBy("b").agg(F.max(F.struct("same", "a")).alias("x")).select("b", F.col("x.a").alias("a")).select("a", "b"))
+
+    marked = durable(labelled(links))
+    rows = trees(marked).withColumn("base", F.substring("key", 1, 4 * BASE))
+    regions = durable(rows.groupBy("tree", "base").agg(F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most")).where(F.col("n") > _FAR + 1))
+    dense = small(regions.select("tree", "base"))
+    new = links_of(neighbours(forest(rows.join(dense, ["tree", "base"], "left_anti")), agree, _FAR, False).select("a", "b"))
+    links = durable(links.unionByName(new))
+
+    split = small(regions.where("least <> most").select("tree", "base"))
+    rows = trees(durable(labelled(links))).withColumn("base", F.substring("key", 1, 4 * BASE)).join(split, ["tree", "base"], "left_semi")
+    rows = durable(rows.join(classes.select("node", "n_shingles"), "node").select("tree", "base", "node", "mark", "comp", "n_shingles"))
+    parts = rows.groupBy("tree", "base", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    sums = parts.groupBy("tree", "base").agg(F.max(F.struct("n", "comp", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    sums = sums.select("tree", "base", F.col("top.comp").alias("main"), F.col("top.n").alias("n_main"), (F.col("n") - F.col("top.n")).alias("n_other"), F.col("top.size").alias("size_main"), (F.col("size") - F.col("top.size")).alias("size_other"))
+    open_ = rows.join(small(sums.where("n_other > 0")), ["tree", "base"])
+    links = links.unionByName(durable(tiled(open_, docs, classes, size, percent, agree)))
+
+    known = components(links).withColumnRenamed("component", "comp")
+    labels = durable(classes.join(known, "node", "left").select("set_id", "n", "doc_id", F.coalesce("comp", "node").alias("comp")))
+    least = durable(labels.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")))
+    labels = durable(attach_by_group(labels, least, "comp", "members").select("set_id", "n", "component_id"))
+    out = attach_by_group(full.select("doc_id", "n_shingles", "set_id"), labels, "set_id", "n").select("doc_id", "n_shingles", "component_id")
     bare = sigs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(bare).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -2,13 +2,18 @@
 
 Documents are cut into pieces of at most ``capacity`` tokens (all pieces of a
 document but its last are full sequences), and the last pieces are packed so
-that no further document is cut.  Lengths are counted in a histogram of
-``capacity / quantum`` classes, which is all that the driver ever sees.  On it a
-linear program over patterns (multisets of classes that fit one sequence) is
+that no further document is cut.  Lengths are counted in a histogram of classes:
+exact up to 128 tokens, then wider by ``fineness``-ths of the length, so a piece
+takes up at most one ``fineness``-th more than it has.  This histogram is all that the driver sees.  On
+it a linear program over patterns (multisets of classes that fit one sequence) is
 solved by column generation: an unbounded-knapsack dynamic program over the dual
-prices finds the next pattern.  The patterns' multiplicities are rounded down,
-the few pieces left (fewer than classes times pieces of a pattern) are placed by
-first-fit decreasing, and pieces, ranked within their class, take the slots.
+prices finds the next patterns, until its prices prove (by Farley's bound) that no
+solution has over a ``gap``-th fewer sequences, or ``patience`` runs together saved
+less than half of that.  A best-fit packing in small gives the first
+patterns.  The patterns' multiplicities
+are rounded down, the few pieces left (fewer than classes times pieces of a
+pattern) are placed by best-fit decreasing, and pieces, ranked within their class,
+take the slots.
 
 Defined cases: null text counts as empty; an empty document is one piece that
 holds the end token; an empty table gives no rows; repeated rows of one doc_id
@@ -17,6 +22,8 @@ are packed separately; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+import math
 import os
 import zlib
 
@@ -32,7 +39,6 @@ from .common import durable, partitions
 _CACHE_WORDS = 1_000_000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
-_ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _loaded: dict[str, WordEncoder] = {}
 
 
@@ -44,7 +50,8 @@ class WordEncoder:
     does: then the ids of a text are those of its parts in turn, where a part
     ends at a blank, or after an ASCII letter that another ASCII character
     follows (only at blanks where a text may hold added tokens, which all begin
-    with ``<|``).  Parts are told apart by 64-bit hashes of their bytes and lengths.
+    with ``<|``).  Parts of a slice are brought together by 64-bit hashes, then
+    compared byte by byte; the parts known so far are found by their bytes.
     """
 
     def __init__(self, path: str):
@@ -59,14 +66,15 @@ class WordEncoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.row: dict[int, int] = {}
+        self.row: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _add(self, keys: list[int], parts: list[str]) -> None:
-        """Encode new parts; those of letters alone in one call, cut after each closing piece."""
+    def _add(self, keys: list[bytes]) -> None:
+        """Encode new parts; those of ASCII letters alone, each with one closing piece, at its end, in one call."""
+        parts = [k.decode() for k in keys]
         found: list[np.ndarray | None] = [None] * len(parts)
-        plain = [k for k, w in enumerate(parts) if w.isalpha()]
+        plain = [k for k, w in enumerate(parts) if w.isascii() and w.isalpha()]
         ids = np.array(self.tokenizer.encode(" ".join(parts[k] for k in plain), add_special_tokens=False).ids, "<u4")
         cuts = np.flatnonzero(self.closes[ids]) + 1
         if len(cuts) == len(plain):
@@ -97,19 +105,33 @@ class WordEncoder:
             start, end = self._bounds(buf, at, fold)
             if len(self.row) > _CACHE_WORDS:
                 self._empty()
-            keys, first, which = np.unique(K.span_hash(K.prefix((K._LOWER if fold else K._TABLE)[buf], K._BYTE_BASE), start, end, K._BYTE_BASE), return_index=True, return_inverse=True)
-            keys = keys.tolist()
-            new = [k for k, x in enumerate(keys) if x not in self.row]
+            keys, which = self._distinct(K.LOWER[buf] if fold else buf, start, end)
+            new = [k for k in keys if k not in self.row]
             if new:
-                raw = buf.tobytes()
-                parts = [raw[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
-                self._add([keys[k] for k in new], [(p.translate(_ASCII_LOWER) if fold else p).decode() for p in parts])
+                self._add(list(dict.fromkeys(new)))
             row = np.fromiter(map(self.row.__getitem__, keys), np.int64, len(keys))[which] if keys else np.zeros(0, np.int64)
             size = self.size[row]
             total = np.append(0, np.cumsum(size))
             ids = self.flat[np.repeat(self.start[row] - total[:-1], size) + np.arange(total[-1])]
             yield ids, total[np.searchsorted(start, at)]
 
+    @staticmethod
+    def _distinct(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The different parts, and which of them each part is."""
+        if not len(start):
+            return [], start
+        raw = buf.tobytes()
+        _, first, which = np.unique(K.hash_bytes(buf, start, end), return_index=True, return_inverse=True)
+        like, size = first[which], end - start
+        same = (size[like] == size).all()
+        if same:
+            # All bytes of all parts, beside those of the first part with their hash.
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            same = (buf[np.repeat(start, size) + at] == buf[np.repeat(start[like], size) + at]).all()
+        if not same:
+            first, which = np.arange(len(start)), np.arange(len(start))
+        return [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)], which
+
     @staticmethod
     def _bounds(buf: np.ndarray, at: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
         ink = ~K._BLANK[buf]
@@ -170,77 +192,145 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def best_pattern(price: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: class i (weight i + 1, value ``price[i]``) within ``room``."""
-    value, pick = np.zeros(room + 1), np.zeros(room + 1, np.int64)
-    weight = np.arange(1, room + 1)
-    for r in range(1, room + 1):
-        options = price[:r] + value[r - weight[:r]]
-        k = int(np.argmax(options))
-        value[r], pick[r] = max(options[k], value[r - 1]), k if options[k] > value[r - 1] + 1e-12 else -1
-    counts, r = np.zeros(room, np.int64), room
-    while r > 0:
-        if pick[r] < 0:
-            r -= 1
-        else:
-            counts[pick[r]] += 1
-            r -= pick[r] + 1
-    return float(value[room]), counts
+def classes(capacity: int, quantum: int = 1, fineness: int = 64) -> np.ndarray:
+    """The greatest length of each class, ascending up to ``capacity``; all are multiples of ``quantum``."""
+    if capacity % quantum:
+        raise ValueError("capacity must be a multiple of quantum")
+    out = [0]
+    while out[-1] < capacity:
+        out.append(min(capacity, out[-1] + quantum * max(1, out[-1] // (fineness * quantum))))
+    return np.array(out[1:])
 
 
-def cutting_stock(demand: np.ndarray, most_rounds: int = 4000) -> tuple[list[np.ndarray], list[float]]:
-    """Patterns and how often the linear program uses each.
+def best_patterns(price: np.ndarray, weight: np.ndarray, room: int) -> tuple[float, np.ndarray]:
+    """Unbounded knapsack by dynamic programming; weights ascend.
 
-    ``demand[i]`` pieces of weight i + 1 are to be cut from stock of weight
-    ``len(demand)``.  Revised simplex over the classes in demand; each round
-    prices in the knapsack's best pattern, until none saves anything (or, as a
-    bound on the driver's time, after ``most_rounds``: any basis is feasible).
+    The value of the best pattern within ``room``, and for each class the best
+    pattern that has a piece of it.
+    """
+    value, pick = np.zeros(room + 1), np.full(room + 1, -1)
+    fits = np.searchsorted(weight, np.arange(room + 1), "right").tolist()
+    for r in range(int(weight[0]), room + 1):
+        k = fits[r]
+        options = value[r - weight[:k]]
+        options += price[:k]
+        best = options.argmax()
+        if options[best] > value[r - 1] + 1e-12:
+            value[r], pick[r] = options[best], best
+        else:
+            value[r] = value[r - 1]
+    # Of each room, the least one that is worth as much.
+    at = np.maximum.accumulate(np.where(pick >= 0, np.arange(room + 1), 0)).tolist()
+    pick, sizes = pick.tolist(), weight.tolist()
+    out = np.eye(len(weight), dtype=np.int64)
+    for c, row in enumerate(out):
+        r = at[room - sizes[c]]
+        while r:
+            row[pick[r]] += 1
+            r = at[r - sizes[pick[r]]]
+    return float(value[room]), out
+
+
+def best_fit(demand: np.ndarray, weight: np.ndarray, room: int) -> list[np.ndarray]:
+    """One pattern per sequence, by best-fit decreasing."""
+    left, bins = demand.copy(), []
+    # Free room of each bin, ascending, with the bin.
+    free: list[tuple[int, int]] = []
+    for c in np.flatnonzero(left)[::-1]:
+        w = int(weight[c])
+        while left[c]:
+            at = bisect.bisect_left(free, (w, -1))
+            if at == len(free):
+                bins.append(np.zeros(len(left), np.int64))
+                free.append((room, len(bins) - 1))
+            r, k = free.pop(at)
+            n = min(int(left[c]), r // w)
+            bins[k][c] += n
+            left[c] -= n
+            bisect.insort(free, (r - n * w, k))
+    return bins
+
+
+def cutting_stock(demand: np.ndarray, weight: np.ndarray, room: int, gap: float = 0.005, patience: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (one a row) and how often the linear program uses each.
+
+    ``demand[i]`` pieces of weight ``weight[i]`` (ascending, none without demand)
+    are to be cut from stock of weight ``room``.  Revised simplex over the patterns
+    found so far, then the knapsack prices in new ones, until at most a ``gap``-th
+    could be saved: any prices, divided by the worth of their best pattern, are a
+    dual solution and so a bound.  Bounds improve slowly at the end, so it also ends
+    when ``patience`` runs of the knapsack saved less than half of ``gap``.  The
+    knapsack's prices are smoothed: they lie between the current ones and those of
+    the best bound, which start as the weights.
     """
-    room, classes = len(demand), np.flatnonzero(demand)
-    m = len(classes)
+    m = len(weight)
+    basis = np.diag(room // weight) if m else np.zeros((0, 0), np.int64)
     if not m:
-        return [], []
-    patterns = []
-    for c in classes:
-        p = np.zeros(room, np.int64)
-        p[c] = room // (c + 1)
-        patterns.append(p)
-    inverse = np.diag([1.0 / p[c] for p, c in zip(patterns, classes, strict=True)])
-    x = inverse @ demand[classes].astype(float)
-    for _ in range(most_rounds):
-        price = np.full(room, -1.0)
-        price[classes] = inverse.sum(axis=0)
-        value, column = best_pattern(price, room)
-        if value <= 1 + 1e-7:
-            break
-        d = inverse @ column[classes]
-        able = d > 1e-9
-        if not able.any():
-            break
-        ratio = np.where(able, x / np.where(able, d, 1), np.inf)
-        k = int(np.argmin(ratio))
-        x = np.maximum(x - ratio[k] * d, 0)
-        x[k] = ratio[k]
-        inverse[k] /= d[k]
-        inverse -= np.outer(np.where(np.arange(m) == k, 0, d), inverse[k])
-        patterns[k] = column
-    return patterns, x.tolist()
-
-
-def slots(demand: np.ndarray) -> pd.DataFrame:
+        return basis, np.zeros(0)
+    known, pivots, share = basis.astype(float), 0, 0.9
+    inverse = np.linalg.inv(basis.T)
+    x = inverse @ demand
+    # Also known from the start are the patterns of a packing in small.
+    known = np.concatenate([known, best_fit(-(-demand * 4000 // demand.sum()), weight, room)])
+    safe = weight / room
+    bound, totals = demand @ safe, [math.inf] * patience
+    while x.sum() > bound * (1 + gap) and x.sum() < totals[-patience] * (1 - gap / 2):
+        price = inverse.sum(axis=0)
+        mixed = share * safe + (1 - share) * price
+        value, found = best_patterns(mixed, weight, room)
+        if demand @ mixed > bound * value:
+            bound, safe = demand @ mixed / value, mixed / value
+        found = found[found @ price > 1 + gap / 4]
+        if not len(found) and math.isfinite(totals[-1]):
+            if share == 0:
+                break
+            share = share / 2 if share > 0.1 else 0
+            continue
+        share = 0.9
+        totals.append(x.sum())
+        known = np.concatenate([known[known @ price > 0.9 if math.isfinite(totals[-2]) else slice(None)], np.unique(found, axis=0).astype(float)])
+        # So many pivots at most, since degenerate ones may go round; any basis is feasible.
+        for _ in range(20 * m):
+            worth = known @ inverse.sum(axis=0)
+            best = int(worth.argmax())
+            if worth[best] <= 1 + gap / 4:
+                break
+            d = inverse @ known[best]
+            ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
+            k = int(np.argmin(ratio))
+            x = np.maximum(x - ratio[k] * d, 0)
+            x[k] = ratio[k]
+            basis[k] = known[best]
+            pivots += 1
+            if pivots % 50 == 0:
+                # Afresh, against errors that add up.
+                inverse = np.linalg.inv(basis.T)
+                x = np.maximum(inverse @ demand, 0)
+            else:
+                inverse[k] /= d[k]
+                inverse -= np.outer(np.where(np.arange(m) == k, 0, d), inverse[k])
+    return basis, x
+
+
+def slots(demand: np.ndarray, weight: np.ndarray | None = None) -> pd.DataFrame:
     """Where the pieces of each class go: (cls, first, last, per, sequence).
 
+    ``weight`` (1, 2, 3 ... if not given) ends with the room of a sequence.
+
     Pieces of class ``cls`` with rank in [first, last) go to sequences
     ``sequence + (rank - first) // per``.
     """
-    patterns, times = cutting_stock(demand)
-    left, rows, taken, sequence = demand.copy(), [], np.zeros(len(demand), np.int64), 0
+    weight = np.arange(1, len(demand) + 1) if weight is None else weight
+    there, room = np.flatnonzero(demand), int(weight[-1])
+    weight, left = weight[there], demand[there].copy()
+    patterns, times = cutting_stock(left, weight, room)
+    rows, taken, sequence = [], np.zeros(len(left), np.int64), 0
 
     def use(pattern: np.ndarray, n: int) -> None:
         nonlocal sequence
         for c in np.flatnonzero(pattern):
             per = int(pattern[c])
-            rows.append((int(c), int(taken[c]), int(taken[c] + n * per), per, sequence))
+            rows.append((int(there[c]), int(taken[c]), int(taken[c] + n * per), per, sequence))
             taken[c] += n * per
         sequence += n
 
@@ -250,44 +340,36 @@ def slots(demand: np.ndarray) -> pd.DataFrame:
         if n > 0:
             use(p, n)
             left -= n * p
-    bins: list[np.ndarray] = []
-    rooms: list[int] = []
-    for c in np.flatnonzero(left)[::-1]:
-        for _ in range(int(left[c])):
-            k = next((k for k, r in enumerate(rooms) if r >= c + 1), None)
-            if k is None:
-                bins.append(np.zeros(len(demand), np.int64))
-                rooms.append(len(demand))
-                k = len(bins) - 1
-            bins[k][c] += 1
-            rooms[k] -= c + 1
+    bins = best_fit(left, weight, room)
     for b in bins:
         use(b, 1)
     return pd.DataFrame(rows, columns=["cls", "first", "last", "per", "sequence"])
 
 
-def assign(parts: DataFrame, capacity: int = 4096, quantum: int = 16) -> DataFrame:
+def assign(parts: DataFrame, capacity: int = 4096, quantum: int = 1) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with ``doc_id``, ``piece`` and ``length``.
 
     Ranks come from counts by (class, salt) and a window within one of them, so
     a class of any size is ranked in many tasks.  The order within a class is
     that of salts of doc_id, then doc_id.
     """
-    if capacity % quantum:
-        raise ValueError("capacity must be a multiple of quantum")
-    spark, room = parts.sparkSession, capacity // quantum
+    spark, upper = parts.sparkSession, classes(capacity, quantum)
     salts = 4 * partitions(spark)
-    parts = parts.withColumn("cls", (F.floor((F.col("length") + quantum - 1) / quantum) - 1).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    # Class and full pieces by a lookup in a constant array, indexed by length.
+    cls = np.searchsorted(upper, np.arange(1, capacity + 1)).tolist()
+    parts = parts.withColumn("cls", F.get(F.lit(cls), F.col("length").cast("int") - 1)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     counts = durable(parts.groupBy("cls", "salt").count())
-    demand = np.zeros(room, np.int64)
+    demand = np.zeros(len(upper), np.int64)
     for c, n in counts.groupBy("cls").agg(F.sum("count")).collect():  # one row for each class at most
         demand[c] = n
     whole = int(demand[-1])
     demand[-1] = 0
-    table = slots(demand)
+    table = slots(demand, upper)
     base = int((table["sequence"] + (table["last"] - table["first"]) // table["per"]).max()) if len(table) else 0
-    table.loc[len(table)] = (room - 1, 0, whole, 1, base)
+    # The last class is full or nearly full pieces, each a sequence of its own.
+    table.loc[len(table)] = (len(upper) - 1, 0, whole, 1, base)
     lookup = {int(c): g.sort_values("first")[["first", "per", "sequence"]].to_numpy() for c, g in table.groupby("cls")}
+    # At most classes times salts rows; a task sums one class, 4 numbers a shuffle partition.
     before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("cls").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("cls", "salt", F.coalesce("before", F.lit(0)).alias("before"))
 
     @F.pandas_udf("long")
@@ -308,6 +390,6 @@ def assign(parts: DataFrame, capacity: int = 4096, quantum: int = 16) -> DataFra
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long")).drop("cls", "salt", "rank", "before")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, quantum: int = 16, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, quantum: int = 1, with_ids: bool = True) -> DataFrame:
     """Tokenise and pack ``docs``: one row per piece, with its token ids unless ``with_ids`` is off."""
     return assign(durable(pieces(docs, tokenizer_path, end_id, capacity, with_ids=with_ids)), capacity, quantum)

@@ -13,17 +13,21 @@ share an anchor can hold a match.
 
 Documents are dealt to blocks by a hash of their id; what is looked up travels
 as packed numbers between blocks and hash shards, and the text moves only to its
-block.  A hash that is frequent within one task is decided there and sent on
-once, so no passage, however common, makes a large group.  Windows count as
-equal when their 64-bit hashes and those of their anchors' positions agree.
+block.  A hash that is frequent within one task is decided there and at most
+``_HERE`` records of it are sent on, so a passage, however common, makes a group
+of that many records a task.  Stretches count as equal when a 64-bit hash of
+their words and the 64-bit hash of their anchor agree, single windows when two
+64-bit hashes of their words do.
 
 Defined cases: null and empty texts have no words; documents under ``window``
 words lose nothing; repeated rows of one doc_id are separate documents that
-match each other; an empty table gives no rows; other columns are ignored.
+match each other; an empty table gives no rows; other columns are ignored, and a
+kept column with the name of a result is returned as ``<name>_in``.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import compress
 
 import numpy as np
@@ -36,11 +40,13 @@ from .common import durable, partitions
 
 _U = np.uint64
 _BITS = 22
+_OTHER = _U(0x8EBC6AF09C88C6E3)
 _OPEN = np.dtype([("a", "<u8"), ("s", "<u8"), ("block", "<u4")])
 #: Block of a record that only counts.
 _NOWHERE = 0xFFFFFFFF
 #: Records of one anchor that a task sends on undecided.
 _HERE = 16
+_INK = re.compile(rb"[^\x20\x09-\x0D]+")
 _SENT = "side int, target int, data binary"
 
 
@@ -52,7 +58,7 @@ class Stretches:
         h, self.ends = K.words(data, offsets)
         self.window, n = window, len(h)
         self.words = n
-        self.pre = K.prefix(h)
+        self.runs = K.Runs(h)
         empty = np.zeros(0, np.int64)
         self.start = self.length = self.doc = empty
         self.anchor = self.whole = np.zeros(0, _U)
@@ -65,7 +71,7 @@ class Stretches:
         low = _U((1 << bits) - 1)
         doc = np.repeat(np.arange(len(self.ends) - 1), np.diff(self.ends))
         at = np.arange(n - gram + 1)
-        grams = K.span_hash(self.pre, at, at + gram)
+        grams = self.runs.of(at, gram)
         least = K.sliding_min((grams & ~low) | at.astype(_U), window - gram + 1)
         valid = np.flatnonzero(doc[: n - window + 1] == doc[window - 1 :])
         if not len(valid):
@@ -80,7 +86,7 @@ class Stretches:
         self.doc = doc[self.start]
         self.anchor = grams[anchor]
         shift = (anchor - self.start).astype(_U) * _U(0xE7037ED1A0B428DB)
-        self.whole = K.mix(K.span_hash(self.pre, self.start, self.start + self.length + window - 1) + shift)
+        self.whole = K.mix(self.runs.of(self.start, self.length + window - 1) + shift)
 
     def windows(self, which: np.ndarray) -> np.ndarray:
         """Starts of all windows of these stretches."""
@@ -88,7 +94,11 @@ class Stretches:
         return np.repeat(self.start[which] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
 
     def hashes(self, at: np.ndarray) -> np.ndarray:
-        return K.span_hash(self.pre, at, at + self.window)
+        return self.runs.of(at, self.window)
+
+    def others(self, at: np.ndarray) -> np.ndarray:
+        """Second hashes of windows, from other hashes of the words."""
+        return K.Runs(K.mix(self.runs.level[0] ^ _OTHER)).of(at, self.window)
 
 
 def _send(rows: list, side: int, targets: np.ndarray, data: np.ndarray) -> None:
@@ -111,11 +121,10 @@ def _joined(table: pa.Table, column: str = "data") -> bytes:
     return b"".join(table.column(column).to_pylist())
 
 
-def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted ``x``: the run that each entry is in, and the runs' lengths."""
-    new = np.append(True, x[1:] != x[:-1]) if len(x) else np.zeros(0, bool)
-    run = np.cumsum(new) - 1
-    return run, np.bincount(run) if len(x) else np.zeros(0, np.int64)
+def _runs(rec: np.ndarray, *names: str) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted records: the run, equal in these fields, that each is in, and the runs' lengths."""
+    run = np.cumsum(_firsts(rec, *names)) - 1
+    return run, np.bincount(run) if len(rec) else np.zeros(0, np.int64)
 
 
 class SubstringDedup:
@@ -153,8 +162,8 @@ class SubstringDedup:
         def run(table: pa.Table) -> pa.Table:
             rec = np.frombuffer(_joined(table), _OPEN)
             rec, rows = rec[np.lexsort((rec["block"], rec["s"], rec["a"]))], []
-            run_s, n_s = _runs(rec["s"])
-            run_a, n_a = _runs(rec["a"])
+            run_s, n_s = _runs(rec, "a", "s")
+            run_a, n_a = _runs(rec, "a")
             first_s, real = _firsts(rec, "a", "s"), rec["block"] != _NOWHERE
             matched = n_s[run_s] > 1
             extend = np.bincount(run_a[first_s], minlength=len(n_a))[run_a] > 1
@@ -180,10 +189,11 @@ class SubstringDedup:
                 text = docs.column("text").combine_chunks()
                 for i, j in K.slices(text):
                     x = Stretches(text[i:j], window, gram)
-                    h = x.hashes(x.windows(np.flatnonzero(np.isin(x.whole, wanted))))
-                    rec = np.zeros(len(h), _OPEN)
-                    rec["a"] = rec["s"] = h
-                    rec["block"] = block
+                    at = x.windows(np.flatnonzero(np.isin(x.whole, wanted)))
+                    if not len(at):
+                        continue
+                    rec = np.zeros(len(at), _OPEN)
+                    rec["a"], rec["s"], rec["block"] = x.others(at), x.hashes(at), block
                     _settle(rows, rec, shards, windows=True)
             return pa.Table.from_batches([_batch(rows)])
 
@@ -195,7 +205,7 @@ class SubstringDedup:
 
         def run(docs: pa.Table, told: pa.Table) -> pa.Table:
             hashes = [np.unique(np.frombuffer(b"".join(d for d, s in zip(told.column("data").to_pylist(), told.column("side").to_pylist(), strict=True) if s == k), "<u8")) for k in (1, 3)]
-            ids, n_words, n_removed, kept, spans = [], [], [], [], []
+            ids, n_words, n_removed, kept, cut, spans = [], [], [], [], [], []
             text = docs.column("text").combine_chunks() if docs.num_rows else pa.array([], pa.string())
             for i, j in K.slices(text):
                 x = Stretches(text[i:j], window, gram)
@@ -211,21 +221,23 @@ class SubstringDedup:
                 for k, (s, raw) in enumerate(zip(text[i:j], range(i, j), strict=True)):
                     a, b = x.ends[k], x.ends[k + 1]
                     g = gone[a:b]
-                    parts = s.as_py().encode().split()
+                    raw = s.as_py().encode()
+                    parts = raw.split()
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], g.view(np.int8), [0]))))
                     n_words.append(int(b - a))
                     n_removed.append(int(g.sum()))
                     kept.append(b" ".join(compress(parts, (~g).tolist()) if len(edge) else parts).decode())
+                    cut.append(_cut(raw, g).decode() if len(edge) else None)
                     spans.append([{"start": int(p), "length": int(q - p)} for p, q in edge.reshape(-1, 2)])
                 ids += docs.column("doc_id")[i:j].to_pylist()
-            out = pa.table({"doc_id": pa.array(ids, docs.schema.field("doc_id").type), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string()), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))})
+            out = pa.table({"doc_id": pa.array(ids, docs.schema.field("doc_id").type), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string()), "cut_text": pa.array(cut, pa.string()), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))})
             for c in extra:
                 out = out.append_column(c, docs.column(c))
             return out
 
         kinds = dict(self.docs.dtypes)
         extra = [c for c in self.docs.columns if c.startswith("__")] + ["text"] * bool(self.kept)
-        schema = f"doc_id {kinds['doc_id']}, n_words long, n_removed long, kept_text string, removed array<struct<start: long, length: long>>" + "".join(f", {c} {kinds[c]}" for c in extra)
+        schema = f"doc_id {kinds['doc_id']}, n_words long, n_removed long, kept_text string, cut_text string, removed array<struct<start: long, length: long>>" + "".join(f", {c} {kinds[c]}" for c in extra)
         return self.docs.groupBy("block").cogroup(self.per_block(told).groupBy("block")).applyInArrow(run, schema)
 
     def frequent(self, sent: DataFrame) -> DataFrame:
@@ -234,8 +246,8 @@ class SubstringDedup:
         def run(table: pa.Table) -> pa.Table:
             rec = np.frombuffer(_joined(table), _OPEN)
             rows: list = []
-            rec = rec[np.argsort(rec["s"], kind="stable")]
-            which, n = _runs(rec["s"])
+            rec = rec[np.lexsort((rec["s"], rec["a"]))]
+            which, n = _runs(rec, "a", "s")
             mask = (n[which] > 1) & (rec["block"] != _NOWHERE)
             _send(rows, 3, rec["block"][mask], rec["s"][mask])
             return pa.Table.from_batches([_batch(rows)])
@@ -243,6 +255,14 @@ class SubstringDedup:
         return sent.where("side = 0").groupBy("target").applyInArrow(run, _SENT)
 
 
+def _cut(raw: bytes, gone: np.ndarray) -> bytes:
+    """The text without the words marked in ``gone`` and the blanks after each."""
+    starts = [m.start() for m in _INK.finditer(raw)]
+    kept = [raw[: starts[0]]]
+    kept += [raw[a:b] for a, b, g in zip(starts, [*starts[1:], len(raw)], gone.tolist(), strict=True) if not g]
+    return b"".join(kept)
+
+
 def _firsts(rec: np.ndarray, *names: str) -> np.ndarray:
     """Whether each entry of sorted records differs from the one before it in these fields."""
     new = np.zeros(len(rec), bool)
@@ -264,16 +284,16 @@ def _settle(rows: list, rec: np.ndarray, shards: int, windows: bool = False) ->
     if not len(rec):
         return
     rec = rec[np.lexsort((rec["block"], rec["s"], rec["a"]))]
-    run_a, n_a = _runs(rec["a"])
+    run_a, n_a = _runs(rec, "a")
     common = n_a[run_a] > _HERE
     out = [rec[~common]]
     rec = rec[common]
     if len(rec):
-        run_s, n_s = _runs(rec["s"])
+        run_s, n_s = _runs(rec, "a", "s")
         twice, first_s = n_s[run_s] > 1, _firsts(rec, "a", "s")
         told = rec[twice & _firsts(rec, "a", "s", "block")]
         _send(rows, 3 if windows else 1, told["block"], told["s"])
-        run_a, n_a = _runs(rec["a"])
+        run_a, n_a = _runs(rec, "a")
         order = np.cumsum(first_s) - 1
         order -= order[np.flatnonzero(_firsts(rec, "a"))][run_a]
         if not windows:
@@ -289,11 +309,12 @@ def _settle(rows: list, rec: np.ndarray, shards: int, windows: bool = False) ->
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 8, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text, removed, *keep): every word in a repeated window goes.
+    """(doc_id, n_words, n_removed, kept_text, cut_text, removed, *keep): every word in a repeated window goes.
 
     A window is repeated if its words also start anywhere else.  ``removed``
     holds the maximal repeats as word ranges; ``kept_text`` the other words,
-    joined by one space.
+    joined by one space; ``cut_text`` the text without each removed word and the
+    blanks after it, null if no word goes.
     """
     if not 0 < gram <= window:
         raise ValueError("gram must be between 1 and window")
@@ -303,7 +324,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 8, block_byte
     extended = job.extend(matched)
     windows = job.frequent(extended).unionByName(extended.where("side = 3"))
     out = job.remove(durable(matched.where("side = 1").unionByName(windows)))
-    result = ["n_words", "n_removed", "kept_text", "removed"]
+    result = ["n_words", "n_removed", "kept_text", "cut_text", "removed"]
     own = {id_col: "doc_id", text_col: "text"}
-    others = [F.col(own.get(c, k)).alias(c) for c, k in job.kept if c != "doc_id" or id_col != "doc_id"]
+    others = [F.col(own.get(c, k)).alias(f"{c}_in" if c in ["doc_id", *result] else c) for c, k in job.kept if c != "doc_id" or id_col != "doc_id"]
     return out.select("doc_id", *result, *others)
