@@ -3,15 +3,16 @@
 Base rules count words, symbols, repeated lines and repeated three-word windows.
 Documents long enough are then compared with language references by the
 Jensen-Shannon distance (base 2, so 0 to 1) of two histograms: character classes
-and common words.  A reference is the sum over all documents of that language.
-A document's distance to a language is the larger of its two distances, and it
-is kept if the nearest language is near enough.
+and common words.  A reference is the sum over all documents of that language, of
+any that the table names.  A document's distance to a language is the larger of its
+two distances, and it is kept if the nearest language is near enough.
 
-Windows of a text are compared by a hash of 64 bits less those of a position.
+Windows of a text are sorted by a hash and compared by their words; a text in which
+different windows have one hash is sorted by the windows themselves.
 
-Defined cases: null text has no words and fails the base rules; a null or
-unlisted lang adds to no reference; without any reference, and under
-``min_words`` words or one common word, the distance is not judged; repeated
+Defined cases: null text has no words and fails the base rules; a null lang adds to
+no reference; without any reference, and under ``min_words`` words, the distance is
+not judged; a text without a common word is judged like any other; repeated
 rows are judged alike; an empty table gives no rows; other columns are ignored.
 """
 
@@ -34,6 +35,17 @@ WORD_LIST = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 CLASSES = {"blank": SPACE, "upper": "[A-Z]", "digit": "[0-9]", "mark": r"[!-/:-@\[-`{-~]", "wide": r"[^\x00-\x7F]"}
 
 
+def by_words(w: Column) -> Column:
+    """Ascending places of the three-word windows that occur twice or more, without a hash."""
+    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.concat_ws(" ", F.slice(w, i + 1, 3)).alias("words"), i.cast("long").alias("at")))
+
+    def twice(s: Column) -> Column:
+        same = lambda x, j: F.coalesce(F.get(s, j)["words"] == x["words"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(s, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["at"]))
+
+    return let(F.sort_array(windows), twice)
+
+
 def repeated_words(words: Column) -> Column:
     """Number of words inside three-word windows that occur twice or more."""
 
@@ -46,10 +58,17 @@ def repeated_words(words: Column) -> Column:
 
         def matched(s: Column) -> Column:
             key = lambda x: F.call_function("shiftright", x, bits)
-            same = lambda x, j: F.coalesce(key(F.get(s, j)) == key(x), F.lit(False))
-            at = F.filter(s, lambda x, j: same(x, j + 1) | same(x, j - 1))
             mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-            return F.sort_array(F.transform(at, lambda x: x.bitwiseAND(mask)))
+            word = lambda x, k: F.get(w, x.bitwiseAND(mask).cast("int") + k)
+            same = lambda x, y: (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2))
+            # How each entry goes with the next: 0 for another hash, 1 for the same words, 2 for other words.
+            links = F.transform(s, lambda x, j: let(F.get(s, j + 1), lambda y: F.when(y.isNull() | (key(x) != key(y)), 0).when(same(x, y), 1).otherwise(2)))
+
+            def found(link: Column) -> Column:
+                at = F.filter(s, lambda x, j: (F.get(link, j) == 1) | F.coalesce(F.get(link, j - 1) == 1, F.lit(False)))
+                return F.when(F.array_contains(link, 2), by_words(w)).otherwise(F.sort_array(F.transform(at, lambda x: x.bitwiseAND(mask))))
+
+            return let(links, found)
 
         return let(F.sort_array(hashed), matched)
 
@@ -92,14 +111,14 @@ def _shares(counts: Column) -> Column:
     return let(total, lambda t: F.when(t > 0, F.transform(counts, lambda x: x / t)))
 
 
-def _distance(shares: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance of shares from fixed shares."""
+def _distance(shares: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance of two arrays of shares."""
 
     def term(p: Column, q: Column) -> Column:
         m = (p + q) / 2
         return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
 
-    terms = F.zip_with(shares, F.lit(reference), term)
+    terms = F.zip_with(shares, reference, term)
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
@@ -115,15 +134,16 @@ def quality(docs: DataFrame, max_distance: float = 0.3, min_words: int = 100, id
     m = m.withColumn("char", F.concat("chars", F.array(blank, F.col("word_chars") - total(F.col("chars")))))
     m = durable(m.withColumn("n_common", total(F.col("common"))).withColumn("word", F.concat("common", F.array(F.col("n_words") - F.col("n_common")))).drop("chars", "common"))
     sizes = {"char": len(CLASSES) + 1, "word": len(WORD_LIST) + 1}
-    sums = m.where(F.col("lang").isin(list(COMMON_WORDS))).groupBy("lang").agg(*[F.sum(F.get(k, F.lit(i))).alias(f"{k}{i}") for k, n in sizes.items() for i in range(n)])
-    distances = []
-    for r in sums.orderBy("lang").collect():  # one row for each listed language
+    sums = m.where("lang is not null").groupBy("lang").agg(*[F.sum(F.get(k, F.lit(i))).alias(f"{k}{i}") for k, n in sizes.items() for i in range(n)])
+    references = []
+    for r in sums.orderBy("lang").collect():  # one row of a few numbers for each language
         counts = {k: [r[f"{k}{i}"] for i in range(n)] for k, n in sizes.items()}
         if all(sum(c) for c in counts.values()):
-            distances.append(F.greatest(*[_distance(F.col(f"{k}_share"), [x / sum(c) for x in c]) for k, c in counts.items()]))
+            references.append(F.struct(*[F.lit([x / sum(c) for x in c]).alias(k) for k, c in counts.items()]))
     m = m.withColumns({f"{k}_share": _shares(F.col(k)) for k in sizes})
-    nearest = F.array_min(F.array(*distances)) if distances else F.lit(None).cast("double")
-    judged = (F.col("n_words") >= min_words) & (F.col("n_common") > 0)
+    distance = lambda r: F.greatest(*[_distance(F.col(f"{k}_share"), r[k]) for k in sizes])
+    nearest = F.array_min(F.transform(F.array(*references), distance)) if references else F.lit(None).cast("double")
+    judged = F.col("n_words") >= min_words
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = m.withColumn("base_failed", failed).withColumn("distance", F.when(judged, nearest))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= max_distance, F.lit(True))

@@ -8,7 +8,8 @@ allowed whatever its aliases.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 fits no rule, has no aliases and is allowed; null html has no links; a link to
-the page itself, or one that is not http, is ignored; repeated rows are judged
+the page itself, or one that is not http, is ignored; ``&amp;`` in a link stands for
+``&``; repeated rows are judged
 alike; an empty table gives no rows; other columns are ignored.
 """
 
@@ -21,6 +22,7 @@ from .common import components, durable
 
 #: (verdict, host, path prefix)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+_SALTS = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -79,7 +81,7 @@ def links_of(html: Column, url: Column) -> Column:
             .otherwise(F.concat(scheme, F.lit("://"), host, F.when(base == "", "/").otherwise(base), t))
         )
 
-    return F.filter(F.transform(F.concat(canonical, refresh), absolute), lambda t: t.isNotNull())
+    return F.filter(F.transform(F.concat(canonical, refresh), lambda t: absolute(F.replace(t, F.lit("&amp;"), F.lit("&")))), lambda t: t.isNotNull())
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -94,6 +96,9 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_
     ruled = members.withColumn("own", rule_of(host_of(parts), path_of(parts), rules))
     state = ruled.groupBy("component").agg(F.max((F.col("own.verdict") == "block").cast("int")).alias("blocked"))
     verdicts = members.join(state, "component").select("node", "component", F.coalesce(F.col("blocked") == 1, F.lit(False)).alias("blocked"))
-    out = judged.join(verdicts, "node", "left")
+    # A hot url, and the pages without one, are dealt to ``_SALTS`` parts.
+    salted = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
+    judged = judged.withColumn("salt", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(_SALTS)).cast("int"))
+    out = judged.join(verdicts.select("*", salted), ["node", "salt"], "left")
     verdict = F.coalesce(F.col("own.verdict"), F.when(F.col("blocked"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), "component")
