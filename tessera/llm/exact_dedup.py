@@ -5,12 +5,14 @@ fingerprints, four to a bucket, partial-key displacement) beside the bucketed
 content that it guards: for every bucket pair, the whole keys stored under it.
 A filter miss proves a digest new; a hit is verified against the content.  When
 an insertion finds no free place, the table doubles and is refilled from the
-stored keys.  Digests can be deleted, so documents can be withdrawn.
+stored keys.  Documents can be withdrawn: each takes one off its digest's members,
+and a digest that is left without members is deleted from filter and content.
 
 Defined cases: null text counts as empty, and texts that are empty or blank are
 copies of each other; of equal texts the one with the most code points stays,
 then the one with the smallest doc_id; repeated rows of one doc_id are members
-like any other; an empty table gives no rows; other columns are ignored.
+like any other; a null doc_id comes after all others, and no withdrawal meets it;
+an empty table gives no rows; other columns are ignored.  doc_id must be a long.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, attach_by_group, durable, partitions
 
 _SLOTS, _KICKS = 4, 500
+#: Rows of a shard, about, at some 400 bytes each.
+_SHARD_ROWS = 250_000
 
 
 class CuckooIndex:
@@ -125,7 +129,10 @@ _ROWS = "digest binary, n long, best_len long, best_id long"
 
 
 def _merge(batches):
-    """Fold rows (digest, n, best_len, best_id) into an index; digests left without members are deleted."""
+    """Fold rows (digest, n, best_len, best_id) into an index; digests left without members are deleted.
+
+    Withdrawn documents count 1 and then -1, and have no best_len.
+    """
     index = CuckooIndex()
     for batch in batches:
         for key, n, length, doc in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -134,7 +141,7 @@ def _merge(batches):
                 index.set(key, (n, length, doc))
             else:
                 a, b = (have[1], have[2]), (length, doc)
-                best = max(a, b, key=lambda x: (x[0], x[1] is not None, -(x[1] or 0)))
+                best = max(a, b, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, -(x[1] or 0)))
                 index.set(key, (have[0] + n, *best))
     for key in [k for k, v in index.items() if v[0] == 0]:
         index.delete(key)
@@ -150,14 +157,20 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256)).alias("digest"), F.length(text).cast("long").alias("len"))
 
 
-def groups(marks: DataFrame) -> DataFrame:
+def groups(marks: DataFrame, gone: str | None = None) -> DataFrame:
     """One row per live digest: (digest, n, best_len, best_id), through the index.
 
     Each task first folds its own rows, so a digest reaches a shard at most once
-    from each task, whatever its number of copies.
+    from each task, whatever its number of copies.  ``gone`` names a column that is
+    true for withdrawn documents.
     """
-    local = marks.select("digest", F.lit(1).cast("long").alias("n"), F.col("len").alias("best_len"), F.col("doc_id").alias("best_id")).mapInArrow(_merge, _ROWS)
-    return local.repartition(partitions(marks.sparkSession), "digest").mapInArrow(_merge, _ROWS)
+    rows = marks.select("digest", F.lit(1).cast("long").alias("n"), F.col("len").alias("best_len"), F.col("doc_id").alias("best_id"))
+    if gone:
+        left = F.when(~F.col(gone), F.col("len")), F.when(~F.col(gone), F.col("doc_id"))
+        steps = F.when(F.col(gone), F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1))).cast("array<long>")
+        rows = marks.select("digest", F.explode(steps).alias("n"), left[0].alias("best_len"), left[1].alias("best_id"))
+    shards = max(partitions(marks.sparkSession), 1 + marks.count() // _SHARD_ROWS)
+    return rows.mapInArrow(_merge, _ROWS).repartition(shards, "digest").mapInArrow(_merge, _ROWS)
 
 
 def exact_dedup(docs: DataFrame, withdrawn: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,10 +180,14 @@ def exact_dedup(docs: DataFrame, withdrawn: DataFrame | None = None, id_col: str
     take no part, and a digest without live members goes.
     """
     marks = digests(docs, id_col, text_col)
-    if withdrawn is not None:
-        marks = marks.join(withdrawn.select(F.col(id_col).alias("doc_id")).distinct(), "doc_id", "left_anti")
-    marks = durable(marks)
-    found = durable(groups(marks))
+    if withdrawn is None:
+        marks = durable(marks)
+        found = durable(groups(marks))
+    else:
+        ids = withdrawn.select(F.col(id_col).alias("doc_id"), F.lit(True).alias("gone")).distinct()
+        marks = durable(marks.join(ids, "doc_id", "left").withColumn("gone", F.coalesce("gone", F.lit(False))))
+        found = durable(groups(marks, "gone"))
+        marks = marks.where(~F.col("gone"))
     out = attach_by_group(marks, found, "digest", "n")
     return out.select(
         "doc_id",

@@ -1,15 +1,14 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 Texts are lower-cased, and what isn't a letter becomes a blank.  Their UTF-8
-bytes are read in stretches of ``STRETCH`` by one recurrent layer in each direction
+bytes are read in stretches of ``STRETCH``, each from a fresh state, by one recurrent layer in each direction
 (its input weights are a table, one row per byte value, and its squashing function
 is x / (1 + abs(x))); a softmax over both
 states labels every position, and a document's probabilities are the mean over
 its positions.  The network is trained in numpy by backpropagation through time.
 
-Training uses a bounded sample, ``per_language`` documents of each of the
-``most_languages`` most frequent languages, with ``windows`` stretches of each;
-prediction reads whole texts.
+Training uses a bounded sample, about ``per_language`` documents of each language,
+with ``windows`` places of each; prediction reads whole texts.
 
 Defined cases: texts that are null or have no letter are ``und`` with score 0, as
 is every text when nothing could be learned; ties go to the language first in
@@ -190,15 +189,13 @@ class Network:
         return np.divide(out, total, out=out, where=total > 0)
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 400, most_languages: int = 64, windows: int = 6, steps: int = 200) -> Network | None:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 400, windows: int = 6, steps: int = 200) -> Network | None:
     """Train on a sample of ``docs``: those of each language with the least hashes of their ids, in expectation ``per_language``."""
     named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = named.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_languages).collect()
+    counts = named.groupBy(lang_col).count().collect()  # one row for each language
     if not counts:
         return None
-    chance = F.lit(0.0)
-    for lang, n in counts:
-        chance = F.when(F.col(lang_col) == lang, min(1.0, per_language / n)).otherwise(chance)
+    chance = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, per_language / n))]), F.col(lang_col))
     size, wide = F.length(text_col), 2 * STRETCH
     start = lambda k: 1 + F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.greatest(size - wide, F.lit(1)))
     parts = F.array(*[F.substring(F.col(text_col), start(k).cast("int"), F.lit(wide)) for k in range(windows)])

@@ -9,7 +9,8 @@ meet by digest, and are removed only after their bytes were compared.
 Defined cases: null text stays null and has no lines; an empty text is one empty
 line; a chunk of blank lines only is never removed; rows that agree in doc_id and
 text are one document, so both keep what it keeps; an empty table gives no rows;
-the other columns of ``docs`` are left alone.
+the other columns of ``docs`` are left alone, but for those with the name of a
+result (n_lines, n_removed, removed_chunks), which the result replaces.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def chunks(text: Column, spread: int) -> Column:
 
 def line_dedup(docs: DataFrame, spread: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text left over, and n_lines, n_removed (lines) and removed_chunks (ordinals)."""
-    docs = docs.withColumn("__mark", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    docs = docs.drop("n_lines", "n_removed", "removed_chunks").withColumn("__mark", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     each = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col("__mark").alias("mark"), F.explode(chunks(F.col(text_col), spread)).alias("c"))
     body = F.array_join("c.lines", "\n")
     each = each.where((F.size("c.lines") > 1) & body.rlike(f"[^{SPACE[1:]}")).select(F.struct("id", "mark", F.col("c.no").alias("no")).alias("place"), body.alias("body"))
@@ -56,17 +57,18 @@ def line_dedup(docs: DataFrame, spread: int = 4, id_col: str = "doc_id", text_co
         found = each.join(F.broadcast(again.select("digest")), "digest", "left_semi")
     else:
         found = attach_by_group(each, again, "digest", "n").drop("n")
-    # Grouping by the bytes themselves is the comparison.
-    kinds = found.groupBy("digest", "body").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
-    kinds = durable(kinds)
-    gone = attach_by_group(found, kinds, ["digest", "body"], "n").where("not place <=> first")
+    # Grouping by the bytes themselves is the comparison; what it found travels by a digest of 256 bits.
+    found = found.withColumn("digest", F.unhex(F.sha2("body", 256)))
+    kinds = found.groupBy("body").agg(F.first("digest").alias("digest"), F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
+    kinds = durable(kinds.drop("body"))
+    gone = attach_by_group(found.drop("body"), kinds, "digest", "n").where("not place <=> first")
     gone = gone.groupBy(F.col("place.id").alias("__id"), F.col("place.mark").alias("__mark")).agg(F.sort_array(F.collect_set("place.no")).alias("__gone"))
     gone = gone.withColumnRenamed("__mark", "__m")
 
     joined = docs.join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")), "left")
 
     def rebuilt(c: Column) -> Column:
-        stay = F.filter(c, lambda x: ~F.array_contains("__gone", x["no"]))
+        stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(c) - 1), "__gone"), lambda no: F.get(c, no))
         return F.struct(
             F.array_join(F.flatten(F.transform(stay, lambda x: x["lines"])), "\n").alias("text"),
             F.size(F.flatten(F.transform(c, lambda x: x["lines"]))).cast("long").alias("n"),
