@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import re
 import sys
 
@@ -28,34 +29,48 @@ def emit(rows, tsv: bool, out=None) -> None:
         print(json.dumps(rows, ensure_ascii=False, indent=2), file=out)
         return
     rows = rows if isinstance(rows, list) else [rows]
+    if not rows:
+        return
     keys = list(dict.fromkeys(k for r in rows for k in r))
     print("\t".join(map(tsv_cell, keys)), file=out)
     for r in rows:
         print("\t".join(tsv_cell(r.get(k)) for k in keys), file=out)
 
 
+def folder(text: str) -> str:
+    if not text:
+        raise argparse.ArgumentTypeError("must not be empty")
+    return text
+
+
 def limit(text: str) -> int:
     if not text.isascii() or not text.isdigit() or not 1 <= int(text) <= 1000:
         raise argparse.ArgumentTypeError("must be from 1 to 1000")
     return int(text)
 
 
+def default_index() -> str | None:
+    """A publication folder or snapshot around the folder that holds this package: above it, or the folder itself."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    return next((f for f in (os.path.dirname(here), here) if any(os.path.isfile(os.path.join(f, n)) for n in ("CURRENT", "meta.json"))), None)
+
+
 def parser() -> argparse.ArgumentParser:
     shared = argparse.ArgumentParser(add_help=False)
-    shared.add_argument("--db", default=argparse.SUPPRESS, help="publication folder or snapshot")
+    shared.add_argument("--db", type=folder, default=argparse.SUPPRESS, help="publication folder or snapshot; by default the one around this package")
     shared.add_argument("--tsv", action="store_true", default=argparse.SUPPRESS)
-    top = argparse.ArgumentParser(prog="tessera", parents=[shared])
+    top = argparse.ArgumentParser(prog="tessera", parents=[shared], allow_abbrev=False)
     commands = top.add_subparsers(dest="command", required=True)
-    commands.add_parser("status", parents=[shared])
+    commands.add_parser("status", parents=[shared], allow_abbrev=False)
     for name in ("search", "name"):
-        p = commands.add_parser(name, parents=[shared])
+        p = commands.add_parser(name, parents=[shared], allow_abbrev=False)
         p.add_argument("terms")
         p.add_argument("--area")
         p.add_argument("--ext")
         p.add_argument("--year", type=int)
         p.add_argument("--metadata-only", action="store_true")
         p.add_argument("--limit", type=limit, default=20)
-    commands.add_parser("sql", parents=[shared]).add_argument("statement")
+    commands.add_parser("sql", parents=[shared], allow_abbrev=False).add_argument("statement")
     for name in ("init", "build"):
         commands.add_parser(name).add_argument("--config", required=True)
     return top
@@ -63,6 +78,10 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark=None) -> int:
     """0: done; 1: a build was refused; 2: a wrong call, query or configuration."""
+    import pyspark
+    from py4j.protocol import Py4JError
+    from pyspark.errors import PySparkException
+
     from .operators.retrieval import QueryError
     from .plans.build import BuildError, build
     from .plans.index import Index
@@ -71,8 +90,13 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from .sources import config
     from .sources.walk import WalkError, corpus_id
 
-    a = parser().parse_args(argv)
+    given = sys.argv[1:] if argv is None else argv
+    if sum(x == "--db" or x.startswith("--db=") for x in given) > 1:
+        parser().error("--db may be given once")
+    a = parser().parse_args(given)
     try:
+        if int(pyspark.__version__.split(".")[0]) < 4:
+            raise QueryError(f"PySpark 4 or later is needed, not {pyspark.__version__}")
         if a.command == "init":
             print(corpus_id(config.load(a.config), create=True))
             return 0
@@ -83,9 +107,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         if a.command == "build":
             print(build(spark, config.load(a.config)))
             return 0
-        if not getattr(a, "db", None):
-            raise QueryError("--db is missing")
-        index, tsv = Index(spark, a.db), getattr(a, "tsv", False)
+        path = getattr(a, "db", None) or default_index()
+        if path is None:
+            raise QueryError("no index around this package; --db names one")
+        index, tsv = Index(spark, path), getattr(a, "tsv", False)
         if a.command == "status":
             emit(index.status(), tsv)
         elif a.command == "sql":
@@ -100,6 +125,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     except (QueryError, SqlError, PublicationError, config.ConfigError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
+    except (PySparkException, Py4JError) as e:
+        # Whatever else Spark finds wrong with an index or a query.
+        print(f"error: {str(e).splitlines()[0]}", file=sys.stderr)
+        return 2
 
 
 if __name__ == "__main__":

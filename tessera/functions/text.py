@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import sqlite3
 import unicodedata
@@ -10,32 +11,59 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Code points below this take part in folding.
-_FOLD_BELOW = 0x3000
 #: White space as Python's str.split sees it.
 _BLANK = r"[\t-\r\x1c-\x20\x85   -     　]+"
-TOKEN = r"[\p{L}\p{N}\p{Co}]+"
+#: Code points that are looked at one by one, and one that stands for all others.
+_LOOKED_AT, _REST = [*range(1, 0xD800), *range(0xE000, 0x34000), *range(0xE0000, 0xE1000)], 0xA0000
 
 
 @functools.cache
-def fold_tables() -> tuple[str, str]:
-    """(from, to) for ``translate``: folded characters, then marks that vanish.
+def fold_tables() -> tuple[str, str, list[tuple[int, int]]]:
+    """(from, to) for ``translate``: folded characters, then marks that vanish; and the ranges of token characters.
 
-    Both are asked of SQLite's ``unicode61 remove_diacritics 2`` tokenizer, one
+    All are asked of SQLite's ``unicode61 remove_diacritics 2`` tokenizer, one
     code point at a time, so that they are what it does by definition.
     """
     con = sqlite3.connect(":memory:")
     con.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize='unicode61 remove_diacritics 2')")
     con.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, 'instance')")
-    con.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", ((i, chr(i)) for i in range(1, _FOLD_BELOW)))
-    folded = {chr(doc): term for term, doc in con.execute("SELECT term, doc FROM v")}
-    marks = [chr(i) for i in range(1, _FOLD_BELOW) if chr(i) not in folded and unicodedata.category(chr(i)).startswith("M")]
+    con.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", ((i, chr(i)) for i in [*_LOOKED_AT, _REST]))
+    folded = dict(con.execute("SELECT doc, term FROM v"))
+    marks = [i for i in _LOOKED_AT if i not in folded and unicodedata.category(chr(i)).startswith("M")]
     con.execute("DELETE FROM t")
-    con.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", ((i, f"a{m}b") for i, m in enumerate(marks, 1)))
-    whole = [marks[i - 1] for (i,) in con.execute("SELECT doc FROM v GROUP BY doc HAVING count(*) = 1")]
+    con.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", ((i, f"a{chr(i)}b") for i in marks))
+    whole = [chr(i) for (i,) in con.execute("SELECT doc FROM v GROUP BY doc HAVING count(*) = 1")]
     con.close()
-    changed = {k: v for k, v in folded.items() if k != v and len(v) == 1}
-    return "".join(changed) + "".join(sorted(whole)), "".join(changed.values())
+    changed = {chr(k): v for k, v in folded.items() if chr(k) != v}
+    looked = set(_LOOKED_AT)
+    ranges: list[list[int]] = []
+    for i in sorted(folded.keys() & looked):
+        if ranges and ranges[-1][1] == i - 1:
+            ranges[-1][1] = i
+        else:
+            ranges.append([i, i])
+    if _REST in folded:
+        ranges += [[0x34000, 0xDFFFF], [0xE1000, 0x10FFFF]]
+    return "".join(changed) + "".join(sorted(whole)), "".join(changed.values()), [tuple(r) for r in ranges]
+
+
+def _in_class(ranges: list[tuple[int, int]]) -> str:
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges)
+
+
+def token_class() -> str:
+    """A token as a regular expression, for engines with plain character classes."""
+    return f"[{_in_class(fold_tables()[2])}]+"
+
+
+@functools.cache
+def _raw_token() -> str:
+    """As ``token_class`` for Java, of what folds to a token: groups of ranges behind a test of their bounds, so that few are tried."""
+    source, target, ranges = fold_tables()
+    marks = [(ord(c), ord(c)) for c in source[len(target) :]]
+    ranges = sorted([*ranges, *marks])
+    groups = [ranges[i : i + 20] for i in range(0, len(ranges), 20)]
+    return "[" + "".join(rf"[\x{{{g[0][0]:x}}}-\x{{{g[-1][1]:x}}}&&[{_in_class(g)}]]" for g in groups) + "]+"
 
 
 def let(value: Column, body) -> Column:
@@ -44,12 +72,21 @@ def let(value: Column, body) -> Column:
 
 
 def fold(text: Column) -> Column:
-    return F.translate(text, *fold_tables())
+    """Lower case without diacritics; ASCII, which has none, takes the short way."""
+    source, target, _ = fold_tables()
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, source, target))
 
 
 def tokens(text: Column) -> Column:
-    """The index tokens of a text, in order; null has none."""
-    return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), 1)
+    """The index tokens of a text, in order; null has none.
+
+    Tokens are found first and folded one by one, so that the slow way is taken
+    only by words that are not ASCII.
+    """
+    text = F.coalesce(text, F.lit(""))
+    plain = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
+    wide = F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"({_raw_token()})"), 1), fold), lambda x: x != "")
+    return F.when(F.length(text) == F.octet_length(text), plain).otherwise(wide)
 
 
 def tokenize(text: str) -> list[str]:
@@ -59,16 +96,18 @@ def tokenize(text: str) -> list[str]:
 
 def token_spans(text: str) -> list[tuple[str, int, int]]:
     """(token, start, end) with positions in ``text`` itself."""
-    source, target = fold_tables()
-    table = dict(zip(map(ord, source), target.ljust(len(source), "\0"), strict=True))
+    source, target, ranges = fold_tables()
+    table = dict(zip(source, target.ljust(len(source), "\0"), strict=True))
+    firsts = [a for a, _ in ranges]
     out, word, start, end = [], [], -1, -1
     for i, ch in enumerate(text):
-        c = table.get(ord(ch), ch)
-        if c == "\0":
+        c = table.get(ch, ch)
+        if c == "\0" and ch != "\0":
             if word:
                 end = i + 1
             continue
-        if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co":
+        k = bisect.bisect(firsts, ord(ch)) - 1
+        if k >= 0 and ord(ch) <= ranges[k][1]:
             if not word:
                 start = i
             word.append(c)

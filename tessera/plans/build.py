@@ -24,22 +24,26 @@ from ..operators import checks
 from ..operators import retrieval as R
 from ..schema import CONTENT, EXTRACTORS, FILES, SCHEMA_VERSION, SOURCE_LIMITS
 from ..sources.config import policy_digest
-from ..sources.extract import extracted
+from ..sources.extract import Missing, extracted, probe
 from ..sources.walk import Changed, CorpusSource, WalkError, corpus_id, walk
 from . import publish
-from .search import NAME_COLUMNS
-
-TABLES = {"names": ("files", NAME_COLUMNS), "content": ("content", ["text"])}
+from .search import INDEXES, write_indexes
 
 
 class BuildError(RuntimeError):
     """The build can't be published (exit code 1)."""
 
 
+def own_folders(config: dict) -> set[tuple[int, int]]:
+    """Device and inode of what a build itself writes to: the publication folder is no part of the corpus."""
+    s = os.stat(config["publish_dir"])
+    return {(s.st_dev, s.st_ino)}
+
+
 def read_corpus(spark: SparkSession, config: dict) -> DataFrame:
     spark.dataSource.register(CorpusSource)
     limits = {ext: SOURCE_LIMITS[label] for label, group in EXTRACTORS.items() for ext in group}
-    return spark.read.format("corpus").option("config", json.dumps(config)).option("limits", json.dumps(limits)).load()
+    return spark.read.format("corpus").option("config", json.dumps(config)).option("limits", json.dumps(limits)).option("skip", json.dumps(sorted(own_folders(config)))).load()
 
 
 def described(raw: DataFrame, config: dict) -> DataFrame:
@@ -50,6 +54,12 @@ def described(raw: DataFrame, config: dict) -> DataFrame:
     return out.withColumn("early", paths.early_status(F.col("relpath_nfc"), F.col("ext"), F.col("size_bytes"), config["metadata_only_globs"]))
 
 
+def files_read(config: dict):
+    """Whether a row of the corpus has content that is read, and so a hash."""
+    path = nfc(F.col("relpath"))
+    return paths.early_status(path, paths.extension(paths.filename(path)), F.col("size_bytes"), config["metadata_only_globs"]).isNull()
+
+
 def previous(spark: SparkSession, folder: str, meta_wanted: dict) -> tuple[DataFrame, DataFrame] | None:
     """The tables of the snapshot in use, if its extractions may be taken over."""
     snapshot = publish.current(folder)
@@ -74,7 +84,7 @@ def extract_all(raw: DataFrame, config: dict, cache: tuple[DataFrame, DataFrame]
         base = base.withColumns({"hit": F.lit(False), "old_status": none, "old_text": none})
     label = paths.extractor(F.col("ext"))
     todo = F.col("early").isNull() & ~F.col("hit")
-    base = base.withColumn("new", extracted(F.when(todo, label), F.when(todo, F.col("data")))).drop("data")
+    base = base.withColumn("new", extracted(F.when(todo, label), F.when(todo, F.col("data")), config["pdf_memory_limit_mb"])).drop("data")
     state = F.coalesce("early", "old_status", "new.state")
     text = F.coalesce("old_text", "new.text")
     out = base.withColumns({"content_status": state, "text": F.when((state == "extracted") & (text != ""), text), "extractor": label})
@@ -88,10 +98,7 @@ def write_tables(spark: SparkSession, everything: DataFrame, to: str) -> None:
     work.select(*FILES.names).write.parquet(f"{to}/files")
     work.where("text is not null").select("relpath", "text", "extractor", F.col("source_hash").alias("source_sig")).select(*CONTENT.names).write.parquet(f"{to}/content")
     shutil.rmtree(f"{to}/work")
-    for index, (table, columns) in TABLES.items():
-        docs = spark.read.parquet(f"{to}/{table}")
-        R.postings(docs, columns).repartitionByRange("term", "relpath").sortWithinPartitions("term", "relpath", "col", "pos").write.parquet(f"{to}/{index}_postings")
-        R.lengths(docs, columns).write.parquet(f"{to}/{index}_lengths")
+    write_indexes(spark, to)
 
 
 def build(spark: SparkSession, config: dict, keep_unpublished: bool = False) -> str:
@@ -103,6 +110,7 @@ def build(spark: SparkSession, config: dict, keep_unpublished: bool = False) ->
         corpus, digest = corpus_id(config), policy_digest(config)
         want = publish.desired_binding(config, digest, corpus)
         action = publish.decide(folder, want)
+        _probe(config)
         cache = previous(spark, folder, want)
         before = publish.current(folder)
         previous_count = (publish.read_meta(before)["file_count"], publish.read_meta(before)["policy_digest"]) if before else None
@@ -126,23 +134,36 @@ def build(spark: SparkSession, config: dict, keep_unpublished: bool = False) ->
             raise BuildError("the corpus marker changed")
         if not keep_unpublished:
             publish.publish(folder, snapshot, want, action)
+            publish.retain(folder, {snapshot, before})
         return snapshot
 
 
+def _probe(config: dict) -> None:
+    """What the corpus needs must work before anything, reused results included, is published."""
+    labels = {label for r in walk(config, own_folders(config)) for label, group in EXTRACTORS.items() if r["relpath"].rpartition(".")[2].lower() in group}
+    try:
+        probe(labels)
+    except Missing as e:
+        raise BuildError(str(e)) from None
+
+
 def _attempt(spark, config, snapshot, want, cache, previous_count, began) -> None:
     raw = read_corpus(spark, config)
     write_tables(spark, extract_all(raw, config, cache), snapshot)
     files, content = (spark.read.parquet(f"{snapshot}/{t}") for t in ("files", "content"))
-    after = list(walk(config))
-    now = {(r["relpath"], r["size_bytes"], r["mtime_ns"], r["st_ino"]) for r in after}
-    then = {tuple(r) for r in files.select("relpath", "size_bytes", "mtime_ns", "st_ino").toLocalIterator()}
-    if now != then:
+    # The second manifest, with hashes of all bytes read again, is compared by a join, not on the driver.
+    seen = read_corpus(spark, config).drop("data")
+    stamps = ["size_bytes", "mtime_ns", "ctime_ns", "st_dev", "st_ino"]
+    then = files.select("relpath", *stamps, F.coalesce("source_hash", F.lit("")).alias("source_hash"))
+    read = F.coalesce(F.when(files_read(config), F.col("source_hash")), F.lit(""))
+    if not checks.manifest_diff(then, seen.select("relpath", *stamps, read.alias("source_hash")), [*stamps, "source_hash"]).isEmpty():
         raise Changed("the tree changed during the build")
+    walked = files.count()
     smoke = None
     if config["smoke_term"] is not None:
         phrase = [t for p in R.phrases(config["smoke_term"]) for t in p]
-        smoke = tuple(R.lookup(spark.read.parquet(f"{snapshot}/{i}_postings"), spark.read.parquet(f"{snapshot}/{i}_lengths"), [phrase]).where("f0 > 0").count() if phrase else 0 for i in TABLES)
-    problems = checks.verify(files, content, len(after), config, previous_count, want["policy_digest"], smoke)
+        smoke = tuple(R.lookup(spark.read.parquet(f"{snapshot}/{i}_postings"), spark.read.parquet(f"{snapshot}/{i}_lengths"), [phrase]).where("f0 > 0").count() if phrase else 0 for i in INDEXES)
+    problems = checks.verify(files, content, walked, config, previous_count, want["policy_digest"], smoke)
     size = sum(os.path.getsize(os.path.join(top, f)) for top, _, fs in os.walk(snapshot) for f in fs)
     if size > config["max_index_size_mb"] << 20:
         problems.append("the index exceeds max_index_size_mb")

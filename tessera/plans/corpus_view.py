@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.text import collapse_blanks, let
 from ..schema import MAX_TEXT
+from .search import Tables, write_indexes
+from .workspace import shared_folder
 
 #: Extension of a document by its id modulo their number; empty is none.
 EXTENSIONS = ["txt", "md", "csv", "html", "doc", "bin", "pdf", ""]
@@ -22,19 +26,21 @@ def files_and_content(docs: DataFrame, globs: list[str] = GLOBS, pattern: str |
     relpath = F.concat("source", F.lit("/"), (2015 + F.pmod("doc_id", F.lit(12))).cast("string"), F.lit("/"), "lang", F.lit("-"), F.lpad(number, F.greatest(F.length(number), F.lit(6)), F.lit("0")), F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)))
     size = F.octet_length("text").cast("long")
 
-    # Each level is bound by ``let``: pushing the filter on states down would otherwise
-    # put copies of the path expression into every place where it is used.
+    # Values are bound by ``let``: pushing the filter on states down would otherwise put
+    # copies of the path expression into every place where it is used.  Paths are apart
+    # from states, so that what needs only paths doesn't read texts.
     def named(path):
-        return let(paths.filename(path), lambda name: let(paths.extension(name), lambda e: state(path, name, e)))
+        return let(paths.filename(path), lambda name: F.struct(path.alias("relpath"), name.alias("filename"), paths.extension(name).alias("ext")))
 
-    def state(path, name, e):
-        return let(collapse_blanks(F.col("text")), lambda body: let(paths.early_status(path, e, size, globs), lambda early: result(path, name, e, body, early)))
+    def state(p):
+        return let(collapse_blanks(F.col("text")), lambda body: let(paths.early_status(p["relpath"], p["ext"], size, globs), lambda early: result(p["ext"], body, early)))
 
-    def result(path, name, e, body, early):
+    def result(e, body, early):
         late = F.when(F.octet_length(body) > MAX_TEXT, "too_big").when((e == "pdf") & (body == ""), "empty_pdf").otherwise("extracted")
-        return F.struct(path.alias("relpath"), name.alias("filename"), e.alias("ext"), body.alias("body"), early.alias("early"), F.coalesce(early, late).alias("content_status"))
+        return F.struct(body.alias("body"), early.alias("early"), F.coalesce(early, late).alias("content_status"))
 
-    base = docs.select(let(relpath, named).alias("d"), "text", size.alias("size_bytes"), (1_700_000_000 + F.col("doc_id")).alias("mtime")).select("d.*", "text", "size_bytes", "mtime")
+    base = docs.select(let(relpath, named).alias("p"), "text", size.alias("size_bytes"), (1_700_000_000 + F.col("doc_id")).alias("mtime"))
+    base = base.withColumn("d", let(F.col("p"), state)).select("p.*", "d.*", "text", "size_bytes", "mtime")
     body, early = F.col("body"), F.col("early")
     full = (F.col("content_status") == "extracted") & (body != "")
     files = base.select(
@@ -50,5 +56,20 @@ def files_and_content(docs: DataFrame, globs: list[str] = GLOBS, pattern: str |
     return files, content
 
 
+def written(spark: SparkSession, sf_dir: str, again: bool = False) -> Tables:
+    """Both tables with their indexes, written once for each application and folder (``again``: anew)."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if again or key not in _written:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        for name, df in zip(("files", "content"), load(spark, sf_dir), strict=True):
+            df.write.parquet(f"{path}/{name}")
+        write_indexes(spark, path)
+        _written[key] = path
+    return Tables(spark, _written[key])
+
+
+_written: dict[tuple[str, str], str] = {}
+
+
 def load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return files_and_content(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -4,42 +4,32 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
-from ..operators.snippet import snippet
 from ..schema import HIT_COLUMNS
 from . import publish, sqlguard
-from .search import hit_limit
+from .search import INDEXES, Tables
 
 
-class Index:
+class Index(Tables):
     """Opens the snapshot in use of a publication folder, or a snapshot itself."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self.path = path if os.path.exists(f"{path}/meta.json") else publish.current(path)
-        if self.path is None:
+        snapshot = path if os.path.exists(f"{path}/meta.json") else publish.current(path)
+        if snapshot is None:
             raise publish.PublicationError(f"no index in {path}")
-        self.meta = publish.read_meta(self.path)
-
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        super().__init__(spark, snapshot)
+        self.meta = publish.read_meta(snapshot)
+        if missing := [t for t in ("files", "content", *(f"{i}_{k}" for i in INDEXES for k in ("postings", "lengths"))) if not os.path.isdir(f"{snapshot}/{t}")]:
+            raise publish.PublicationError(f"the index lacks {', '.join(missing)}")
 
     def status(self) -> dict:
         return self.meta
 
-    def ranks(self, index: str, query: list[list[str]], filters: dict, limit: int) -> DataFrame:
-        """Ranked (relpath, score) from the postings; only the query's terms are read."""
-        sizes = self.table(f"{index}_lengths")
-        found = R.lookup(self.table(f"{index}_postings"), sizes, query).persist()
-        n = sizes.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-        hits = found.agg(*[F.count(F.when(F.col(f"f{k}") > 0, 1)) for k in range(len(query))]).first()
-        stats = R.Stats(n[0], n[1], tuple(hits))
-        return R.ranked(R.matched(found, stats, len(query)), self.table("files"), R.file_filter(**filters), limit)
-
     def _rows(self, df: DataFrame) -> list[dict]:
         out = []
         for r in df.collect():
@@ -49,26 +39,45 @@ class Index:
         return out
 
     def name(self, terms: str, limit: int = 20, **filters) -> list[dict]:
-        query = R.phrases(terms)
-        hit_limit(limit)
-        if not query:
-            return []
-        top = self.ranks("names", query, filters, limit)
-        out = self.table("files").join(F.broadcast(top), "relpath").withColumns({"matched_by": F.lit("name"), "snippet": F.lit(None).cast("string")})
-        return self._rows(out.orderBy("score", "relpath"))
+        return self._rows(self.names(terms, limit, **filters))
 
     def search(self, terms: str, limit: int = 20, **filters) -> list[dict]:
-        query = R.phrases(terms)
-        hit_limit(limit)
-        if not query:
-            return []
-        sources = [self.ranks(i, query, filters, R.MAX_CANDIDATES + 1).persist() for i in ("names", "content")]
-        R.check_candidates(*sources)
-        top = self.spark.createDataFrame(R.fuse(*sources, limit).collect(), "relpath string, score double, matched_by string")
-        texts = self.table("content").join(F.broadcast(top.where("matched_by <> 'name'").select("relpath")), "relpath", "left_semi")
-        out = self.table("files").join(F.broadcast(top), "relpath").join(texts.select("relpath", snippet(F.col("text"), query).alias("snippet")), "relpath", "left")
-        return self._rows(out.orderBy(F.desc("score"), "relpath"))
+        return self._rows(super().search(terms, limit, **filters))
+
+    def meta_table(self) -> DataFrame:
+        """One row; lists and maps as JSON text."""
+        row = {k: json.dumps(v, ensure_ascii=False) if isinstance(v, (dict, list)) else v for k, v in self.meta.items()}
+        kinds = {int: "long", float: "double", bool: "boolean"}
+        return self.spark.createDataFrame([tuple(row.values())], ", ".join(f"`{k}` {kinds.get(type(v), 'string')}" for k, v in row.items()))
 
     def sql(self, text: str) -> list[dict]:
-        meta = self.spark.createDataFrame([(json.dumps(self.meta),)], "meta string")
-        return sqlguard.run_sql(self.spark, text, {"files": self.table("files"), "content": self.table("content"), "meta": meta})
+        """Rows of a bounded statement over ``files``, ``content``, ``meta``, and ``files_fts`` and ``content_fts`` for MATCH."""
+        tables = {"files": self.table("files"), "content": self.table("content"), "meta": self.meta_table()}
+        tables["files_fts"] = tables["files"].select("relpath", *INDEXES["names"][1])
+        tables["content_fts"] = tables["content"].select("relpath", "text")
+        hidden: dict[str, DataFrame] = {}
+
+        def matched(found: re.Match) -> str:
+            if found["other"]:
+                return found["other"]
+            index, name = {"files_fts": "names", "content_fts": "content"}[found["table"].lower()], f"match_{len(hidden)}"
+            query = match_query(found["terms"].replace("''", "'"))
+            every = " AND ".join(f"f{k} > 0" for k in range(len(query))) or "false"
+            hidden[name] = self.found(index, query).where(every).select("relpath") if query else self.table("files").select("relpath").limit(0)
+            return f"{found['table']}.relpath IN (SELECT relpath FROM {name})"
+
+        text = re.sub(r"(?P<other>'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*)|\b(?P<table>files_fts|content_fts)\s+MATCH\s+'(?P<terms>(?:[^']|'')*)'", matched, text, flags=re.I)
+        return sqlguard.run_sql(self.spark, text, tables, hidden=hidden)
+
+
+def match_query(terms: str) -> list[list[str]]:
+    """Words and quoted phrases, all of which must match; further operators are refused."""
+    out = []
+    for quoted, word in re.findall(r'"((?:[^"]|"")*)"|([^\s"]+)', terms):
+        if word == "AND":
+            continue
+        if word in ("OR", "NOT", "NEAR") or (word and not re.fullmatch(r"\w+", word)):
+            raise R.QueryError(f"MATCH takes words and quoted phrases, not {word}")
+        if phrase := R.tokenize(quoted or word):
+            out.append(phrase)
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import _BLANK, _ENTITIES, TOKEN, fold_tables
+from ..functions.text import _BLANK, _ENTITIES, fold_tables, token_class
 from ..operators import retrieval as R
 from . import corpus_view, queries
 
@@ -12,8 +12,8 @@ def _text(s: str) -> str:
 
 
 def _tokens(column: str) -> str:
-    source, target = fold_tables()
-    return f"regexp_extract_all(translate({column}, {_text(source)}, {_text(target)}), {_text(TOKEN)})"
+    source, target, _ = fold_tables()
+    return f"regexp_extract_all(translate({column}, {_text(source)}, {_text(target)}), {_text(token_class())})"
 
 
 def _collapse(column: str) -> str:
@@ -97,7 +97,10 @@ _CHANGED = "(SELECT * REPLACE (CASE WHEN doc_id % 10 = 0 THEN text || ' changed'
 _PHRASE = f"WITH {_corpus()}, {_ranks('cr', 'content', ['text'], queries.PHRASE)} SELECT relpath, {_ROUND} FROM cr"
 _C = f"WITH {_corpus()} "
 
+_ROWS = f"sum(len({_tokens('filename_nfc')}) + len({_tokens('relpath_nfc')})) AS np"
+
 ORACLES: dict[str, str] = {
+    "index_build": f"{_C}, n AS (SELECT count(*) AS f, {_ROWS} FROM files), c AS (SELECT count(*) AS c, CAST(coalesce(sum(len({_tokens('text')})), 0) AS BIGINT) AS cp FROM content) SELECT unnest(['files', 'names_lengths', 'names_postings', 'content', 'content_lengths', 'content_postings']) AS name, unnest([f, f, CAST(np AS BIGINT), c, c, cp]) AS n_rows FROM n, c",
     "search_rrf": _search(queries.TERMS, "true", 20),
     "search_filtered": _search(queries.COMMON, "area = 'src0' AND ext = 'txt' AND path_year = 2019", 50),
     "name_search": f"WITH {_corpus()}, {_ranks('nr', 'files', ['filename_nfc', 'relpath_nfc'], 'src3 fr')}, best AS (SELECT * FROM nr ORDER BY score, relpath LIMIT 30) SELECT {_HIT}, 'name' AS matched_by, {_ROUND} FROM best JOIN files USING (relpath)",

@@ -11,6 +11,7 @@ import fcntl
 import json
 import os
 import re
+import shutil
 import uuid
 from contextlib import contextmanager
 
@@ -125,7 +126,7 @@ def decide(folder: str, want: dict) -> str:
         raise PublicationError("the folder is bound to another corpus or policy")
     old, new = (int(b["access_policy_generation"]) for b in (have, want))
     if new < old:
-        raise PublicationError(f"access_policy_generation cannot move backwards from {old} to {new}")
+        raise PublicationError(f"generation {old} is published; going backwards to {new} is refused")
     same = all(have[k] == want[k] for k in _HELD)
     if have["transition_from"] is not None:
         if not same:
@@ -161,3 +162,11 @@ def publish(folder: str, snapshot: str, want: dict, action: str) -> None:
     replace_file(os.path.join(folder, CURRENT), os.path.basename(snapshot), mode)
     if action != "current":
         replace_file(path, json.dumps(want))
+
+
+def retain(folder: str, keep: set[str | None]) -> None:
+    """Remove all snapshots but these (the one in use and the one before it, which readers may still have open)."""
+    for name in os.listdir(folder):
+        path = os.path.join(folder, name)
+        if name.startswith("snapshot-") and path not in keep:
+            shutil.rmtree(path, ignore_errors=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,56 +22,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _scores(table: DataFrame, columns: list[str], terms: str) -> DataFrame:
-    query = R.phrases(terms)
-    scanned = R.scan(table, columns, query)
-    return R.matched(scanned, R.stats(scanned, len(query)), len(query))
-
-
 def _rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Floor scores are about 1e-6, so scores are scaled before rounding."""
     return df.withColumn("score", F.round(F.col("score") * 1000, digits))
 
 
+def index_build(spark, sf_dir):
+    """Writes the tables and their indexes anew, which the searches below use; rows of each."""
+    tables = corpus_view.written(spark, sf_dir, again=True)
+    names = ["files", "content", *(f"{i}_{k}" for i in search.INDEXES for k in ("postings", "lengths"))]
+    return reduce(DataFrame.unionByName, [tables.table(n).select(F.lit(n).alias("name")).groupBy("name").agg(F.count("*").alias("n_rows")) for n in names])
+
+
 def search_rrf(spark, sf_dir):
-    out = search.search(*corpus_view.load(spark, sf_dir), TERMS, limit=20, snippets=False)
-    return _rounded(out.drop("name_meta"))
+    return _rounded(corpus_view.written(spark, sf_dir).search(TERMS, limit=20, snippets=False).drop("name_meta"))
 
 
 def search_filtered(spark, sf_dir):
-    return _rounded(search.search(*corpus_view.load(spark, sf_dir), COMMON, limit=50, snippets=False, area="src0", ext=".TXT", year=2019).drop("name_meta"))
+    return _rounded(corpus_view.written(spark, sf_dir).search(COMMON, limit=50, snippets=False, area="src0", ext=".TXT", year=2019).drop("name_meta"))
 
 
 def name_search(spark, sf_dir):
-    files, _ = corpus_view.load(spark, sf_dir)
-    return _rounded(search.name_search(files, "src3 fr", limit=30).drop("name_meta", "snippet"))
+    return _rounded(corpus_view.written(spark, sf_dir).names("src3 fr", limit=30).drop("name_meta", "snippet"))
 
 
 def content_ranks(spark, sf_dir):
-    files, content = corpus_view.load(spark, sf_dir)
-    top = search.candidates(content, ["text"], R.phrases(COMMON), files, R.file_filter(area="src0"), 100)
-    return _rounded(top)
+    return _rounded(corpus_view.written(spark, sf_dir).ranks("content", R.phrases(COMMON), R.file_filter(area="src0"), 100))
 
 
 def phrase_search(spark, sf_dir):
-    _, content = corpus_view.load(spark, sf_dir)
-    return _rounded(_scores(content, ["text"], PHRASE))
+    return _rounded(corpus_view.written(spark, sf_dir).scores("content", R.phrases(PHRASE)))
 
 
 def bm25_scores(spark, sf_dir):
+    """From texts, in a narrow pass, where there is no index."""
     _, content = corpus_view.load(spark, sf_dir)
-    return _rounded(_scores(content, ["text"], COMMON))
+    query = R.phrases(COMMON)
+    scanned = R.scan(content, ["text"], query)
+    return _rounded(R.matched(scanned, R.stats(scanned, len(query)), len(query)))
 
 
 def index_lookup(spark, sf_dir):
-    """The same scores as ``phrase_search``, from postings and lengths."""
-    _, content = corpus_view.load(spark, sf_dir)
-    query = R.phrases(PHRASE)
-    sizes = R.lengths(content, ["text"])
-    found = R.lookup(R.postings(content, ["text"]), sizes, query)
+    """The same scores as ``phrase_search``, with the postings' statistics made by hand."""
+    tables, query = corpus_view.written(spark, sf_dir), R.phrases(PHRASE)
+    found, sizes = tables.found("content", query), tables.table("content_lengths")
     n = sizes.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    hits = found.agg(*[F.count(F.when(F.col(f"f{k}") > 0, 1)) for k in range(len(query))]).first()
-    return _rounded(R.matched(found, R.Stats(n[0], n[1], tuple(hits)), len(query)))
+    return _rounded(R.matched(found, R.Stats(n[0], n[1], (found.where("f0 > 0").count(),)), len(query)))
 
 
 def term_stats(spark, sf_dir):
@@ -166,10 +164,9 @@ def tsv_sanitize(spark, sf_dir):
 
 
 def snippets(spark, sf_dir):
-    files, content = corpus_view.load(spark, sf_dir)
-    query = R.phrases(TERMS)
-    top = search.candidates(content, ["text"], query, files, R.file_filter(), 50)
-    return content.join(F.broadcast(top), "relpath").select("relpath", snippet(F.col("text"), query).alias("snippet"))
+    tables, query = corpus_view.written(spark, sf_dir), R.phrases(TERMS)
+    top = tables.ranks("content", query, R.file_filter(), 50)
+    return tables.table("content").join(F.broadcast(top), "relpath").select("relpath", snippet(F.col("text"), query).alias("snippet"))
 
 
 # Statements for the bounded SQL surface; DuckDB runs the same text.
@@ -181,7 +178,7 @@ SQL = {
     "sql_semi_anti": "SELECT 'with' AS kind, count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) UNION ALL SELECT 'without' AS kind, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "sql_aggregate": "SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, min(l_quantity) AS least, max(l_quantity) AS most, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10",
     "sql_grouping_sets": "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderpriority, o_orderstatus), (o_orderpriority), ())",
-    "sql_window": "SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place, c_acctbal - lag(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS step FROM customer WHERE c_custkey <= 500",
+    "sql_window": "SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place, c_acctbal - lag(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS step FROM customer",
     "sql_setops": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier UNION SELECT n_regionkey AS k FROM nation EXCEPT SELECT 3 AS k",
     "sql_recursive": "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS DOUBLE) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 20) SELECT n, f FROM t",
     "sql_subquery": "SELECT p_brand, round(avg(p_retailprice), 4) AS mean_price FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part) GROUP BY p_brand",
@@ -207,4 +204,4 @@ def sql_index(spark, sf_dir):
     return sqlguard.checked(spark, "SELECT area, ext, count(*) AS n, sum(size_bytes) AS bytes, count(text) AS with_text FROM files LEFT JOIN content USING (relpath) WHERE path_year >= 2018 GROUP BY area, ext", {"files": files, "content": content})
 
 
-QUERIES = {f.__name__: f for f in (search_rrf, search_filtered, name_search, content_ranks, phrase_search, bm25_scores, index_lookup, term_stats, token_stats, derive_paths, name_meta, metadata_only_globs, access_roots, prune_leaks, status_breakdown, breakdown_json, extracted_bytes, content_hash, html_extract, collapse_ws, cache_reuse, manifest_diff, fk_violations, drop_guard, tsv_sanitize, snippets, sql_json, sql_index)} | {k: _sql_query(v) for k, v in SQL.items()}
+QUERIES = {f.__name__: f for f in (index_build, search_rrf, search_filtered, name_search, content_ranks, phrase_search, bm25_scores, index_lookup, term_stats, token_stats, derive_paths, name_meta, metadata_only_globs, access_roots, prune_leaks, status_breakdown, breakdown_json, extracted_bytes, content_hash, html_extract, collapse_ws, cache_reuse, manifest_diff, fk_violations, drop_guard, tsv_sanitize, snippets, sql_json, sql_index)} | {k: _sql_query(v) for k, v in SQL.items()}

@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
 from ..operators.snippet import snippet
 from ..schema import HIT_COLUMNS
 
-NAME_COLUMNS = ["filename_nfc", "relpath_nfc"]
-
-
-def candidates(table: DataFrame, columns: list[str], query: list[list[str]], files: DataFrame, keep: Column, limit: int | None) -> DataFrame:
-    """Ranked (relpath, score) of one source, from its texts.
-
-    Statistics come from a first pass over the texts; the second pass, in the
-    returned plan, scores the rows that hold a phrase.
-    """
-    if not query:
-        return files.select("relpath", F.lit(0.0).alias("score")).limit(0)
-    scanned = R.scan(table, columns, query)
-    return R.ranked(R.matched(scanned, R.stats(scanned, len(query)), len(query)), files, keep, limit)
+#: What each index is made from: a table and its columns.
+INDEXES = {"names": ("files", ["filename_nfc", "relpath_nfc"]), "content": ("content", ["text"])}
 
 
 def hit_limit(n: int) -> int:
@@ -30,31 +21,77 @@ def hit_limit(n: int) -> int:
     return n
 
 
-def name_search(files: DataFrame, terms: str, limit: int = 20, **filters) -> DataFrame:
-    top = candidates(files, NAME_COLUMNS, R.phrases(terms), files, R.file_filter(**filters), hit_limit(limit))
-    out = F.broadcast(top).join(files, "relpath")
-    return out.select(*HIT_COLUMNS, F.lit("name").alias("matched_by"), F.lit(None).cast("string").alias("snippet"), "score").orderBy("score", "relpath")
-
-
-def search(files: DataFrame, content: DataFrame, terms: str, limit: int = 20, snippets: bool = True, **filters) -> DataFrame:
-    """At most ``limit`` hits, best first.
-
-    Ranking works on (relpath, score) alone; details are joined, and snippets
-    made, for the final hits.  Their number is bounded by the limit, so they are
-    broadcast.
-    """
-    query, keep = R.phrases(terms), R.file_filter(**filters)
-    hit_limit(limit)
-    sources = [candidates(t, c, query, files, keep, R.MAX_CANDIDATES + 1).persist() for t, c in ((files, NAME_COLUMNS), (content, ["text"]))]
-    try:
-        R.check_candidates(*sources)
-        spark = files.sparkSession
-        top = spark.createDataFrame(R.fuse(*sources, limit).collect(), "relpath string, score double, matched_by string")
-    finally:
-        for s in sources:
-            s.unpersist()
-    out = files.join(F.broadcast(top), "relpath").select(*HIT_COLUMNS, "matched_by", "score")
-    if snippets:
-        texts = content.join(F.broadcast(top.where("matched_by <> 'name'").select("relpath")), "relpath", "left_semi")
-        out = out.join(texts.select("relpath", snippet(F.col("text"), query).alias("snippet")), "relpath", "left")
-    return out.orderBy(F.desc("score"), "relpath")
+def write_indexes(spark: SparkSession, path: str) -> None:
+    """For each index of the tables under ``path``: postings, clustered by term, and lengths."""
+    for index, (table, columns) in INDEXES.items():
+        docs = spark.read.parquet(f"{path}/{table}")
+        R.postings(docs, columns).repartitionByRange("term", "relpath").sortWithinPartitions("term", "relpath", "col", "pos").write.parquet(f"{path}/{index}_postings")
+        R.lengths(docs, columns).write.parquet(f"{path}/{index}_lengths")
+
+
+class Tables:
+    """The tables ``files`` and ``content`` under one folder, with their indexes."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def found(self, index: str, query: list[list[str]]) -> DataFrame:
+        """(relpath, n_tokens, f0, ...): only the query's terms are read."""
+        return R.lookup(self.table(f"{index}_postings"), self.table(f"{index}_lengths"), query)
+
+    def scores(self, index: str, query: list[list[str]]) -> DataFrame:
+        """(relpath, score) of all documents that match."""
+        found = self.found(index, query)
+        n = self.table(f"{index}_lengths").agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+        hits = found.agg(*[F.count(F.when(F.col(f"f{k}") > 0, 1)) for k in range(len(query))]).first()
+        return R.matched(found, R.Stats(n[0], n[1], tuple(hits)), len(query))
+
+    def ranks(self, index: str, query: list[list[str]], keep: Column, limit: int | None) -> DataFrame:
+        """Ranked (relpath, score) of the files that pass the filter."""
+        if not query:
+            return self.table("files").select("relpath", F.lit(0.0).alias("score")).limit(0)
+        return R.ranked(self.scores(index, query), self.table("files"), keep, limit)
+
+    @contextmanager
+    def _held(self, *frames: DataFrame):
+        held = [f.persist() for f in frames]
+        try:
+            yield held
+        finally:
+            for f in held:
+                f.unpersist()
+
+    def names(self, terms: str, limit: int = 20, **filters) -> DataFrame:
+        """Hits among names, best first."""
+        top = self.ranks("names", R.phrases(terms), R.file_filter(**filters), hit_limit(limit))
+        out = F.broadcast(top).join(self.table("files"), "relpath")
+        return out.select(*HIT_COLUMNS, F.lit("name").alias("matched_by"), F.lit(None).cast("string").alias("snippet"), "score").orderBy("score", "relpath")
+
+    def search(self, terms: str, limit: int = 20, snippets: bool = True, **filters) -> DataFrame:
+        """At most ``limit`` hits, best first.
+
+        Ranking works on (relpath, score) alone; details are joined, and snippets
+        made, for the final hits.  Their number is bounded by the limit, so they are
+        broadcast.  A hit whose details are missing fails the job, as does one
+        without its text if snippets are made.
+        """
+        query, keep = R.phrases(terms), R.file_filter(**filters)
+        hit_limit(limit)
+        with self._held(*[self.ranks(i, query, keep, R.MAX_CANDIDATES + 1) for i in INDEXES]) as sources:
+            R.check_candidates(*sources)
+            rows = R.fuse(*sources, limit).collect()
+        top = F.broadcast(self.spark.createDataFrame(rows, "relpath string, score double, matched_by string"))
+        out = self._sure(top.join(self.table("files").select(*HIT_COLUMNS, F.lit(True).alias("there")), "relpath", "left"), "there", "no details of")
+        if snippets:
+            texts = self.table("content").join(top.where("matched_by <> 'name'").select("relpath"), "relpath", "left_semi")
+            out = out.join(texts.select("relpath", snippet(F.col("text"), query).alias("snippet")), "relpath", "left")
+            out = self._sure(out.withColumn("told", (F.col("matched_by") == "name") | F.col("snippet").isNotNull()), "told", "no text of")
+        return out.orderBy(F.desc("score"), "relpath").select(*HIT_COLUMNS, "matched_by", "score", *["snippet"] * snippets)
+
+    @staticmethod
+    def _sure(df: DataFrame, flag: str, fault: str) -> DataFrame:
+        bad = F.raise_error(F.concat(F.lit(f"the index is damaged: {fault} "), F.col("relpath"))).cast("boolean")
+        return df.where(F.when(F.coalesce(flag, F.lit(False)), True).otherwise(bad)).drop(flag)

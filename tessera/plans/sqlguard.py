@@ -7,6 +7,7 @@ import datetime
 import decimal
 import json
 import math
+import re
 import threading
 import uuid
 
@@ -60,8 +61,40 @@ def _check_expression(e, tables: set[str], known: set[str]) -> None:
         _check_expression(c, tables, known)
 
 
-def checked(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """The DataFrame of one allowed statement over these tables."""
+def glob_regex(glob: str) -> str:
+    """The Java pattern of a GLOB pattern, which knows ``*``, ``?``, ``[...]`` and ``[^...]``."""
+    out, i = [], 0
+    while i < len(glob):
+        c, end = glob[i], glob.find("]", i + 2 + glob.startswith("[^", i))
+        if c == "[" and end > 0:
+            negated = glob.startswith("[^", i)
+            inside = re.sub(r"([\\\[\]&^])", r"\\\1", glob[i + 1 + negated : end])
+            out.append(f"[{'^' * negated}{inside}]")
+            i = end
+        else:
+            out.append({"*": ".*", "?": "."}.get(c) or (c if c.isalnum() or ord(c) > 127 else f"\\{c}"))
+        i += 1
+    return f"(?s)\\A{''.join(out)}\\z"
+
+
+def with_globs(text: str) -> str:
+    """The statement with RLIKE in place of each GLOB that a literal follows."""
+
+    def one(found: re.Match) -> str:
+        if found["other"]:
+            return found["other"]
+        pattern = glob_regex(found["glob"].replace("''", "'"))
+        return "RLIKE '" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    return re.sub(r"\bGLOB\s+'(?P<glob>(?:[^']|'')*)'|(?P<other>'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*)", one, text, flags=re.I)
+
+
+def checked(spark: SparkSession, text: str, tables: dict[str, DataFrame], hidden: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The DataFrame of one allowed statement over these tables, in a session of its own.
+
+    ``hidden`` tables can be read but aren't listed in ``catalog_tables``.
+    """
+    text = with_globs(text)
     if not text.split() or text.split()[0].upper() not in _FIRST_WORDS:
         raise SqlError("only SELECT, WITH or EXPLAIN is allowed")
     if len(text.encode()) > MAX_QUERY:
@@ -72,11 +105,14 @@ def checked(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> Dat
         raise SqlError(str(e).splitlines()[0]) from None
     views = dict(tables)
     views["catalog_tables"] = spark.createDataFrame([(n, "table", f"CREATE TABLE {n} ({', '.join(f'{c} {t}' for c, t in d.dtypes)})") for n, d in tables.items()], "name string, type string, sql string")
+    views |= hidden or {}
     _check(plan, {n.lower() for n in views}, set())
+    # With the settings of the caller's session, whose views it leaves alone.
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
     for n, d in views.items():
-        d.createOrReplaceTempView(n)
+        spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, d._jdf.queryExecution().analyzed()).createOrReplaceTempView(n)
     try:
-        out = spark.sql(text)
+        out = own.sql(text)
     except PySparkException as e:
         raise SqlError(str(e).splitlines()[0]) from None
     if len(out.columns) > MAX_COLUMNS:
@@ -101,22 +137,34 @@ def json_value(x):
     return x
 
 
-def run_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame], seconds: float = MAX_SECONDS) -> list[dict]:
+def run_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame], seconds: float = MAX_SECONDS, hidden: dict[str, DataFrame] | None = None) -> list[dict]:
     """Rows of a statement as dicts, within every budget.
 
-    Rows beyond the budget are never fetched: one more than it, then an error.
+    Rows come one by one, and no more are taken once a budget is exceeded.
     """
-    df = checked(spark, text, tables)
+    df = checked(spark, text, tables, hidden)
     names = df.columns
     for i, (_, kind) in enumerate(df.dtypes):
-        if kind in ("string", "binary"):
-            df = df.toDF(*[f"c{k}" for k in range(len(names))]).withColumn(f"c{i}", F.when(F.octet_length(f"c{i}") > MAX_VALUE, F.raise_error(F.lit("a value exceeds the size budget")).cast(kind)).otherwise(F.col(f"c{i}")))
+        nested = kind.startswith(("array", "map", "struct"))
+        if nested or kind in ("string", "binary"):
+            df = df.toDF(*[f"c{k}" for k in range(len(names))])
+            size = F.octet_length(F.to_json(F.struct(f"c{i}")) if nested else F.col(f"c{i}"))
+            df = df.withColumn(f"c{i}", F.when(size > MAX_VALUE, F.raise_error(F.lit("a value exceeds the size budget")).cast(kind)).otherwise(F.col(f"c{i}")))
     group, got = f"sql-{uuid.uuid4().hex}", []
 
     def fetch() -> None:
         spark.sparkContext.setJobGroup(group, "bounded SQL", interruptOnCancel=True)
+        out, size = [], 2
         try:
-            got.append(df.limit(MAX_ROWS + 1).collect())
+            for row in df.limit(MAX_ROWS + 1).toLocalIterator():
+                if len(out) == MAX_ROWS:
+                    raise SqlError(f"over {MAX_ROWS} rows")
+                item = {n: json_value(v) for n, v in zip(names, row, strict=True)}
+                size += len(json.dumps(item, ensure_ascii=False, separators=(",", ":")).encode()) + bool(out)
+                if size > MAX_OUTPUT:
+                    raise SqlError("the output exceeds its size budget")
+                out.append(item)
+            got.append(out)
         except Exception as e:
             got.append(SqlError(str(e).splitlines()[0]))
 
@@ -129,13 +177,4 @@ def run_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame], second
         raise SqlError(f"the statement exceeded the work budget of {seconds} s")
     if isinstance(got[0], SqlError):
         raise got[0]
-    if len(got[0]) > MAX_ROWS:
-        raise SqlError(f"over {MAX_ROWS} rows")
-    out, size = [], 2
-    for row in got[0]:
-        item = {n: json_value(v) for n, v in zip(names, row, strict=True)}
-        size += len(json.dumps(item, ensure_ascii=False, separators=(",", ":")).encode()) + bool(out)
-        if size > MAX_OUTPUT:
-            raise SqlError("the output exceeds its size budget")
-        out.append(item)
-    return out
+    return got[0]

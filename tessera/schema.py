@@ -16,7 +16,7 @@ EXTRACTORS = {
     "pdftotext": ["pdf"],
     "ooxml-word": ["docx", "docm", "dotx"],
     "ooxml-excel": ["xlsx", "xlsm", "xltx"],
-    "odf-text": ["odt"],
+    "odt": ["odt"],
     "text": ["txt", "md", "csv"],
     "html": ["htm", "html"],
 }
@@ -25,7 +25,7 @@ UNSUPPORTED = ["doc", "xls", "ppt", "rtf", "msg"]
 # Limits in bytes unless named otherwise.
 KIB, MIB = 1 << 10, 1 << 20
 MAX_TEXT = 500 * KIB
-SOURCE_LIMITS = {"text": 8 * MIB, "html": 8 * MIB, "ooxml-word": 256 * MIB, "ooxml-excel": 256 * MIB, "odf-text": 256 * MIB, "pdftotext": 512 * MIB}
+SOURCE_LIMITS = {"text": 8 * MIB, "html": 8 * MIB, "ooxml-word": 256 * MIB, "ooxml-excel": 256 * MIB, "odt": 256 * MIB, "pdftotext": 512 * MIB}
 
 _S, _L, _I = StringType(), LongType(), IntegerType()
 

@@ -155,5 +155,7 @@ def policy_digest(c: dict) -> str:
     import hashlib
 
     keys = ["access_policy_generation", "access_policy_id", "access_roots", "metadata_only_globs", "prune_dirs", "publish_group", "publish_mode"]
+    # Lists count as sets, and the mode by its value.
     rules = {k: sorted(c[k]) if isinstance(c[k], list) else c[k] for k in keys}
+    rules["publish_mode"] = f"{int(str(c['publish_mode']), 8):04o}"
     return hashlib.sha256(json.dumps(rules, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()

@@ -63,6 +63,7 @@ def walk(config: dict, skip: set[tuple[int, int]] = frozenset()) -> Iterator[dic
             raise Changed(str(e)) from None
         except OSError as e:
             raise WalkError(f"can't read folder {rel!r}: {e}") from None
+        entries = [e for e in entries if relevant(f"{rel}/{e.name}" if rel else e.name, roots)]
         if len(entries) > config["max_directory_entries"]:
             raise WalkError(f"too many entries in {rel!r}")
         seen += len(entries)
@@ -71,13 +72,16 @@ def walk(config: dict, skip: set[tuple[int, int]] = frozenset()) -> Iterator[dic
         folders = []
         for e in entries:
             path = f"{rel}/{e.name}" if rel else e.name
-            if e.is_symlink() or (not rel and e.name == config["corpus_id_file"]):
+            # On the way to a root, siblings are nobody's business.
+            if not relevant(path, roots) or e.is_symlink() or (not rel and e.name == config["corpus_id_file"]):
                 continue
             try:
                 e.name.encode()
             except UnicodeEncodeError:
                 raise WalkError(f"non-UTF-8 bytes in a name: {os.fsencode(e.name).hex()}") from None
             if e.is_dir(follow_symlinks=False):
+                if skip and (e.stat(follow_symlinks=False).st_dev, e.inode()) in skip:
+                    continue
                 if relevant(path, roots) and not pruned(e.name, names):
                     folders.append(path)
                     found.update(r for r in roots if r == path)
@@ -96,7 +100,7 @@ def walk(config: dict, skip: set[tuple[int, int]] = frozenset()) -> Iterator[dic
             yield {"relpath": path, "size_bytes": s.st_size, "mtime_ns": s.st_mtime_ns, "ctime_ns": s.st_ctime_ns, "st_dev": str(s.st_dev), "st_ino": str(s.st_ino)}
         stack += reversed(folders)
     if missing := [r for r in roots if r != "." and r not in found]:
-        raise WalkError(f"access roots are missing: {missing}")
+        raise Changed(f"access roots are missing: {missing}")
 
 
 def read_unchanged(root: str, row: dict, most: int | None) -> bytes | None:
