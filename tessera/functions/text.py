@@ -122,7 +122,9 @@ def token_spans(text: str) -> list[tuple[str, int, int]]:
 
 def collapse_blanks(text: Column) -> Column:
     """Runs of (Python's) white space become one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, _BLANK, " "))
+    # A single space, the usual case, stays as it is and isn't matched.
+    one = _BLANK[:-1]
+    return F.trim(F.regexp_replace(text, f"(?:[{one[1:-1]}&&[^ ]]| (?={one})){one}*", " "))
 
 
 def nfc(text: Column) -> Column:

@@ -12,6 +12,7 @@ from ..operators import checks
 from ..operators import retrieval as R
 from ..operators.snippet import snippet
 from . import corpus_view, search, sqlguard
+from .workspace import stored
 
 TERMS, PHRASE, COMMON, MIXED = "license", "the-of", "the of", "src1 license"
 ROOTS, PRUNED = ["src1", "src2/2020"], ["2019", "2024"]
@@ -58,7 +59,7 @@ def bm25_scores(spark, sf_dir):
     """From texts, in a narrow pass, where there is no index."""
     _, content = corpus_view.load(spark, sf_dir)
     query = R.phrases(COMMON)
-    scanned = R.scan(content, ["text"], query)
+    scanned = stored(R.scan(content, ["text"], query))
     return _rounded(R.matched(scanned, R.stats(scanned, len(query)), len(query)))
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,4 +24,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _made[spark.sparkContext.applicationId]
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, for what is used twice."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 _made: dict[str, str] = {}

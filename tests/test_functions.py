@@ -66,3 +66,20 @@ def test_tsv_and_html(spark):
     assert column(spark, ["=formula\n", "=2+2", "left\r\x1b\x00right", "x", None], text.tsv_cell) == ["'=formula ", "'=2+2", "left   right", "x", ""]
     page = '<html><title>T</title><script>var a="<p>";</script><!-- x --><p>a&amp;b<b>fo</b>o&copy;</p></html>'
     assert column(spark, [page], text.html_text) == ["T a&b fo o©"]
+
+
+def test_every_code_point_is_folded_as_by_fts5(spark):
+    """One text for each code point, between letters and alone."""
+    points = [i for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize='unicode61 remove_diacritics 2')")
+    con.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, 'instance')")
+    con.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", ((i, f"a{chr(i)}b {chr(i)}") for i in points))
+    want: dict[int, list[str]] = {}
+    for doc, term in con.execute("SELECT doc, term FROM v ORDER BY doc, offset"):
+        want.setdefault(doc, []).append(term)
+    got = spark.range(1, 0x110000).where("id NOT BETWEEN 55296 AND 57343")
+    got = got.select("id", text.tokens(F.concat(F.lit("a"), F.expr("decode(unhex(concat('0000FEFF', lpad(hex(id), 8, '0'))), 'UTF-32')"), F.lit("b "), F.expr("decode(unhex(concat('0000FEFF', lpad(hex(id), 8, '0'))), 'UTF-32')"))).alias("t"))
+    assert [(r.id, r.t, want[r.id]) for r in got.toLocalIterator() if r.t != want[r.id]] == []
+    sample = [i for i in points if i % 97 == 0 or i < 0x3100]
+    assert all(text.tokenize(f"a{chr(i)}b {chr(i)}") == want[i] for i in sample)
