@@ -44,7 +44,7 @@ def fold_tables() -> tuple[str, str, list[tuple[int, int]]]:
             ranges.append([i, i])
     if _REST in folded:
         ranges += [[0x34000, 0xDFFFF], [0xE1000, 0x10FFFF]]
-    return "".join(changed) + "".join(sorted(whole)), "".join(changed.values()), [tuple(r) for r in ranges]
+    return "".join(changed) + "".join(sorted(whole)), "".join(changed.values()), sorted(tuple(r) for r in ranges)
 
 
 def _in_class(ranges: list[tuple[int, int]]) -> str:
