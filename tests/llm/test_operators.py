@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -398,3 +399,145 @@ def test_nbest(spark, empty):
     texts = dict(rows)
     assert all(r.text == (texts[r.doc_id] or "") for r in out) and {r.doc_id for r in out} == set(texts)
     assert sentencepiece_nbest.encode(empty, path).count() == 0
+
+
+def test_words_with_structure_are_told_apart(spark):
+    """Thue-Morse words and their complements, on which hashes by sums of powers agree."""
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    words = [w for n in (1024, 2048, 4096) for a in ["".join("ab"[bin(i).count("1") & 1] for i in range(n))] for w in (a, a.translate(str.maketrans("ab", "ba")))]
+    rows = spark.createDataFrame(list(enumerate(words)) + [(50, " ".join(words))], "doc_id long, text string").coalesce(1)
+    got: dict[int, list[int]] = {}
+    for r in sorted(packing.pack(rows, path).collect(), key=lambda r: (r.doc_id, r.start)):
+        got.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+    assert all(got[i] == [*t.encode(w, add_special_tokens=False).ids, 2] for i, w in enumerate([*words]))
+    assert {r.component_id for r in near_dedup.near_dedup(rows).where("doc_id < 50").collect()} == set(range(6))
+    alone = substring_dedup.substring_dedup(spark.createDataFrame([(k, " ".join([w] * 2 + [f"w{i}" for i in range(32)])) for k, w in enumerate(words[:2])], "doc_id long, text string"), window=34)
+    assert {r.n_removed for r in alone.collect()} == {0}
+
+
+def test_short_pieces_fill_sequences(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("the cat").alias("text"))
+    out = packing.pack(rows, vocabulary("word_bpe_49k.json"), with_ids=False)
+    r = out.agg(F.sum("length").alias("n"), F.countDistinct("sequence_id").alias("s")).first()
+    assert r.n == 60_000 and r.s == math.ceil(60_000 / 4096 / 0.999)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = packing.pack(docs, vocabulary("word_bpe_49k.json"), with_ids=False).agg(F.sum("length").alias("n"), F.countDistinct("sequence_id").alias("s")).first()
+    assert r.n >= 0.98 * 4096 * r.s
+
+
+def test_a_large_family_and_outliers_with_one_link(spark):
+    """Near copies of one text, and texts that are near one or two of them only: no link is lost."""
+    rng, base = random.Random(9), [f"b{i}" for i in range(200)]
+    family = [base[: 4 * (k % 4)] + [f"n{k}.{j}" for j in range(4)] + base[4 * (k % 4) + 4 :] for k in range(5000)]
+    outliers = []
+    for k in range(5):
+        near = family[rng.randrange(5000)]
+        outliers.append([*near[:180], *[f"o{k}.{j}" for j in range(len(near) - 180)]])
+    texts = [" ".join(w) for w in family + outliers]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in family + outliers]
+    want = {}
+    for k in range(5000, 5005):
+        near = [i for i in range(5000) if 100 * len(sets[i] & sets[k]) >= 80 * len(sets[i] | sets[k])]
+        assert len(near) < 2500
+        want[k] = 0 if near else k
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)).collect()}
+    assert {i for i, c in got.items() if c != 0} == {k for k, c in want.items() if c}
+    assert 0 in want.values()
+
+
+def test_rows_that_share_an_id_are_judged_alone(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, a), (1, b), (0, b + " end"), (5, a), (5, a), (7, None), (7, "")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in near_dedup.near_dedup(rows).collect())
+    assert got == [(0, 58, 0, True), (1, 57, 0, False), (1, 57, 1, True), (5, 57, 1, False), (5, 57, 1, False), (7, 0, 7, True), (7, 0, 7, True)]
+
+
+def test_network_against_a_plain_forward_pass():
+    net = language_id.Network(["a", "b", "c"])
+    texts = ["The quick brown fox.", "ßüß çã", "x" * 100, "12 a"]
+
+    def squash(x):
+        return x / (1 + abs(x))
+
+    def positions(data):
+        n, states = language_id._HIDDEN, []
+        for d in "fb":
+            h, out = np.zeros(n), []
+            for c in data if d == "f" else data[::-1]:
+                x, u = net.w["X" + d][c].astype(float), net.w["U" + d].astype(float)
+                r = np.array([sum(h[i] * u[i, j] for i in range(n)) for j in range(3 * n)])
+                z, g = ((squash(x[k * n : k * n + n] + r[k * n : k * n + n]) + 1) / 2 for k in (0, 1))
+                new = squash(x[2 * n :] + g * r[2 * n :])
+                h = (1 - z) * new + z * h
+                out.append(h)
+            states.append(out if d == "f" else out[::-1])
+        logits = np.concatenate(states, axis=1) @ net.w["V"] + net.w["c"]
+        e = np.exp(logits)
+        return e / e.sum(axis=1, keepdims=True)
+
+    got = net.documents(texts)
+    rows, lengths, owner = language_id.stretches(texts)
+    assert net._fast(rows) == pytest.approx(net.positions(np.ascontiguousarray(rows.T)), abs=1e-5)
+    for k in range(len(texts)):
+        each = [positions(r)[:n] for r, n, o in zip(rows, lengths, owner, strict=True) if o == k]
+        assert got[k] == pytest.approx(np.concatenate(each).mean(axis=0), abs=1e-5)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, " ".join(random.Random(i).choices([f"{chr(97 + k % 26)}{chr(97 + k // 26)}q", f"{chr(97 + k % 26)}z{chr(97 + k // 26)}"], k=30)), f"l{k:02}") for i in range(210) for k in [i % 70]]
+    network = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), steps=2)
+    assert len(network.languages) == 70
+
+
+def test_withdrawn_documents_leave_the_index(spark):
+    rows = [(1, "a b"), (2, "a  b"), (3, "ab"), (4, "x"), (None, "x y"), (5, "xy")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    gone = spark.createDataFrame([(2,), (4,), (9,)], "doc_id long")
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(frame, gone).collect()}
+    assert got == {(1, 1, 2, True), (3, 1, 2, False), (None, None, 2, True), (5, None, 2, False)}
+    merged = pa.Table.from_batches(exact_dedup._merge([pa.RecordBatch.from_pylist([{"digest": b"k" * 32, "n": n, "best_len": None, "best_id": None} for n in (1, -1)])]) or [], pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("best_len", pa.int64()), ("best_id", pa.int64())]))
+    assert merged.num_rows == 0
+
+
+def test_line_dedup_replaces_columns_named_like_results(spark):
+    rows = spark.createDataFrame([(1, "a\nb", "old", 7, [9])], "doc_id long, text string, n_lines string, n_removed int, removed_chunks array<int>")
+    assert [tuple(r) for r in line_dedup.line_dedup(rows).collect()] == [(1, "a\nb", 2, 0, [])]
+
+
+def test_repeated_windows_without_a_hash(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice("abcd") for _ in range(rng.randint(4, 60))]) for i in range(60)]
+    out = spark.createDataFrame(rows, "i int, w array<string>").select("i", quality.by_words(F.col("w")).alias("at"), quality.repeated_words(F.col("w")).alias("n")).collect()
+    for r in out:
+        w = rows[r.i][1]
+        seen = Counter(zip(w, w[1:], w[2:], strict=False))
+        at = [k for k in range(len(w) - 2) if seen[tuple(w[k : k + 3])] > 1]
+        assert r["at"] == at and r.n == len({k + j for k in at for j in range(3)})
+
+
+def test_junk_without_common_words_is_judged(spark):
+    rng = random.Random(1)
+    good = [(i, " ".join(rng.choices(["the", "of", "and", "house", "tree", "river"], k=150)), "en") for i in range(40)]
+    other = [(i, " ".join(rng.choices(["ja", "nein", "kahvi", "talo", "joki", "puu"], k=150)), "fi") for i in range(50, 90)]
+    junk = [(100, " ".join("%%$" + "#" * (k % 9) + str(k) for k in range(5000)), "en")]
+    got = {r.doc_id: (r.kept, r.base_failed) for r in quality.quality(spark.createDataFrame(good + other + junk, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == (False, False)
+
+
+def test_long_texts_without_blanks(spark):
+    rng = random.Random(2)
+    path = vocabulary("piece_bpe_32k.model")
+    texts = {1: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(350_000)), 2: "".join(rng.choices("ABCDEFabcdef0123456789+/", k=1_000_000)), 3: "a" * 200_000}
+    out = sentencepiece_nbest.decode(sentencepiece_nbest.encode(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), path, n=2), path)
+    rows = out.select("doc_id", "place", F.sha2("text", 256).alias("h")).collect()
+    assert {(r.doc_id, r.h) for r in rows} == {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in texts.items()} and len(rows) >= 5
+
+
+def test_turns_in_any_order(spark):
+    rows = [(1, 2, "user", "b"), (1, 2, "user", "a"), (1, 2, "user", "a"), (1, None, None, None), (2, 1, "assistant", "")]
+    out = chat.format_branches(chat.from_turns(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")))
+    got = {r.tree: [tuple(t) for t in r.t] for r in out.select("tree", chat.read_back(F.col("formatted")).alias("t")).collect()}
+    assert got == {1: [("", ""), ("user", "a"), ("user", "a"), ("user", "b")], 2: [("assistant", "")]}
