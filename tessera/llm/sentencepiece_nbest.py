@@ -62,12 +62,21 @@ class Pieces:
         ranks = all(float(s).is_integer() for s in raw.values()) and min(raw.values()) < -1000
         self.piece = {self.text[i]: (i, -math.log(2 - s) if ranks else s) for i, s in raw.items()}
         self.longest = max(map(len, self.piece))
+        self.single = {p for p in self.piece if len(p) == 1}
         self.gap = min(s for _, s in self.piece.values()) - 10
+        # What each id reads back as, end to end.
+        raw = [bytes([self.value[i]]) if i in self.value else t.replace(_MARK, " ").encode() for i, t in enumerate(self.text)]
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_size = np.array([len(x) for x in raw], np.int32)
+        self.raw_first = np.cumsum(self.raw_size) - self.raw_size
+        self.names: list[str] | None = None
+
+    def _prepare(self) -> None:
+        """What only encoding needs."""
         self.matcher = ahocorasick.Automaton()
         for p, (i, score) in self.piece.items():
             self.matcher.add_word(p, (len(p), score, (i,)))
         self.matcher.make_automaton()
-        self.single = {p for p in self.piece if len(p) == 1}
         # Characters by number, 0 for those in no piece, and which may stand side by side in a piece.
         chars = sorted({c for p in self.piece for c in p})
         number = {c: k for k, c in enumerate(chars, 1)}
@@ -78,7 +87,7 @@ class Pieces:
         self.joined = np.zeros(self.width**2 // 8 + 1, np.uint8)
         at = np.array(sorted(pairs), np.int64)
         np.bitwise_or.at(self.joined, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-        self.names: list[str] = []
+        self.names = []
         self._forget(0, [])
 
     def _forget(self, n: int, keep: list[int]) -> None:
@@ -117,6 +126,8 @@ class Pieces:
 
     def units(self, s: str) -> list[str]:
         """``s`` cut wherever no piece joins the characters on both sides."""
+        if self.names is None:
+            self._prepare()
         x = self.number[np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
         pair = x[:-1] * self.width + x[1:]
         joined = self.joined[pair >> 3] >> (pair & 7).astype(np.uint8) & 1
@@ -145,6 +156,8 @@ class Pieces:
     def forward(self, s: str, into: list[list] | None = None) -> list[float]:
         """Viterbi: the best score of a path from 0 to each position; edges go to ``into``, if given."""
         best = [0.0] + [-math.inf] * len(s)
+        if self.names is None:
+            self._prepare()
         if self.single.issuperset(s):
             # Matches come by their ends, so the scores of their starts are final.
             for last, (n, score, ids) in self.matcher.iter(s):
@@ -214,6 +227,8 @@ class Pieces:
         """The n best (score, packed ids) of a whole text."""
         if not text:
             return [(0.0, b"")]
+        if self.names is None:
+            self._prepare()
         if self.cached_for != n:
             self._forget(n, [])
         elif self.held > _CACHE_BYTES:
@@ -255,11 +270,29 @@ class Pieces:
         text = out.decode("utf-8", "replace").replace(_MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
-    def decode_packed(self, data: bytes) -> str:
-        if not hasattr(self, "_bytes"):
-            self._bytes = [bytes([self.value[i]]) if i in self.value else t.replace(_MARK, " ").encode() for i, t in enumerate(self.text)]
-        text = b"".join(map(self._bytes.__getitem__, np.frombuffer(data, "<u4").tolist())).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+    def decode_packed(self, column: pa.Array) -> pa.Array:
+        """The texts of a binary column of packed ids."""
+        data, offsets, _ = K.parts(column)
+        ids = data[offsets[0] : offsets[-1]].tobytes()
+        ids = np.frombuffer(ids, "<u4")
+        size = self.raw_size[ids]
+        end = np.cumsum(size, dtype=np.int64)
+        out = self.raw[np.repeat((self.raw_first[ids] - end + size).astype(np.int32), size) + np.arange(len(ids) and end[-1], dtype=np.int32)]
+        at = np.append(0, end)[(offsets - offsets[0]) // 4]
+        # The blank before a text, which encoding has put there.
+        lead = at[:-1][at[1:] > at[:-1]]
+        drop = lead[out[lead] == 32]
+        out = np.delete(out, drop)
+        at -= np.searchsorted(drop, at)
+        raw, first = out.tobytes(), at[:-1][at[1:] > at[:-1]]
+        try:
+            raw.decode()
+            whole = not ((out[first] & 0xC0) == 0x80).any()
+        except UnicodeDecodeError:
+            whole = False
+        if not whole:
+            return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
+        return pa.StringArray.from_buffers(len(column), pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw))
 
 
 def _least_sums(options: list[tuple[int, list[float]]], n: int) -> list[tuple[float, list[tuple[int, int]]]]:
@@ -311,6 +344,6 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             for a, b in K.slices(batch.column(batch.schema.get_field_index("ids"))):
                 part = batch.slice(a, b - a)
-                yield part.append_column("text", pa.array([model.decode_packed(x) for x in part.column("ids").to_pylist()], pa.string()))
+                yield part.append_column("text", model.decode_packed(part.column("ids")))
 
     return encoded.mapInArrow(run, encoded.schema.simpleString()[7:-1].replace(":", " ") + ", text string")
