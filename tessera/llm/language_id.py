@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
+
 STRETCH = 32
 _HIDDEN = 8
 _BLOCK = 4096
@@ -224,26 +226,19 @@ def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", te
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            best, score, probs = [], [], []
-            at, i = [0], 0
-            for k, t in enumerate(texts):
-                i += len(t or "")
-                if i > 1 << 20:
-                    at.append(k + 1)
-                    i = 0
-            for a, b in zip(at, [*at[1:], len(texts)], strict=True):
-                if a == b:
-                    continue
-                p = network.documents([t or "" for t in texts[a:b]]) if network else np.zeros((b - a, 0))
-                for t, row in zip(texts[a:b], p, strict=True):
+            for a, b in K.slices(batch.column(batch.num_columns - 1), 1 << 20):
+                part = batch.slice(a, b - a)
+                texts = part.column(part.num_columns - 1).to_pylist()
+                best, score, probs = [], [], []
+                p = network.documents([t or "" for t in texts]) if network else np.zeros((b - a, 0))
+                for t, row in zip(texts, p, strict=True):
                     if t is None or not len(row):
                         best.append("und"), score.append(0.0), probs.append([])
                     else:
                         k = int(row.argmax())
                         best.append(network.languages[k]), score.append(min(1.0, float(row[k]))), probs.append([(lang, float(x)) for lang, x in zip(network.languages, row, strict=True)])
-            arrays = [*batch.columns[:-1], pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(probs, pa.map_(pa.string(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "lang_pred", "score", "probs"])
+                arrays = [*part.columns[:-1], pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(probs, pa.map_(pa.string(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names[:-1], "lang_pred", "score", "probs"])
 
     return inner.mapInArrow(run, schema + ", lang_pred string, score double, probs map<string, double>")
 

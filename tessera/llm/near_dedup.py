@@ -35,6 +35,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -46,6 +47,7 @@ from . import kernels as K
 from .common import attach_by_group, components, durable, partitions, small
 
 _U = np.uint64
+_kept = functools.partial(durable, codec="uncompressed")
 TREES, DEPTH, BASE = 14, 4, 2
 _KEYS, _HASHES = TREES * DEPTH, 224
 _MUL = K.mix(np.arange(1, _HASHES + 1, dtype=_U)) | _U(1)
@@ -206,7 +208,7 @@ def neighbours(rows: DataFrame, agree: int, reach: int, best_only: bool) -> Data
             yield _border(held)
 
     schema = "a long, b long, same long, tree int, key binary, mark binary, comp long"
-    found = durable(rows.mapInArrow(run, schema))
+    found = _kept(rows.mapInArrow(run, schema))
     border = found.where("tree is not null").select("tree", "key", F.col("a").alias("node"), "mark", "comp").distinct()
 
     def across(batches):
@@ -251,7 +253,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
 
     classes = small(classes.select("node", "doc_id", "set_id"))
     found = docs.join(classes.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, set_id binary, set array<long>")
-    return durable(found.join(classes, ["doc_id", "set_id"]).select("node", "set").dropDuplicates(["node"]))
+    return _kept(found.join(classes, ["doc_id", "set_id"]).select("node", "set").dropDuplicates(["node"]))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -367,11 +369,11 @@ def near_dedup(docs: DataFrame, size: int = 4, percent: int = 80, agree: int = 1
     in A-Z only.  doc_id must be a non-null long.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = durable(signatures(docs, size))
+    sigs = _kept(signatures(docs, size))
     full = sigs.where("n_shingles > 0")
     classes = full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("mark").alias("mark"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
     # Written at once, so each class keeps its number.
-    classes = durable(classes.withColumn("node", F.monotonically_increasing_id()))
+    classes = _kept(classes.withColumn("node", F.monotonically_increasing_id()))
 
     def labelled(links):
         if links is None:
@@ -380,31 +382,31 @@ def near_dedup(docs: DataFrame, size: int = 4, percent: int = 80, agree: int = 1
         return classes.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
     def links_of(candidates):
-        return durable(confirmed(durable(candidates), docs, classes, size, percent))
+        return _kept(confirmed(_kept(candidates), docs, classes, size, percent))
 
     best = neighbours(forest(trees(labelled(None))), agree, _NEAR, True)
     links = links_of(best.groupBy("b").agg(F.max(F.struct("same", "a")).alias("x")).select("b", F.col("x.a").alias("a")).select("a", "b"))
 
-    marked = durable(labelled(links))
+    marked = _kept(labelled(links))
     rows = trees(marked).withColumn("base", F.substring("key", 1, 4 * BASE))
-    regions = durable(rows.groupBy("tree", "base").agg(F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most")).where(F.col("n") > _FAR + 1))
+    regions = _kept(rows.groupBy("tree", "base").agg(F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most")).where(F.col("n") > _FAR + 1))
     dense = small(regions.select("tree", "base"))
     new = links_of(neighbours(forest(rows.join(dense, ["tree", "base"], "left_anti")), agree, _FAR, False).select("a", "b"))
-    links = durable(links.unionByName(new))
+    links = _kept(links.unionByName(new))
 
     split = small(regions.where("least <> most").select("tree", "base"))
-    rows = trees(durable(labelled(links))).withColumn("base", F.substring("key", 1, 4 * BASE)).join(split, ["tree", "base"], "left_semi")
-    rows = durable(rows.join(classes.select("node", "n_shingles"), "node").select("tree", "base", "node", "mark", "comp", "n_shingles"))
+    rows = trees(_kept(labelled(links))).withColumn("base", F.substring("key", 1, 4 * BASE)).join(split, ["tree", "base"], "left_semi")
+    rows = _kept(rows.join(classes.select("node", "n_shingles"), "node").select("tree", "base", "node", "mark", "comp", "n_shingles"))
     parts = rows.groupBy("tree", "base", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
     sums = parts.groupBy("tree", "base").agg(F.max(F.struct("n", "comp", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
     sums = sums.select("tree", "base", F.col("top.comp").alias("main"), F.col("top.n").alias("n_main"), (F.col("n") - F.col("top.n")).alias("n_other"), F.col("top.size").alias("size_main"), (F.col("size") - F.col("top.size")).alias("size_other"))
     open_ = rows.join(small(sums.where("n_other > 0")), ["tree", "base"])
-    links = links.unionByName(durable(tiled(open_, docs, classes, size, percent, agree)))
+    links = links.unionByName(_kept(tiled(open_, docs, classes, size, percent, agree)))
 
     known = components(links).withColumnRenamed("component", "comp")
-    labels = durable(classes.join(known, "node", "left").select("set_id", "n", "doc_id", F.coalesce("comp", "node").alias("comp")))
-    least = durable(labels.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")))
-    labels = durable(attach_by_group(labels, least, "comp", "members").select("set_id", "n", "component_id"))
+    labels = _kept(classes.join(known, "node", "left").select("set_id", "n", "doc_id", F.coalesce("comp", "node").alias("comp")))
+    least = _kept(labels.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")))
+    labels = _kept(attach_by_group(labels, least, "comp", "members").select("set_id", "n", "component_id"))
     out = attach_by_group(full.select("doc_id", "n_shingles", "set_id"), labels, "set_id", "n").select("doc_id", "n_shingles", "component_id")
     bare = sigs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(bare).withColumn("kept", F.col("doc_id") == F.col("component_id"))
