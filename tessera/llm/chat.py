@@ -63,8 +63,9 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
     while waiting:
         jumps.append(nodes.select("tree", "id", "up").where("up is not null"))
         above = nodes.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"))
+        # What has reached its root moves no more.
         nodes = durable(
-            nodes.join(above, ["tree", "up"], "left").select("tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"))
+            nodes.where("up is null").unionByName(nodes.where("up is not null").join(above, ["tree", "up"], "left").select("tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score")))
         )
         still = nodes.where("up is not null").count()
         # Ever fewer nodes still point upwards; those on a cycle always do.
