@@ -35,8 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().get()
 
 
-def durable(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it again; hashes are better left ``uncompressed``.
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it again.
 
     This cuts the lineage, so a lost executor costs only the tasks it ran, and
     work whose result is used twice is done once.
@@ -44,7 +44,7 @@ def durable(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -114,7 +114,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     returned.
     """
     e = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct()
-    e = durable(e, "uncompressed")
+    e = durable(e)
     state = None
 
     def with_least(rows: DataFrame, of: DataFrame, key: str, few: bool) -> DataFrame:
@@ -137,7 +137,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .where("hi <> lo")
             .distinct()
         )
-        e = durable(small, "uncompressed")
+        e = durable(small)
     members = e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     roots = e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return members.union(roots)
