@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import releasing
 
 STRETCH = 32
 _HIDDEN = 8
@@ -240,7 +241,7 @@ def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", te
                 arrays = [*part.columns[:-1], pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(probs, pa.map_(pa.string(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names[:-1], "lang_pred", "score", "probs"])
 
-    return inner.mapInArrow(run, schema + ", lang_pred string, score double, probs map<string, double>")
+    return inner.mapInArrow(releasing(run), schema + ", lang_pred string, score double, probs map<string, double>")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

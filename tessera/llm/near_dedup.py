@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import attach_by_group, components, durable, partitions, small
+from .common import attach_by_group, components, durable, partitions, releasing, small
 
 _U = np.uint64
 TREES, DEPTH, BASE = 14, 4, 2
@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + len(sets)], *arrays], ["doc_id", "n_shingles", "set_id", "sig", "mark"])
                 i += len(sets)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sig binary, mark binary")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), "doc_id long, n_shingles long, set_id binary, sig binary, mark binary")
 
 
 def trees(classes: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def trees(classes: DataFrame) -> DataFrame:
                 keys = pa.array([k.tobytes() for k in sig[:, t * DEPTH : (t + 1) * DEPTH]], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), keys, *(batch.column(c) for c in ("node", "mark", "comp"))], ["tree", "key", "node", "mark", "comp"])
 
-    return classes.select("node", "sig", "mark", "comp").mapInArrow(run, "tree int, key binary, node long, mark binary, comp long")
+    return classes.select("node", "sig", "mark", "comp").mapInArrow(releasing(run), "tree int, key binary, node long, mark binary, comp long")
 
 
 def _order() -> list[Column]:
@@ -206,7 +206,7 @@ def neighbours(rows: DataFrame, agree: int, reach: int, best_only: bool) -> Data
             yield _border(held)
 
     schema = "a long, b long, same long, tree int, key binary, mark binary, comp long"
-    found = durable(rows.mapInArrow(run, schema))
+    found = durable(rows.mapInArrow(releasing(run), schema))
     border = found.where("tree is not null").select("tree", "key", F.col("a").alias("node"), "mark", "comp").distinct()
 
     def across(batches):
@@ -219,7 +219,7 @@ def neighbours(rows: DataFrame, agree: int, reach: int, best_only: bool) -> Data
 
     n = partitions(rows.sparkSession)
     # At most 2 * reach rows a range partition and its neighbours in other ones; a tree's all meet in one task.
-    met = border.repartition(n, "tree").sortWithinPartitions(*_order()).mapInArrow(across, schema)
+    met = border.repartition(n, "tree").sortWithinPartitions(*_order()).mapInArrow(releasing(across), schema)
     both = found.where("tree is null").unionByName(met)
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same").where("a <> b").groupBy("a", "b").agg(F.max("same").alias("same"))
 
@@ -250,7 +250,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
                 i += len(sets)
 
     classes = small(classes.select("node", "doc_id", "set_id"))
-    found = docs.join(classes.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, set_id binary, set array<long>")
+    found = docs.join(classes.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(releasing(run), "doc_id long, set_id binary, set array<long>")
     return durable(found.join(classes, ["doc_id", "set_id"]).select("node", "set").dropDuplicates(["node"]))
 
 

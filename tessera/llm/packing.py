@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import durable, partitions
+from .common import durable, partitions, releasing
 
 _CACHE_WORDS = 1_000_000
 _LETTER = np.zeros(256, bool)
@@ -189,7 +189,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece long, start long, length long, doc_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(releasing(run), schema)
 
 
 def classes(capacity: int, quantum: int = 1, fineness: int = 64) -> np.ndarray:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import durable, partitions
+from .common import durable, partitions, releasing
 
 _U = np.uint64
 _BITS = 22
@@ -154,7 +154,7 @@ class SubstringDedup:
                     if rows:
                         yield _batch(rows)
 
-        return durable(self.docs.select("text", "block").mapInArrow(run, _SENT))
+        return durable(self.docs.select("text", "block").mapInArrow(releasing(run), _SENT))
 
     def match(self, sent: DataFrame) -> DataFrame:
         """Join on the anchor: what each block has to take whole, and what it has to extend."""
