@@ -541,3 +541,9 @@ def test_turns_in_any_order(spark):
     out = chat.format_branches(chat.from_turns(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")))
     got = {r.tree: [tuple(t) for t in r.t] for r in out.select("tree", chat.read_back(F.col("formatted")).alias("t")).collect()}
     assert got == {1: [("", ""), ("user", "a"), ("user", "a"), ("user", "b")], 2: [("assistant", "")]}
+
+
+def test_releasing_keeps_every_batch():
+    made = common.releasing(lambda batches: (2 * x for x in batches))
+    assert list(made(iter([1, 2, 3]))) == [2, 4, 6]
+    assert list(made(iter([]))) == []
