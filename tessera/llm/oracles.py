@@ -123,6 +123,42 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND (n_words < 100 OR distance IS NULL OR distance <= 0.3) AS kept FROM f"""
 
+_HARD = """
+WITH v AS (SELECT vec_id AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c
+  FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_dot_product(a.c, b.c) AS BIGINT) AS s FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (SELECT p.a, p.b AS p, p.s AS ps, s.b AS n, s.s AS ns, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS INTEGER) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s)
+SELECT a AS anchor_id, p AS positive_id, rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 3"""
+
+_SUFFIX = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h, octet_length(h) AS z FROM documents),
+w AS (SELECT doc_id, unnest(range(z - 99)) AS i, unnest(list_transform(range(z - 99), lambda i: h[i + 1 : i + 100])) AS x FROM d WHERE z >= 100),
+g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) > 1 AS gone FROM w),
+r AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 100)) AS i FROM g WHERE gone)),
+c AS (SELECT doc_id, min(i) AS a, max(i) + 1 AS b FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM c),
+t AS (SELECT k.doc_id, sum(b - a) AS n, count(*) AS m, string_agg(hex(h[k.z + 1 : a]), '' ORDER BY a) || hex(any_value(h)[max(b) + 1 :]) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+SELECT d.doc_id, z AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(m, 0) AS n_spans, sha256(coalesce(from_hex(kept), h)) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
+
+_PHRASES = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{url_filter._UPPER}', '{url_filter._LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(t, '[^\\x20\\x09]+') AS w FROM d),
+m AS (SELECT lang, w, unnest([1, 2, 3, 4, 5]) AS m FROM w),
+g AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS x FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM m WHERE len(w) >= m)),
+f AS (SELECT lang, m, x, count(*) AS a, string_split(x, ' ') AS p FROM g GROUP BY lang, m, x HAVING m = 1 OR count(*) >= 100),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY lang),
+s AS (SELECT lang, a, p, m, unnest(range(2, m)) AS k FROM f WHERE m > 2),
+b AS (SELECT lang, array_to_string(p[i : i + k - 1], ' ') AS x, max(a) AS longer FROM (SELECT lang, a, p, k, unnest(range(1, m - k + 2)) AS i FROM s) GROUP BY ALL),
+c AS (SELECT f.* FROM f LEFT JOIN b USING (lang, x) WHERE m > 1 AND (longer IS NULL OR 100 * longer < 100 * a)),
+e AS (SELECT lang, x, a, p, unnest(range(1, m)) AS k FROM c),
+q AS (SELECT e.lang, e.x, e.a, k, l.a AS l, r.a AS r, n, (1000::HUGEINT * e.a * n) // (l.a::HUGEINT * r.a) AS score
+  FROM e JOIN f l ON l.lang = e.lang AND l.x = array_to_string(e.p[1 : k], ' ') JOIN f r ON r.lang = e.lang AND r.x = array_to_string(e.p[k + 1 :], ' ') JOIN n ON n.lang = e.lang),
+z AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(x)) AS rank, x AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM z QUALIFY rank <= 2000"""
+
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": _EXACT,
     "op4_substring_dedup": _SUBSTRING,
@@ -131,4 +167,7 @@ ORACLES: dict[str, str] = {
     "op7_chat": _CHAT,
     "op8_line_dedup": _LINES,
     "op9_quality": _QUALITY,
+    "op11_hard_negatives": _HARD,
+    "op12_suffix_dedup": _SUFFIX,
+    "op13_collocations": _PHRASES,
 }

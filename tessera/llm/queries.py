@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language_id, line_dedup, near_dedup, packing, quality, sentencepiece_nbest, substring_dedup, url_filter
+from . import chat, collocations, exact_dedup, hard_negatives, language_id, line_dedup, near_dedup, packing, quality, sentencepiece_nbest, substring_dedup, suffix_dedup, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -82,4 +82,21 @@ def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "place", "score", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_exact_dedup, op4_substring_dedup, op5_near_dedup, op6_url_filter, op7_chat, op8_line_dedup, op9_quality, op10_sentencepiece_nbest)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"), window=100)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = collocations.top(collocations.collocations(_table(spark, sf_dir, "documents"), min_count=100, max_words=5), 2000)
+    return out.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+_ALL = (op1_packing, op2_language_id, op3_exact_dedup, op4_substring_dedup, op5_near_dedup, op6_url_filter, op7_chat, op8_line_dedup, op9_quality, op10_sentencepiece_nbest, op11_hard_negatives, op12_suffix_dedup, op13_collocations)
+QUERIES = {f.__name__: f for f in _ALL}

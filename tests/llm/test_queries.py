@@ -18,7 +18,7 @@ def test_query(spark, name):
 
 
 def test_all_are_registered():
-    assert {k.split("_")[0] for k in entry.queries() if k.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {k.split("_")[0] for k in entry.queries() if k.startswith("op")} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_held_out_accuracy(spark):
