@@ -86,7 +86,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from .plans.build import BuildError, build
     from .plans.index import Index
     from .plans.publish import PublicationError
-    from .plans.sqlguard import SqlError
+    from .plans.sqlguard import SqlError, message
     from .sources import config
     from .sources.walk import WalkError, corpus_id
 
@@ -127,7 +127,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         return 2
     except (PySparkException, Py4JError) as e:
         # Whatever else Spark finds wrong with an index or a query.
-        print(f"error: {str(e).splitlines()[0]}", file=sys.stderr)
+        print(f"error: {message(e)}", file=sys.stderr)
         return 2
 
 

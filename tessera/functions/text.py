@@ -63,7 +63,9 @@ def _raw_token() -> str:
     marks = [(ord(c), ord(c)) for c in source[len(target) :]]
     ranges = sorted([*ranges, *marks])
     groups = [ranges[i : i + 20] for i in range(0, len(ranges), 20)]
-    return "[" + "".join(rf"[\x{{{g[0][0]:x}}}-\x{{{g[-1][1]:x}}}&&[{_in_class(g)}]]" for g in groups) + "]+"
+    wide = "".join(rf"[\x{{{g[0][0]:x}}}-\x{{{g[-1][1]:x}}}&&[{_in_class(g)}]]" for g in groups)
+    # ASCII is decided by the first class alone, so blanks and signs don't try all groups
+    return rf"[0-9A-Za-z[\x{{80}}-\x{{10ffff}}&&[{wide}]]]+"
 
 
 def let(value: Column, body) -> Column:

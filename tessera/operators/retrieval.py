@@ -71,6 +71,17 @@ def scan(docs: DataFrame, columns: list[str], query: list[list[str]], key: str =
     return per.select(key, *[reduce(lambda a, b: a + b, [F.col(f"x{i}.{n}") for i in range(len(columns))]).alias(n) for n in names])
 
 
+def tokenised(docs: DataFrame, columns: list[str], key: str = "relpath") -> DataFrame:
+    """(key, n_tokens, t0, t1, ...): each column's tokens, found once for postings and lengths."""
+    found = docs.select(key, *[tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)])
+    return found.withColumn("n_tokens", reduce(lambda a, b: a + b, [F.size(f"t{i}") for i in range(len(columns))]).cast("long"))
+
+
+def exploded(found: DataFrame, n_columns: int, key: str = "relpath") -> DataFrame:
+    """(key, col, pos, term, n_tokens): one row per token of ``tokenised``."""
+    return reduce(DataFrame.unionByName, [found.select(key, F.lit(i).alias("col"), F.posexplode(f"t{i}").alias("pos", "term"), "n_tokens") for i in range(n_columns)])
+
+
 def postings(docs: DataFrame, columns: list[str], key: str = "relpath") -> DataFrame:
     """(key, col, pos, term): one row per token."""
     parts = [docs.select(key, F.lit(i).alias("col"), F.posexplode(tokens(F.col(c))).alias("pos", "term")) for i, c in enumerate(columns)]
@@ -87,8 +98,8 @@ def term_stats(post: DataFrame, key: str = "relpath") -> DataFrame:
     return post.groupBy("term", key).count().groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("count").alias("n_total"))
 
 
-def lookup(post: DataFrame, sizes: DataFrame, query: list[list[str]], key: str = "relpath") -> DataFrame:
-    """As ``scan``, for matching rows only, from postings clustered by term.
+def lookup(post: DataFrame, sizes: DataFrame | None, query: list[list[str]], key: str = "relpath") -> DataFrame:
+    """As ``scan``, for matching rows only, from postings clustered by term, which carry lengths unless ``sizes`` does.
 
     Only the query's terms are read.  Each term's position less its place in the
     phrase is where the phrase would begin; a phrase is there if all its places
@@ -96,12 +107,13 @@ def lookup(post: DataFrame, sizes: DataFrame, query: list[list[str]], key: str =
     """
     wanted = sorted({t for p in query for t in p})
     places = F.explode(F.array(*[F.struct(F.lit(k).alias("phrase"), F.lit(i).alias("place"), F.lit(t).alias("word")) for k, p in enumerate(query) for i, t in enumerate(p)]))
-    hits = post.where(F.col("term").isin(wanted)).select(key, "col", "pos", "term", places.alias("x")).where("term = x.word")
-    begins = hits.groupBy(key, F.col("x.phrase").alias("phrase"), "col", (F.col("pos") - F.col("x.place")).alias("begin")).agg(F.count("*").alias("n"))
+    post = post if sizes is None else post.withColumn("n_tokens", F.lit(0).cast("long"))
+    hits = post.where(F.col("term").isin(wanted)).select(key, "n_tokens", "col", "pos", "term", places.alias("x")).where("term = x.word")
+    begins = hits.groupBy(key, F.col("x.phrase").alias("phrase"), "col", (F.col("pos") - F.col("x.place")).alias("begin")).agg(F.count("*").alias("n"), F.first("n_tokens").alias("n_tokens"))
     size = F.create_map(*[F.lit(v) for k, p in enumerate(query) for v in (k, len(p))])
     full = begins.where(F.col("n") == F.element_at(size, F.col("phrase")))
-    counts = full.groupBy(key).agg(*[F.count(F.when(F.col("phrase") == k, 1)).alias(f"f{k}") for k in range(len(query))])
-    return counts.join(sizes, key).select(key, "n_tokens", *[f"f{k}" for k in range(len(query))])
+    counts = full.groupBy(key).agg(F.first("n_tokens").alias("n_tokens"), *[F.count(F.when(F.col("phrase") == k, 1)).alias(f"f{k}") for k in range(len(query))])
+    return (counts if sizes is None else counts.drop("n_tokens").join(sizes, key)).select(key, "n_tokens", *[f"f{k}" for k in range(len(query))])
 
 
 def stats(scanned: DataFrame, n_phrases: int) -> Stats:
@@ -125,24 +137,26 @@ def matched(scanned: DataFrame, s: Stats, n_phrases: int, key: str = "relpath")
     return scanned.where(every).select(key, bm25(s, n_phrases).alias("score"))
 
 
-def file_filter(area: str | None = None, ext: str | None = None, year: int | None = None, metadata_only: bool = False) -> Column:
-    """The search filters; what is empty doesn't filter."""
-    out = F.lit(True)
+def file_filter(area: str | None = None, ext: str | None = None, year: int | None = None, metadata_only: bool = False) -> Column | None:
+    """The search filters, None if there is none; what is empty doesn't filter."""
+    out = []
     if area:
-        out = out & (F.col("area") == area)
+        out.append(F.col("area") == area)
     if ext:
-        out = out & (F.col("ext") == ext.lower().lstrip("."))
+        out.append(F.col("ext") == ext.lower().lstrip("."))
     if year is not None:
-        out = out & (F.col("path_year") == year)
-    return out & (F.col("metadata_only") == 1) if metadata_only else out
+        out.append(F.col("path_year") == year)
+    if metadata_only:
+        out.append(F.col("metadata_only") == 1)
+    return reduce(lambda a, b: a & b, out) if out else None
 
 
-def ranked(hits: DataFrame, files: DataFrame, keep: Column, limit: int | None, key: str = "relpath") -> DataFrame:
+def ranked(hits: DataFrame, files: DataFrame, keep: Column | None, limit: int | None, key: str = "relpath") -> DataFrame:
     """The best hits whose files pass the filter, by (score, path).
 
-    Filters come after the statistics, so they don't change scores.
+    Filters come after the statistics, so they don't change scores; without one, files aren't read.
     """
-    out = hits.join(files.where(keep).select(key), key, "left_semi").orderBy("score", key)
+    out = (hits if keep is None else hits.join(files.where(keep).select(key), key, "left_semi")).orderBy("score", key)
     return out if limit is None else out.limit(limit)
 
 

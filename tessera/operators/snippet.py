@@ -22,8 +22,13 @@ def instances(words: list[str], query: list[list[str]]) -> list[tuple[int, int]]
 
 def snippet_of(text: str, query: list[list[str]], size: int = N_TOKENS) -> str:
     spans = token_spans(text)
-    words, total = [w for w, _, _ in spans], len(spans)
-    found = instances(words, query)
+    found = instances([w for w, _, _ in spans], query)
+    return windowed(text, spans, found, [len(p) for p in query], size)[:MAX_CHARS]
+
+
+def windowed(text: str, spans: list, found: list[tuple[int, int]], sizes: list[int], size: int, marks: tuple[str, str, str] = (OPEN, CLOSE, DOTS)) -> str:
+    """The best window of ``size`` tokens, with the matches (first token, phrase) in it between marks."""
+    total = len(spans)
 
     def value(begin: int) -> tuple[int, int]:
         """The worth of the window from ``begin``, and where it would be centred."""
@@ -32,7 +37,7 @@ def snippet_of(text: str, query: list[list[str]], size: int = N_TOKENS) -> str:
         if not inside:
             return worth, begin
         first = inside[0][0]
-        last = inside[-1][0] + len(query[inside[-1][1]])
+        last = inside[-1][0] + sizes[inside[-1][1]]
         centred = first - int((size - (last - first)) / 2)
         return worth, max(0, min(centred, total - size))
 
@@ -48,31 +53,33 @@ def snippet_of(text: str, query: list[list[str]], size: int = N_TOKENS) -> str:
                 worth = value(head)[0] + (_AT_START if head == 0 else _AT_SENTENCE)
                 if worth > best:
                     best, start = worth, head
-    return _render(text, spans, found, query, start, size)[:MAX_CHARS]
+    return render(text, spans, found, sizes, start, size, marks)
 
 
-def _render(text, spans, found, query, start, size) -> str:
+def render(text: str, spans: list, found: list[tuple[int, int]], sizes: list[int], start: int, size: int, marks: tuple[str, str, str]) -> str:
+    """The tokens from ``start`` on with what is around them, matches between the first two marks."""
+    opening, closing, dots = marks
     total = len(spans)
     end = min(start + size, total)
     if not total:
         return text
     merged: list[list[int]] = []
     for o, k in found:
-        a, b = max(o, start), min(o + len(query[k]), end)
+        a, b = max(o, start), min(o + sizes[k], end)
         if a >= b:
             continue
         if merged and a < merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], b)
         else:
             merged.append([a, b])
-    out, at = [DOTS] if start > 0 else [], spans[start][1] if start > 0 else 0
+    out, at = [dots] if start > 0 else [], spans[start][1] if start > 0 else 0
     for a, b in merged:
-        out += [text[at : spans[a][1]], OPEN, text[spans[a][1] : spans[b - 1][2]], CLOSE]
+        out += [text[at : spans[a][1]], opening, text[spans[a][1] : spans[b - 1][2]], closing]
         at = spans[b - 1][2]
     if start + size >= total:
         out.append(text[at:])
     else:
-        out += [text[at : spans[end - 1][2]], DOTS]
+        out += [text[at : spans[end - 1][2]], dots]
     return "".join(out)
 
 

@@ -12,9 +12,14 @@ import datetime
 import json
 import os
 import shutil
+import threading
 import time
 import uuid
+import warnings
 
+import pandas as pd
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +32,8 @@ from ..sources.config import policy_digest
 from ..sources.extract import Missing, extracted, probe
 from ..sources.walk import Changed, CorpusSource, WalkError, corpus_id, walk
 from . import publish
-from .search import INDEXES, write_indexes
+from .sqlguard import message
+from .search import INDEXES, Tables, write_indexes
 
 
 class BuildError(RuntimeError):
@@ -60,23 +66,96 @@ def files_read(config: dict):
     return paths.early_status(path, paths.extension(paths.filename(path)), F.col("size_bytes"), config["metadata_only_globs"]).isNull()
 
 
-def previous(spark: SparkSession, folder: str, meta_wanted: dict) -> tuple[DataFrame, DataFrame] | None:
-    """The tables of the snapshot in use, if its extractions may be taken over."""
-    snapshot = publish.current(folder)
-    if snapshot is None:
-        return None
-    meta = publish.read_meta(snapshot)
-    if meta.get("schema_version") != SCHEMA_VERSION or any(meta.get(k) != meta_wanted[k] for k in ("corpus_uuid", "access_policy_id", "policy_digest")):
+def previous(spark: SparkSession, folder: str, meta_wanted: dict, config: dict) -> tuple[str, DataFrame, DataFrame] | None:
+    """The snapshot in use with its tables, if its extractions may be taken over.
+
+    A snapshot that is damaged, or larger than any that this configuration could have
+    made, is passed over with a warning; all files are then extracted anew.
+    """
+    try:
+        snapshot = publish.current(folder)
+        if snapshot is None:
+            return None
+        meta = publish.read_meta(snapshot)
+        if meta.get("schema_version") != SCHEMA_VERSION or any(meta.get(k) != meta_wanted[k] for k in ("corpus_uuid", "access_policy_id", "policy_digest")):
+            return None
+        if any(type(meta.get(k)) is not int or not 0 <= meta[k] <= config["max_total_files"] for k in ("file_count", "content_count")):
+            raise publish.PublicationError("its counts are out of bounds")
+        if sum(size for size, _ in publish.read_manifest(snapshot).values()) > config["max_index_size_mb"] << 20:
+            raise publish.PublicationError("it exceeds max_index_size_mb")
+        if faults := publish.faults(spark, snapshot):
+            raise publish.PublicationError(faults[0])
+        files, content = (spark.read.parquet(f"{snapshot}/{t}") for t in ("files", "content"))
+        if (files.count(), content.count()) != (meta["file_count"], meta["content_count"]):
+            raise publish.PublicationError("its counts differ from meta.json")
+        return snapshot, files, content
+    except (publish.PublicationError, OSError, ValueError, PySparkException, Py4JError) as e:
+        warnings.warn(f"the previous index can't be reused, everything is extracted again: {message(e)}", stacklevel=2)
         return None
-    files, content = (spark.read.parquet(f"{snapshot}/{t}") for t in ("files", "content"))
-    return (files, content) if (files.count(), content.count()) == (meta["file_count"], meta["content_count"]) else None
 
 
-def extract_all(raw: DataFrame, config: dict, cache: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+class Budgets:
+    """Stops a build while it writes, once its text or its files exceed their budgets.
+
+    Tasks add the bytes of the texts they have written to an accumulator when they
+    end; the folder's size is looked up meanwhile.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, most_text: int, most_size: int, every: float = 0.2):
+        self.spark, self.folder, self.most_text, self.most_size, self.every = spark, folder, most_text, most_size, every
+        self.text, self.group, self.fault = spark.sparkContext.accumulator(0), f"build-{uuid.uuid4().hex}", ""
+        self._end = threading.Event()
+
+    def counted(self, df: DataFrame) -> DataFrame:
+        """``df``, whose texts count as they are made."""
+        spent = self.text
+
+        @F.pandas_udf("long")
+        def spend(sizes: pd.Series) -> pd.Series:
+            spent.add(int(sizes.sum()))
+            return sizes
+
+        return df.where(spend(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")) >= 0)
+
+    def size(self) -> int:
+        total = 0
+        for top, _, names in os.walk(self.folder):
+            for n in names:
+                try:
+                    total += os.path.getsize(os.path.join(top, n))
+                except OSError:
+                    continue  # renamed meanwhile
+        return total
+
+    def _watch(self) -> None:
+        while not self._end.wait(self.every):
+            if self.text.value > self.most_text:
+                self.fault = "the extracted text exceeds max_total_extracted_mb"
+            elif self.size() > self.most_size:
+                self.fault = "the index exceeds max_index_size_mb"
+            if self.fault:
+                self.spark.sparkContext.cancelJobGroup(self.group)
+
+    def __enter__(self):
+        self.spark.sparkContext.setJobGroup(self.group, "index build", interruptOnCancel=True)
+        self._thread = threading.Thread(target=self._watch, daemon=True)
+        self._thread.start()
+        return self
+
+    def __exit__(self, kind, error, trace):
+        self._end.set()
+        self._thread.join()
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            self.spark.sparkContext.setLocalProperty(name, None)
+        if self.fault and error is not None:
+            raise BuildError(self.fault) from error
+
+
+def extract_all(raw: DataFrame, config: dict, cache: tuple[str, DataFrame, DataFrame] | None) -> DataFrame:
     """All columns of ``files`` and ``content`` side by side."""
     base = described(raw, config).withColumn("source_hash", F.when(F.col("early").isNull(), F.col("source_hash")))
     if cache:
-        base = checks.reuse(base, *cache).withColumnRenamed("text", "old_text")
+        base = checks.reuse(base, *cache[1:]).withColumnRenamed("text", "old_text")
         bad = F.raise_error(F.lit("the cache is inconsistent")).cast("boolean")
         base = base.where(F.when(F.col("hit") & F.col("broken"), bad).otherwise(True))
     else:
@@ -91,14 +170,15 @@ def extract_all(raw: DataFrame, config: dict, cache: tuple[DataFrame, DataFrame]
     return out.withColumns({"metadata_only": (F.col("content_status") == "metadata_only").cast("int"), "content_present": F.col("text").isNotNull().cast("int")})
 
 
-def write_tables(spark: SparkSession, everything: DataFrame, to: str) -> None:
-    """``files`` and ``content``, then for each index its postings, clustered by term, and lengths."""
+def write_tables(spark: SparkSession, everything: DataFrame, to: str, previous: str | None = None) -> None:
+    """``files`` and ``content``, sorted by path, then the indexes; what a previous snapshot has of them is taken over."""
     everything.write.parquet(f"{to}/work")
     work = spark.read.parquet(f"{to}/work")
-    work.select(*FILES.names).write.parquet(f"{to}/files")
-    work.where("text is not null").select("relpath", "text", "extractor", F.col("source_hash").alias("source_sig")).select(*CONTENT.names).write.parquet(f"{to}/content")
+    ordered = lambda df: df.repartitionByRange("relpath").sortWithinPartitions("relpath")
+    ordered(work.select(*FILES.names)).write.parquet(f"{to}/files")
+    ordered(work.where("text is not null").select("relpath", "text", "extractor", F.col("source_hash").alias("source_sig")).select(*CONTENT.names)).write.parquet(f"{to}/content")
     shutil.rmtree(f"{to}/work")
-    write_indexes(spark, to)
+    write_indexes(spark, to, previous)
 
 
 def build(spark: SparkSession, config: dict, keep_unpublished: bool = False) -> str:
@@ -111,7 +191,7 @@ def build(spark: SparkSession, config: dict, keep_unpublished: bool = False) ->
         want = publish.desired_binding(config, digest, corpus)
         action = publish.decide(folder, want)
         _probe(config)
-        cache = previous(spark, folder, want)
+        cache = previous(spark, folder, want, config)
         before = publish.current(folder)
         previous_count = (publish.read_meta(before)["file_count"], publish.read_meta(before)["policy_digest"]) if before else None
         snapshot = os.path.join(folder, f"snapshot-{uuid.uuid4().hex}")
@@ -122,10 +202,10 @@ def build(spark: SparkSession, config: dict, keep_unpublished: bool = False) ->
                 break
             except Exception as e:
                 shutil.rmtree(snapshot, ignore_errors=True)
-                text = str(e)
-                if "cache is inconsistent" in text and cache:
+                text = str(e) if isinstance(e, (BuildError, WalkError, Changed)) else message(e)
+                if "cache is inconsistent" in f"{text} {e}" and cache:
                     cache = None
-                elif not (isinstance(e, Changed) or "Changed" in text) or attempt == config["max_walk_retries"]:
+                elif not (isinstance(e, Changed) or "Changed" in f"{text} {e}") or attempt == config["max_walk_retries"]:
                     raise e if isinstance(e, (BuildError, WalkError)) else BuildError(text) from e
         else:
             raise BuildError("the tree kept changing")
@@ -133,6 +213,9 @@ def build(spark: SparkSession, config: dict, keep_unpublished: bool = False) ->
             shutil.rmtree(snapshot)
             raise BuildError("the corpus marker changed")
         if not keep_unpublished:
+            if faults := publish.faults(spark, snapshot):
+                shutil.rmtree(snapshot)
+                raise BuildError(f"the new index was damaged before it could be published: {faults[0]}")
             publish.publish(folder, snapshot, want, action)
             publish.retain(folder, {snapshot, before})
         return snapshot
@@ -149,7 +232,8 @@ def _probe(config: dict) -> None:
 
 def _attempt(spark, config, snapshot, want, cache, previous_count, began) -> None:
     raw = read_corpus(spark, config)
-    write_tables(spark, extract_all(raw, config, cache), snapshot)
+    with Budgets(spark, snapshot, config["max_total_extracted_mb"] << 20, config["max_index_size_mb"] << 20) as budgets:
+        write_tables(spark, budgets.counted(extract_all(raw, config, cache)), snapshot, cache[0] if cache else None)
     files, content = (spark.read.parquet(f"{snapshot}/{t}") for t in ("files", "content"))
     # The second manifest, with hashes of all bytes read again, is compared by a join, not on the driver.
     seen = read_corpus(spark, config).drop("data")
@@ -162,7 +246,7 @@ def _attempt(spark, config, snapshot, want, cache, previous_count, began) -> Non
     smoke = None
     if config["smoke_term"] is not None:
         phrase = [t for p in R.phrases(config["smoke_term"]) for t in p]
-        smoke = tuple(R.lookup(spark.read.parquet(f"{snapshot}/{i}_postings"), spark.read.parquet(f"{snapshot}/{i}_lengths"), [phrase]).where("f0 > 0").count() if phrase else 0 for i in INDEXES)
+        smoke = tuple(R.lookup(Tables(spark, snapshot).postings(i), None, [phrase]).where("f0 > 0").count() if phrase else 0 for i in INDEXES)
     problems = checks.verify(files, content, walked, config, previous_count, want["policy_digest"], smoke)
     size = sum(os.path.getsize(os.path.join(top, f)) for top, _, fs in os.walk(snapshot) for f in fs)
     if size > config["max_index_size_mb"] << 20:
@@ -174,5 +258,8 @@ def _attempt(spark, config, snapshot, want, cache, previous_count, began) -> Non
         "generated_at": datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "elapsed_seconds": round(time.time() - began, 3),
         "file_count": files.count(), "content_count": content.count(), "content_status_breakdown": {r[0]: r[1] for r in checks.status_breakdown(files).orderBy("content_status").collect()},
     }
+    if missing := [k for k, v in meta.items() if v is None]:
+        raise BuildError(f"meta has no {', '.join(missing)}")
     with open(f"{snapshot}/meta.json", "w") as f:
         json.dump(meta, f, indent=2)
+    publish.write_manifest(spark, snapshot)

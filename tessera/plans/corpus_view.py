@@ -62,7 +62,7 @@ def written(spark: SparkSession, sf_dir: str, again: bool = False) -> Tables:
     if again or key not in _written:
         path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
         for name, df in zip(("files", "content"), load(spark, sf_dir), strict=True):
-            df.write.parquet(f"{path}/{name}")
+            df.repartitionByRange("relpath").sortWithinPartitions("relpath").write.parquet(f"{path}/{name}")
         write_indexes(spark, path)
         _written[key] = path
     return Tables(spark, _written[key])

@@ -68,6 +68,25 @@ def _ranks(name: str, table: str, columns: list[str], terms: str) -> str:
 {name} AS (SELECT relpath, -({score}) AS score FROM {name}_f, {name}_s WHERE {every})"""
 
 
+def _tree(name: str, table: str, columns: list[str], phrases: list[tuple], match: str, counts: list[str]) -> str:
+    """CTEs that end in ``name``(relpath, score) of a match expression.
+
+    ``phrases`` are (columns, condition on t[i]); ``match`` is the condition on d0, ...,
+    and ``counts`` say which occurrences count for the score.
+    """
+    total = " + ".join(f"len({_tokens(c)})" for c in columns)
+    arrays = ", ".join(f"{_tokens(c)} AS t{i}" for i, c in enumerate(columns))
+    one = lambda c, p: f"len(list_filter(range(1, len(t{c}) + 1), lambda i: coalesce({p.replace('t[', f't{c}[')}, false)))"
+    found = ", ".join("(" + " + ".join(one(c, p) for c in of) + f") AS d{k}" for k, (of, p) in enumerate(phrases))
+    n = ", ".join(f"sum(CAST(d{k} > 0 AS INTEGER)) AS n{k}" for k in range(len(phrases)))
+    idf = lambda k: f"CASE WHEN ln((N - n{k} + 0.5) / (n{k} + 0.5)) > 0 THEN ln((N - n{k} + 0.5) / (n{k} + 0.5)) ELSE {R.LEAST_IDF!r} END"
+    score = " + ".join(f"({idf(k)}) * (CAST({c} AS DOUBLE) * CAST({R.K1 + 1.0} AS DOUBLE)) / ({c} + CAST({R.K1} AS DOUBLE) * (CAST({1.0 - R.B} AS DOUBLE) + CAST({R.B} AS DOUBLE) * D / avgdl))" for k, c in enumerate(counts))
+    return f"""{name}_a AS (SELECT relpath, {total} AS D, {arrays} FROM {table}),
+{name}_f AS (SELECT relpath, D, {found} FROM {name}_a),
+{name}_s AS (SELECT CAST(count(*) AS DOUBLE) AS N, CAST(sum(D) AS DOUBLE) / count(*) AS avgdl, {n} FROM {name}_f),
+{name} AS (SELECT relpath, -({score}) AS score FROM {name}_f, {name}_s WHERE {match})"""
+
+
 _ROUND = "round(score * 1000, 9) AS score"
 _HIT = "relpath, filename, area, ext, size_bytes, mtime, path_year, metadata_only"
 
@@ -99,7 +118,16 @@ _C = f"WITH {_corpus()} "
 
 _ROWS = f"sum(len({_tokens('filename_nfc')}) + len({_tokens('relpath_nfc')})) AS np"
 
+_GROUP = "d1 > 0 AND d2 > 0 AND NOT d3 > 0"
+_BOOLEAN = _tree("m", "content", ["text"], [([0], "starts_with(t[i], 'licen')"), ([0], "t[i] = 'de' AND t[i + 1] = 'la'"), ([0], "t[i] = 'en'"), ([0], "t[i] = 'les'")], f"d0 > 0 OR ({_GROUP})", ["d0", f"(CASE WHEN {_GROUP} THEN d1 ELSE 0 END)", f"(CASE WHEN {_GROUP} THEN d2 ELSE 0 END)", "0"])
+_NAMED = _tree("m", "files", ["filename_nfc", "relpath_nfc"], [([0], "starts_with(t[i], 'fr')"), ([0], "starts_with(t[i], 'de')"), ([1], "i = 1 AND t[i] = 'src2'")], "(d0 > 0 OR d1 > 0) AND d2 > 0", ["d0", "d1", "d2"])
+_RANKED = _tree("m", "content", ["text"], [([0], "starts_with(t[i], 'licen')"), ([0], "t[i] = 'the' AND t[i + 1] = 'of'")], "d0 > 0 OR d1 > 0", ["d0", "d1"])
+
 ORACLES: dict[str, str] = {
+    "match_boolean": f"WITH {_corpus()}, {_BOOLEAN} SELECT relpath, {_ROUND} FROM m",
+    "match_names": f"WITH {_corpus()}, {_NAMED} SELECT relpath, {_ROUND} FROM m",
+    "match_near": f"{_C}, t AS (SELECT relpath, {_tokens('text')} AS t FROM content) SELECT relpath FROM t WHERE len(list_filter(range(1, len(t) + 1), lambda i: t[i] = 'the' AND (coalesce(list_contains(t[i + 1 : i + 3], 'of'), false) OR coalesce(list_contains(t[greatest(i - 3, 1) : i - 1], 'of'), false)))) > 0",
+    "sql_match_rank": f"WITH {_corpus()}, {_RANKED} SELECT area, relpath, round(score * 1000, 9) AS score FROM m JOIN files USING (relpath) WHERE ext <> 'md' ORDER BY m.score, relpath LIMIT 40",
     "index_build": f"{_C}, n AS (SELECT count(*) AS f, {_ROWS} FROM files), c AS (SELECT count(*) AS c, CAST(coalesce(sum(len({_tokens('text')})), 0) AS BIGINT) AS cp FROM content) SELECT unnest(['files', 'names_lengths', 'names_postings', 'content', 'content_lengths', 'content_postings']) AS name, unnest([f, f, CAST(np AS BIGINT), c, c, cp]) AS n_rows FROM n, c",
     "search_rrf": _search(queries.TERMS, "true", 20),
     "search_filtered": _search(queries.COMMON, "area = 'src0' AND ext = 'txt' AND path_year = 2019", 50),

@@ -8,6 +8,7 @@ and generation.  Every change goes through a new file and ``os.replace``.
 from __future__ import annotations
 
 import fcntl
+import hashlib
 import json
 import os
 import re
@@ -15,9 +16,14 @@ import shutil
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
+from pyspark.sql import SparkSession
+
 from ..sources.config import canonical_generation
 
-BINDING, CURRENT, LOCK = "binding.json", "CURRENT", "lock"
+BINDING, CURRENT, LOCK, MANIFEST = "binding.json", "CURRENT", "lock", "manifest.json"
+#: Files of a snapshot, more than a build makes, and bytes of its manifest that are read at most.
+MAX_FILES, MAX_MANIFEST = 1_000_000, 256 << 20
 _KEYS = {"version", "corpus_uuid", "access_policy_id", "access_policy_generation", "policy_digest", "publish_mode", "publish_gid", "transition_from"}
 _HELD = ("access_policy_generation", "policy_digest", "publish_mode", "publish_gid")
 
@@ -108,6 +114,75 @@ def read_meta(snapshot: str) -> dict:
         raise PublicationError("the snapshot has no readable meta.json") from None
 
 
+def _listed(snapshot: str) -> dict[str, int]:
+    """Size of each file that readers open, by its path in the snapshot."""
+    out = {}
+    for top, _, names in os.walk(snapshot):
+        for n in names:
+            if n.endswith(".parquet") or (top == snapshot and n == "meta.json"):
+                path = os.path.join(top, n)
+                out[os.path.relpath(path, snapshot)] = os.path.getsize(path)
+    return out
+
+
+def hashes(spark: SparkSession, snapshot: str, names: list[str], sync: bool = False) -> dict[str, str]:
+    """SHA-256 of files of a snapshot, read by tasks in pieces and brought to disk first with ``sync``; ``unreadable`` for those that can't be read."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for name in batch.column(0).to_pylist():
+                digest = hashlib.sha256()
+                try:
+                    with open(os.path.join(snapshot, name), "rb") as f:
+                        if sync:
+                            os.fsync(f.fileno())
+                        while piece := f.read(1 << 20):
+                            digest.update(piece)
+                    found.append(digest.hexdigest())
+                except OSError:
+                    found.append("unreadable")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["name", "sha256"])
+
+    if not names:
+        return {}
+    df = spark.createDataFrame([(n,) for n in names], "name string").repartition(min(len(names), spark.sparkContext.defaultParallelism))
+    return {r.name: r.sha256 for r in df.mapInArrow(run, "name string, sha256 string").collect()}
+
+
+def write_manifest(spark: SparkSession, snapshot: str) -> None:
+    sizes = _listed(snapshot)
+    found = hashes(spark, snapshot, sorted(sizes), sync=True)
+    for top, _, _ in os.walk(snapshot):
+        folder = os.open(top, os.O_RDONLY)
+        os.fsync(folder)
+        os.close(folder)
+    replace_file(os.path.join(snapshot, MANIFEST), json.dumps({n: [sizes[n], found[n]] for n in sorted(sizes)}))
+
+
+def read_manifest(snapshot: str) -> dict[str, tuple[int, str]]:
+    try:
+        with open(os.path.join(snapshot, MANIFEST), "rb") as f:
+            raw = f.read(MAX_MANIFEST + 1)
+        found = json.loads(raw.decode()) if len(raw) <= MAX_MANIFEST else None
+        if not isinstance(found, dict) or len(found) > MAX_FILES or any(n.startswith("/") or ".." in n.split("/") for n in found):
+            raise ValueError
+        return {n: (int(size), str(digest)) for n, (size, digest) in found.items()}
+    except (OSError, ValueError, TypeError):
+        raise PublicationError("the snapshot has no readable manifest.json") from None
+
+
+def faults(spark: SparkSession, snapshot: str) -> list[str]:
+    """What differs from the manifest: files that are missing, new, of another size or, if none is, of other content."""
+    want, have = read_manifest(snapshot), _listed(snapshot)
+    out = [f"{n} is missing" for n in want if n not in have] + [f"{n} is not in the manifest" for n in have if n not in want]
+    out += [f"{n} has {have[n]} bytes, not {size}" for n, (size, _) in want.items() if n in have and have[n] != size]
+    if not out:
+        found = hashes(spark, snapshot, sorted(want))
+        out = [f"{n} was changed" for n, (_, digest) in want.items() if found.get(n) != digest]
+    return out
+
+
 def decide(folder: str, want: dict) -> str:
     """``create``, ``adopt``, ``current``, ``advance`` or ``transition``; or an error.
 

@@ -11,12 +11,15 @@ from ..functions import paths, text
 from ..operators import checks
 from ..operators import retrieval as R
 from ..operators.snippet import snippet
-from . import corpus_view, search, sqlguard
+from . import corpus_view, index, search, sqlguard
 from .workspace import stored
 
 TERMS, PHRASE, COMMON, MIXED = "license", "the-of", "the of", "src1 license"
 ROOTS, PRUNED = ["src1", "src2/2020"], ["2019", "2024"]
 GLOBS = ["src1/*", "*.md"]
+# Match expressions: a prefix, or a group of which one part must not occur; columns; and a distance.
+MATCH_TEXT, MATCH_NAMES, MATCH_NEAR = 'licen* OR ("de la" AND en NOT les)', "filename_nfc : (fr* OR de*) AND relpath_nfc : ^src2", "NEAR(the of, 2)"
+SQL_MATCH = "SELECT f.area, t.relpath, round(bm25(content_fts) * 1000, 9) AS score FROM content_fts t JOIN files f ON f.relpath = t.relpath WHERE content_fts MATCH 'licen* OR \"the of\"' AND f.ext <> 'md' ORDER BY bm25(content_fts), t.relpath LIMIT 40"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,8 +75,27 @@ def index_lookup(spark, sf_dir):
 
 
 def term_stats(spark, sf_dir):
-    _, content = corpus_view.load(spark, sf_dir)
-    return R.term_stats(R.postings(content, ["text"]))
+    """The stored term dictionary of the content index."""
+    return corpus_view.written(spark, sf_dir).table("content_terms")
+
+
+def match_boolean(spark, sf_dir):
+    return _rounded(corpus_view.written(spark, sf_dir).matches("content", MATCH_TEXT))
+
+
+def match_names(spark, sf_dir):
+    return _rounded(corpus_view.written(spark, sf_dir).matches("names", MATCH_NAMES))
+
+
+def match_near(spark, sf_dir):
+    return corpus_view.written(spark, sf_dir).matches("content", MATCH_NEAR).select("relpath")
+
+
+def sql_match_rank(spark, sf_dir):
+    """A match with its scores, joined with files, through the SQL surface."""
+    tables = corpus_view.written(spark, sf_dir)
+    statement = index.with_full_text(tables, SQL_MATCH)
+    return sqlguard.checked(spark, statement.text, {"files": tables.table("files")} | statement.tables, statement.hidden)
 
 
 def token_stats(spark, sf_dir):
@@ -182,6 +204,7 @@ SQL = {
     "sql_window": "SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place, c_acctbal - lag(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS step FROM customer",
     "sql_setops": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier UNION SELECT n_regionkey AS k FROM nation EXCEPT SELECT 3 AS k",
     "sql_recursive": "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS DOUBLE) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 20) SELECT n, f FROM t",
+    "sql_recursive_orders": "WITH RECURSIVE m AS (SELECT date_trunc('month', o_orderdate) AS month, count(*) AS n_orders FROM orders GROUP BY 1), p AS (SELECT row_number() OVER (ORDER BY month) AS k, n_orders FROM m), t(k, total) AS (SELECT CAST(1 AS BIGINT), CAST(n_orders AS BIGINT) FROM p WHERE k = 1 UNION ALL SELECT p.k, total + p.n_orders FROM t JOIN p ON p.k = t.k + 1) SELECT CAST(k AS BIGINT) AS k, total FROM t",
     "sql_subquery": "SELECT p_brand, round(avg(p_retailprice), 4) AS mean_price FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part) GROUP BY p_brand",
     "sql_case": "SELECT CASE WHEN value < 10 THEN 'low' WHEN value < 50 THEN 'mid' ELSE 'high' END AS band, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
@@ -205,4 +228,4 @@ def sql_index(spark, sf_dir):
     return sqlguard.checked(spark, "SELECT area, ext, count(*) AS n, sum(size_bytes) AS bytes, count(text) AS with_text FROM files LEFT JOIN content USING (relpath) WHERE path_year >= 2018 GROUP BY area, ext", {"files": files, "content": content})
 
 
-QUERIES = {f.__name__: f for f in (index_build, search_rrf, search_filtered, name_search, content_ranks, phrase_search, bm25_scores, index_lookup, term_stats, token_stats, derive_paths, name_meta, metadata_only_globs, access_roots, prune_leaks, status_breakdown, breakdown_json, extracted_bytes, content_hash, html_extract, collapse_ws, cache_reuse, manifest_diff, fk_violations, drop_guard, tsv_sanitize, snippets, sql_json, sql_index)} | {k: _sql_query(v) for k, v in SQL.items()}
+QUERIES = {f.__name__: f for f in (index_build, search_rrf, search_filtered, name_search, content_ranks, phrase_search, bm25_scores, index_lookup, term_stats, match_boolean, match_names, match_near, sql_match_rank, token_stats, derive_paths, name_meta, metadata_only_globs, access_roots, prune_leaks, status_breakdown, breakdown_json, extracted_bytes, content_hash, html_extract, collapse_ws, cache_reuse, manifest_diff, fk_violations, drop_guard, tsv_sanitize, snippets, sql_json, sql_index)} | {k: _sql_query(v) for k, v in SQL.items()}

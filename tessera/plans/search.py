@@ -1,18 +1,37 @@
-"""The combined search: names and content, fused, with details and snippets of the hits."""
+"""The combined search: names and content, fused, with details and snippets of the hits.
+
+An index holds, below the folder of its tables and for each of ``INDEXES``:
+
+* ``postings``: one row a token with its document's length, clustered by term, in
+  segments; a rebuild adds a segment of what changed and keeps the older ones;
+* ``gone``: which documents' postings up to a segment no longer count;
+* ``terms``: every term's documents and occurrences, ``stats``: those of the index;
+* ``lengths``: tokens of every document, which a rebuild needs and no query reads.
+"""
 
 from __future__ import annotations
 
+import glob
+import os
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import match as M
 from ..operators import retrieval as R
 from ..operators.snippet import snippet
 from ..schema import HIT_COLUMNS
+from .workspace import stored
 
-#: What each index is made from: a table and its columns.
+#: What each index is made from: a table, its columns, and what tells whether a row's tokens are still the same.
 INDEXES = {"names": ("files", ["filename_nfc", "relpath_nfc"]), "content": ("content", ["text"])}
+_SAME = {"names": "relpath_nfc", "content": "source_sig"}
+PARTS = ("postings", "gone", "terms", "stats", "lengths")
+#: A rebuild merges segments when there are this many, or when more than this share of the documents has changed since the last merge.
+MOST_SEGMENTS, MOST_CHANGED = 8, 0.25
+#: Changed documents up to this number (a path each) are broadcast.
+_BROADCAST = 500_000
 
 
 def hit_limit(n: int) -> int:
@@ -21,12 +40,70 @@ def hit_limit(n: int) -> int:
     return n
 
 
-def write_indexes(spark: SparkSession, path: str) -> None:
-    """For each index of the tables under ``path``: postings, clustered by term, and lengths."""
-    for index, (table, columns) in INDEXES.items():
-        docs = spark.read.parquet(f"{path}/{table}")
-        R.postings(docs, columns).repartitionByRange("term", "relpath").sortWithinPartitions("term", "relpath", "col", "pos").write.parquet(f"{path}/{index}_postings")
-        R.lengths(docs, columns).write.parquet(f"{path}/{index}_lengths")
+def _clustered(postings: DataFrame) -> DataFrame:
+    return postings.repartitionByRange("term", "relpath").sortWithinPartitions("term", "relpath", "col", "pos")
+
+
+def _without(df: DataFrame, paths: DataFrame, n: int) -> DataFrame:
+    return df.join(F.broadcast(paths) if n <= _BROADCAST else paths, "relpath", "left_anti")
+
+
+def write_indexes(spark: SparkSession, path: str, previous: str | None = None) -> None:
+    """The indexes of the tables under ``path``; with ``previous``, a snapshot, only what differs from it is tokenised."""
+    for index in INDEXES:
+        old = Tables(spark, previous) if previous else None
+        if old is None or not _write_segment(spark, path, old, index):
+            _write_whole(spark, path, index)
+
+
+def _write_whole(spark: SparkSession, path: str, index: str) -> None:
+    table, columns = INDEXES[index]
+    found = stored(R.tokenised(spark.read.parquet(f"{path}/{table}"), columns))
+    _clustered(R.exploded(found, len(columns))).write.parquet(f"{path}/{index}_postings/segment=0")
+    found.select("relpath", "n_tokens").write.parquet(f"{path}/{index}_lengths")
+    _finish(spark, path, index, R.term_stats(spark.read.parquet(f"{path}/{index}_postings")), None)
+
+
+def _finish(spark: SparkSession, path: str, index: str, terms: DataFrame, gone: DataFrame | None) -> None:
+    none = spark.createDataFrame([], "relpath string, upto int")
+    (none if gone is None else gone).write.parquet(f"{path}/{index}_gone")
+    terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/{index}_terms")
+    n_gone = spark.read.parquet(f"{path}/{index}_gone").count()
+    sizes = spark.read.parquet(f"{path}/{index}_lengths")
+    sizes.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens")).withColumn("n_gone", F.lit(n_gone)).coalesce(1).write.parquet(f"{path}/{index}_stats")
+
+
+def _write_segment(spark: SparkSession, path: str, old: Tables, index: str) -> bool:
+    """Whether the index could be made from the previous one: linked segments and one of what changed, or all merged."""
+    table, columns = INDEXES[index]
+    now, then = (t.select("relpath", F.col(_SAME[index]).alias("mark")) for t in (spark.read.parquet(f"{path}/{table}"), old.table(table)))
+    dead = stored(then.join(now, ["relpath", "mark"], "left_anti").select("relpath"))
+    fresh = stored(now.join(then, ["relpath", "mark"], "left_anti").select("relpath"))
+    n_dead, n_fresh, stats = dead.count(), fresh.count(), old.stats(index)
+    segments = sorted(glob.glob(f"{old.path}/{index}_postings/segment=*"), key=lambda s: int(s.rpartition("=")[2]))
+    if not segments or n_fresh > stats.n_rows:
+        return False
+    some = spark.read.parquet(f"{path}/{table}").join(F.broadcast(fresh) if n_fresh <= _BROADCAST else fresh, "relpath", "left_semi")
+    found = stored(R.tokenised(some, columns))
+    _without(old.table(f"{index}_lengths"), dead, n_dead).unionByName(found.select("relpath", "n_tokens")).write.parquet(f"{path}/{index}_lengths")
+    added, live = R.exploded(found, len(columns)), old.postings(index)
+    if len(segments) >= MOST_SEGMENTS or stats.n_gone + n_dead + n_fresh > MOST_CHANGED * stats.n_rows:
+        _clustered(_without(live, dead, n_dead).unionByName(added)).write.parquet(f"{path}/{index}_postings/segment=0")
+        _finish(spark, path, index, R.term_stats(spark.read.parquet(f"{path}/{index}_postings")), None)
+        return True
+    for s in segments:
+        os.makedirs(to := f"{path}/{index}_postings/{os.path.basename(s)}")
+        for f in os.listdir(s):
+            if f.endswith(".parquet"):
+                os.link(f"{s}/{f}", f"{to}/{f}")
+    last = int(segments[-1].rpartition("=")[2])
+    _clustered(added).write.parquet(f"{path}/{index}_postings/segment={last + 1}")
+    gone = old.table(f"{index}_gone").unionByName(dead.withColumn("upto", F.lit(last))).groupBy("relpath").agg(F.max("upto").alias("upto"))
+    lost = R.term_stats(live.join(F.broadcast(dead) if n_dead <= _BROADCAST else dead, "relpath", "left_semi"))
+    change = R.term_stats(added).unionByName(lost.select("term", (-F.col("n_docs")).alias("n_docs"), (-F.col("n_total")).alias("n_total")))
+    terms = old.table(f"{index}_terms").unionByName(change).groupBy("term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_total").alias("n_total")).where("n_docs > 0")
+    _finish(spark, path, index, terms, gone)
+    return True
 
 
 class Tables:
@@ -34,27 +111,59 @@ class Tables:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._stats: dict = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def stats(self, index: str):
+        """(n_rows, n_tokens, n_gone) of an index, read once."""
+        if index not in self._stats:
+            self._stats[index] = self.table(f"{index}_stats").first()
+        return self._stats[index]
+
+    def postings(self, index: str) -> DataFrame:
+        """(relpath, col, pos, term, n_tokens) of the postings that count."""
+        post, n = self.table(f"{index}_postings"), self.stats(index).n_gone
+        if n:
+            gone = self.table(f"{index}_gone").withColumnRenamed("relpath", "lost")
+            post = post.join(F.broadcast(gone) if n <= _BROADCAST else gone, (F.col("relpath") == F.col("lost")) & (F.col("segment") <= F.col("upto")), "left_anti")
+        return post.select("relpath", "col", "pos", "term", "n_tokens")
+
     def found(self, index: str, query: list[list[str]]) -> DataFrame:
         """(relpath, n_tokens, f0, ...): only the query's terms are read."""
-        return R.lookup(self.table(f"{index}_postings"), self.table(f"{index}_lengths"), query)
+        return R.lookup(self.postings(index), None, query)
 
     def scores(self, index: str, query: list[list[str]]) -> DataFrame:
-        """(relpath, score) of all documents that match."""
-        found = self.found(index, query)
-        n = self.table(f"{index}_lengths").agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-        hits = found.agg(*[F.count(F.when(F.col(f"f{k}") > 0, 1)) for k in range(len(query))]).first()
-        return R.matched(found, R.Stats(n[0], n[1], tuple(hits)), len(query))
+        """(relpath, score) of all documents that match; the documents of single words come from the term dictionary."""
+        found, stats = self.found(index, query), self.stats(index)
+        words = [p[0] for p in query if len(p) == 1]
+        known = {r.term: r.n_docs for r in self.table(f"{index}_terms").where(F.col("term").isin(words)).collect()} if words else {}
+        longer = [k for k, p in enumerate(query) if len(p) > 1]
+        counted = found.agg(*[F.count(F.when(F.col(f"f{k}") > 0, 1)).alias(f"f{k}") for k in longer]).first() if longer else {}
+        hits = tuple(counted[f"f{k}"] if k in longer else known.get(p[0], 0) for k, p in enumerate(query))
+        return R.matched(found, R.Stats(stats.n_rows, stats.n_tokens, hits), len(query))
+
+    def matches(self, index: str, text: str) -> DataFrame:
+        """(relpath, score) of all documents that a match expression finds."""
+        node = M.parse(text, INDEXES[index][1])
+        if node is None:
+            return self.table("files").select("relpath", F.lit(0.0).alias("score")).limit(0)
+        counts, stats, n = M.counts(self.postings(index), node), self.stats(index), sum(1 for _ in node.phrases())
+        hits = counts.agg(*[F.count(F.when(F.col(f"d{k}") > 0, 1)) for k in range(n)]).first()
+        found = counts.where(M.condition(node)[0]).select("relpath", "n_tokens", *[c.alias(f"f{k}") for k, c in enumerate(M.counted(node))])
+        return found.select("relpath", R.bm25(R.Stats(stats.n_rows, stats.n_tokens, tuple(hits)), n).alias("score"))
 
-    def ranks(self, index: str, query: list[list[str]], keep: Column, limit: int | None) -> DataFrame:
+    def ranks(self, index: str, query: list[list[str]], keep: Column | None, limit: int | None) -> DataFrame:
         """Ranked (relpath, score) of the files that pass the filter."""
         if not query:
             return self.table("files").select("relpath", F.lit(0.0).alias("score")).limit(0)
         return R.ranked(self.scores(index, query), self.table("files"), keep, limit)
 
+    def _among(self, name: str, paths: list[str]) -> DataFrame:
+        """The rows of these paths; tables are sorted by path, so few row groups are read."""
+        return self.table(name).where(F.col("relpath").isin(paths) if paths else F.lit(False))
+
     @contextmanager
     def _held(self, *frames: DataFrame):
         held = [f.persist() for f in frames]
@@ -66,8 +175,9 @@ class Tables:
 
     def names(self, terms: str, limit: int = 20, **filters) -> DataFrame:
         """Hits among names, best first."""
-        top = self.ranks("names", R.phrases(terms), R.file_filter(**filters), hit_limit(limit))
-        out = F.broadcast(top).join(self.table("files"), "relpath")
+        rows = self.ranks("names", R.phrases(terms), R.file_filter(**filters), hit_limit(limit)).collect()
+        top = F.broadcast(self.spark.createDataFrame(rows, "relpath string, score double"))
+        out = top.join(self._among("files", [r.relpath for r in rows]), "relpath")
         return out.select(*HIT_COLUMNS, F.lit("name").alias("matched_by"), F.lit(None).cast("string").alias("snippet"), "score").orderBy("score", "relpath")
 
     def search(self, terms: str, limit: int = 20, snippets: bool = True, **filters) -> DataFrame:
@@ -83,10 +193,10 @@ class Tables:
         with self._held(*[self.ranks(i, query, keep, R.MAX_CANDIDATES + 1) for i in INDEXES]) as sources:
             R.check_candidates(*sources)
             rows = R.fuse(*sources, limit).collect()
-        top = F.broadcast(self.spark.createDataFrame(rows, "relpath string, score double, matched_by string"))
-        out = self._sure(top.join(self.table("files").select(*HIT_COLUMNS, F.lit(True).alias("there")), "relpath", "left"), "there", "no details of")
+        top, paths = F.broadcast(self.spark.createDataFrame(rows, "relpath string, score double, matched_by string")), [r.relpath for r in rows]
+        out = self._sure(top.join(self._among("files", paths).select(*HIT_COLUMNS, F.lit(True).alias("there")), "relpath", "left"), "there", "no details of")
         if snippets:
-            texts = self.table("content").join(top.where("matched_by <> 'name'").select("relpath"), "relpath", "left_semi")
+            texts = self._among("content", [r.relpath for r in rows if r.matched_by != "name"])
             out = out.join(texts.select("relpath", snippet(F.col("text"), query).alias("snippet")), "relpath", "left")
             out = self._sure(out.withColumn("told", (F.col("matched_by") == "name") | F.col("snippet").isNotNull()), "told", "no text of")
         return out.orderBy(F.desc("score"), "relpath").select(*HIT_COLUMNS, "matched_by", "score", *["snippet"] * snippets)
