@@ -44,7 +44,7 @@ _BITS = 27
 #: Pointer records of one call of ``_grow``.
 _CHUNK = 1 << 18
 #: Bytes of text that are counted together in a task.
-_SLICE = 8 << 20
+_SLICE = 4 << 20
 _NEXT = _U(0x9E3779B97F4A7C15)
 _PAIR = np.dtype([("key", "<u8"), ("n", "<u4")])
 #: What ends a piece, and what separates its words.
