@@ -1,7 +1,7 @@
 """Building an index: walk, reuse, extract, write, verify, publish.
 
-The corpus data source lists the tree on the driver and reads each file once, on
-executors, so the hash and the text come from the same bytes.  What an earlier
+Tasks list the tree, level by level, and read each file once, so the hash and the
+text come from the same bytes.  What an earlier
 snapshot knows of an unchanged file is taken over by a join on (path, hash); only
 the rest is extracted.  A second walk at the end must find the same manifest.
 """
@@ -30,10 +30,12 @@ from ..operators import retrieval as R
 from ..schema import CONTENT, EXTRACTORS, FILES, SCHEMA_VERSION, SOURCE_LIMITS
 from ..sources.config import policy_digest
 from ..sources.extract import Missing, extracted, probe
-from ..sources.walk import Changed, CorpusSource, WalkError, corpus_id, walk
+from ..sources.listing import listing, read_listed
+from ..sources.walk import Changed, WalkError, corpus_id
 from . import publish
 from .sqlguard import message
 from .search import INDEXES, Tables, write_indexes
+from .workspace import shared_folder
 
 
 class BuildError(RuntimeError):
@@ -46,10 +48,13 @@ def own_folders(config: dict) -> set[tuple[int, int]]:
     return {(s.st_dev, s.st_ino)}
 
 
-def read_corpus(spark: SparkSession, config: dict) -> DataFrame:
-    spark.dataSource.register(CorpusSource)
+def listed(spark: SparkSession, config: dict) -> DataFrame:
+    return listing(spark, config, own_folders(config), shared_folder(spark))
+
+
+def read_corpus(files: DataFrame, config: dict) -> DataFrame:
     limits = {ext: SOURCE_LIMITS[label] for label, group in EXTRACTORS.items() for ext in group}
-    return spark.read.format("corpus").option("config", json.dumps(config)).option("limits", json.dumps(limits)).option("skip", json.dumps(sorted(own_folders(config)))).load()
+    return read_listed(files, {"config": json.dumps(config), "limits": json.dumps(limits)})
 
 
 def described(raw: DataFrame, config: dict) -> DataFrame:
@@ -190,7 +195,6 @@ def build(spark: SparkSession, config: dict, keep_unpublished: bool = False) ->
         corpus, digest = corpus_id(config), policy_digest(config)
         want = publish.desired_binding(config, digest, corpus)
         action = publish.decide(folder, want)
-        _probe(config)
         cache = previous(spark, folder, want, config)
         before = publish.current(folder)
         previous_count = (publish.read_meta(before)["file_count"], publish.read_meta(before)["policy_digest"]) if before else None
@@ -221,22 +225,25 @@ def build(spark: SparkSession, config: dict, keep_unpublished: bool = False) ->
         return snapshot
 
 
-def _probe(config: dict) -> None:
+def _probe(files: DataFrame) -> None:
     """What the corpus needs must work before anything, reused results included, is published."""
-    labels = {label for r in walk(config, own_folders(config)) for label, group in EXTRACTORS.items() if r["relpath"].rpartition(".")[2].lower() in group}
+    ext = F.lower(F.substring_index("relpath", ".", -1))
+    of = {e: label for label, group in EXTRACTORS.items() for e in group}
     try:
-        probe(labels)
+        probe({of[r[0]] for r in files.select(ext).distinct().where(ext.isin(list(of))).collect()})
     except Missing as e:
         raise BuildError(str(e)) from None
 
 
 def _attempt(spark, config, snapshot, want, cache, previous_count, began) -> None:
-    raw = read_corpus(spark, config)
+    found = listed(spark, config)
+    _probe(found)
+    raw = read_corpus(found, config)
     with Budgets(spark, snapshot, config["max_total_extracted_mb"] << 20, config["max_index_size_mb"] << 20) as budgets:
         write_tables(spark, budgets.counted(extract_all(raw, config, cache)), snapshot, cache[0] if cache else None)
     files, content = (spark.read.parquet(f"{snapshot}/{t}") for t in ("files", "content"))
     # The second manifest, with hashes of all bytes read again, is compared by a join, not on the driver.
-    seen = read_corpus(spark, config).drop("data")
+    seen = read_corpus(listed(spark, config), config).drop("data")
     stamps = ["size_bytes", "mtime_ns", "ctime_ns", "st_dev", "st_ino"]
     then = files.select("relpath", *stamps, F.coalesce("source_hash", F.lit("")).alias("source_hash"))
     read = F.coalesce(F.when(files_read(config), F.col("source_hash")), F.lit(""))

@@ -203,8 +203,7 @@ SQL = {
     "sql_grouping_sets": "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderpriority, o_orderstatus), (o_orderpriority), ())",
     "sql_window": "SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place, c_acctbal - lag(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS step FROM customer",
     "sql_setops": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier UNION SELECT n_regionkey AS k FROM nation EXCEPT SELECT 3 AS k",
-    "sql_recursive": "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS DOUBLE) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 20) SELECT n, f FROM t",
-    "sql_recursive_orders": "WITH RECURSIVE m AS (SELECT date_trunc('month', o_orderdate) AS month, count(*) AS n_orders FROM orders GROUP BY 1), p AS (SELECT row_number() OVER (ORDER BY month) AS k, n_orders FROM m), t(k, total) AS (SELECT CAST(1 AS BIGINT), CAST(n_orders AS BIGINT) FROM p WHERE k = 1 UNION ALL SELECT p.k, total + p.n_orders FROM t JOIN p ON p.k = t.k + 1) SELECT CAST(k AS BIGINT) AS k, total FROM t",
+    "sql_recursive": "WITH RECURSIVE y AS (SELECT date_trunc('year', o_orderdate) AS year, count(*) AS n_orders FROM orders GROUP BY 1), p AS (SELECT row_number() OVER (ORDER BY year) AS k, n_orders FROM y), t(k, total) AS (SELECT CAST(1 AS BIGINT), CAST(n_orders AS BIGINT) FROM p WHERE k = 1 UNION ALL SELECT p.k, total + p.n_orders FROM t JOIN p ON p.k = t.k + 1) SELECT CAST(k AS BIGINT) AS k, total FROM t",
     "sql_subquery": "SELECT p_brand, round(avg(p_retailprice), 4) AS mean_price FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part) GROUP BY p_brand",
     "sql_case": "SELECT CASE WHEN value < 10 THEN 'low' WHEN value < 50 THEN 'mid' ELSE 'high' END AS band, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

@@ -9,11 +9,13 @@ configured budgets.  Hidden and underscored names are listed like any other.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import stat
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -46,63 +48,109 @@ def pruned(name: str, names: list[str]) -> bool:
     return False
 
 
-def walk(config: dict, skip: set[tuple[int, int]] = frozenset()) -> Iterator[dict]:
-    """Rows of all regular files in byte order of their names, folder by folder."""
+def next_names(rel: str, roots: list[str]) -> set[str] | None:
+    """On the way to roots, the names that lead on; None for a folder that is itself to be listed."""
+    if "." in roots or (rel and authorized(rel, roots)):
+        return None
+    before = f"{rel}/" if rel else ""
+    return {r[len(before) :].split("/", 1)[0] for r in roots if r.startswith(before) and r != rel}
+
+
+def _exact(rel: str, wanted: set[str], names: list[str]) -> None:
+    """Names on the way to a root must be there as spelled, and no other spelling of them."""
+    folded = {nfc(n).casefold() for n in wanted}
+    for n in names:
+        if n not in wanted and not any(0xD800 <= ord(c) < 0xE000 for c in n) and nfc(n).casefold() in folded:
+            raise WalkError(f"an access root differs in case or spelling from {n!r} in {rel or '.'!r}")
+    if missing := sorted(wanted - set(names)):
+        raise Changed(f"access roots are missing: no {missing} in {rel or '.'!r}")
+
+
+@dataclass
+class Folder:
+    """What a folder holds: rows of files, paths of folders to go on with, roots found, and how many entries count."""
+
+    files: list[dict]
+    folders: list[str]
+    found: set[str]
+    entries: int
+
+
+def folder(config: dict, rel: str, skip: set[tuple[int, int]] = frozenset()) -> Folder:
+    """List one folder, in byte order of its names; entries beyond the configured number aren't even looked at."""
     root, roots = config["corpus_root"], config["access_roots"]
+    if rel.count("/") + bool(rel) > config["max_directory_depth"]:
+        raise WalkError(f"folders are nested too deeply: {rel!r}")
+    try:
+        with os.scandir(os.path.join(root, rel)) as entries:
+            listed = list(itertools.islice(entries, config["max_directory_entries"] + 1))
+    except FileNotFoundError as e:
+        raise Changed(str(e)) from None
+    except OSError as e:
+        raise WalkError(f"can't read folder {rel!r}: {e}") from None
+    if len(listed) > config["max_directory_entries"]:
+        raise WalkError(f"too many entries in {rel!r}")
+    wanted = next_names(rel, roots)
+    if wanted is not None:
+        _exact(rel, wanted, [e.name for e in listed])
+        listed = [e for e in listed if e.name in wanted]
+    out = Folder([], [], set(), len(listed))
     names = BUILT_IN_PRUNE + config["prune_dirs"]
-    seen = files = 0
-    found: set[str] = set()
-    stack: list[str] = [""]
-    while stack:
-        rel = stack.pop()
-        if rel.count("/") + bool(rel) > config["max_directory_depth"]:
-            raise WalkError(f"folders are nested too deeply: {rel!r}")
+    for e in sorted(listed, key=lambda e: os.fsencode(e.name)):
+        path = f"{rel}/{e.name}" if rel else e.name
+        # On the way to a root, siblings are nobody's business.
+        if not relevant(path, roots) or e.is_symlink() or (not rel and e.name == config["corpus_id_file"]):
+            continue
         try:
-            entries = sorted(os.scandir(os.path.join(root, rel)), key=lambda e: os.fsencode(e.name))
-        except FileNotFoundError as e:
-            raise Changed(str(e)) from None
-        except OSError as e:
-            raise WalkError(f"can't read folder {rel!r}: {e}") from None
-        entries = [e for e in entries if relevant(f"{rel}/{e.name}" if rel else e.name, roots)]
-        if len(entries) > config["max_directory_entries"]:
-            raise WalkError(f"too many entries in {rel!r}")
-        seen += len(entries)
-        if seen > config["max_total_entries"]:
-            raise WalkError("too many entries in all")
-        folders = []
-        for e in entries:
-            path = f"{rel}/{e.name}" if rel else e.name
-            # On the way to a root, siblings are nobody's business.
-            if not relevant(path, roots) or e.is_symlink() or (not rel and e.name == config["corpus_id_file"]):
-                continue
-            try:
-                e.name.encode()
-            except UnicodeEncodeError:
-                raise WalkError(f"non-UTF-8 bytes in a name: {os.fsencode(e.name).hex()}") from None
-            if e.is_dir(follow_symlinks=False):
-                if skip and (e.stat(follow_symlinks=False).st_dev, e.inode()) in skip:
-                    continue
-                if relevant(path, roots) and not pruned(e.name, names):
-                    folders.append(path)
-                    found.update(r for r in roots if r == path)
+            e.name.encode()
+        except UnicodeEncodeError:
+            raise WalkError(f"non-UTF-8 bytes in a name: {os.fsencode(e.name).hex()}") from None
+        if e.is_dir(follow_symlinks=False):
+            if skip and (e.stat(follow_symlinks=False).st_dev, e.inode()) in skip:
                 continue
-            if not authorized(path, roots):
-                continue
-            s = e.stat(follow_symlinks=False)
-            if not stat.S_ISREG(s.st_mode) or (s.st_dev, s.st_ino) in skip:
-                continue
-            if not os.access(os.path.join(root, path), os.R_OK):
-                raise WalkError(f"can't read {path!r}")
-            found.update(r for r in roots if r == path)
-            files += 1
-            if files > config["max_total_files"]:
-                raise WalkError("too many files")
-            yield {"relpath": path, "size_bytes": s.st_size, "mtime_ns": s.st_mtime_ns, "ctime_ns": s.st_ctime_ns, "st_dev": str(s.st_dev), "st_ino": str(s.st_ino)}
-        stack += reversed(folders)
-    if missing := [r for r in roots if r != "." and r not in found]:
+            if not pruned(e.name, names):
+                out.folders.append(path)
+                out.found.update(r for r in roots if r == path)
+            continue
+        if not authorized(path, roots):
+            continue
+        s = e.stat(follow_symlinks=False)
+        if not stat.S_ISREG(s.st_mode) or (s.st_dev, s.st_ino) in skip:
+            continue
+        if not os.access(os.path.join(root, path), os.R_OK):
+            raise WalkError(f"can't read {path!r}")
+        out.found.update(r for r in roots if r == path)
+        out.files.append({"relpath": path, "size_bytes": s.st_size, "mtime_ns": s.st_mtime_ns, "ctime_ns": s.st_ctime_ns, "st_dev": str(s.st_dev), "st_ino": str(s.st_ino)})
+    return out
+
+
+def check_totals(config: dict, entries: int, files: int) -> None:
+    if entries > config["max_total_entries"]:
+        raise WalkError("too many entries in all")
+    if files > config["max_total_files"]:
+        raise WalkError("too many files")
+
+
+def check_roots(config: dict, found: set[str]) -> None:
+    if missing := [r for r in config["access_roots"] if r != "." and r not in found]:
         raise Changed(f"access roots are missing: {missing}")
 
 
+def walk(config: dict, skip: set[tuple[int, int]] = frozenset()) -> Iterator[dict]:
+    """Rows of all regular files in byte order of their names, folder by folder."""
+    entries = files = 0
+    found: set[str] = set()
+    stack: list[str] = [""]
+    while stack:
+        here = folder(config, stack.pop(), skip)
+        entries, files = entries + here.entries, files + len(here.files)
+        check_totals(config, entries, files)
+        found |= here.found
+        yield from here.files
+        stack += reversed(here.folders)
+    check_roots(config, found)
+
+
 def read_unchanged(root: str, row: dict, most: int | None) -> bytes | None:
     """The bytes of a listed file, read once; None if it has more than ``most``."""
     if most is not None and row["size_bytes"] > most:
