@@ -104,7 +104,7 @@ SELECT l.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(s.m, 0) AS BIG
 FROM l LEFT JOIN s USING (doc_id, mark) LEFT JOIN t USING (doc_id, mark)"""
 
 _COUNTS = [*[f"len(regexp_extract_all(text, '{p}'))" for k, p in quality.CLASSES.items() if k != "blank"]]
-_LIST = "[" + ", ".join(f"'{w}'" for w in quality.WORD_LIST) + "]"
+_MARKS = quality.MARKS.replace("'", "''")
 _QUALITY = rf"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM documents),
 t AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS x, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2),
@@ -112,16 +112,24 @@ g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM t),
 r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE n > 1) GROUP BY doc_id),
 m AS (SELECT doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) AS n_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
-  [{", ".join(_COUNTS)}] AS k, list_transform({_LIST}, lambda c: len(list_filter(w, lambda x: x = c))) AS c FROM d LEFT JOIN r USING (doc_id)),
-h AS (SELECT *, list_concat(k, [n_chars - word_chars, word_chars - list_sum(k)]) AS ch, list_concat(c, [n_words - list_sum(c)]) AS wh FROM m),
-v AS (SELECT doc_id, lang, 'c' AS kind, unnest(ch) AS x, unnest(range(len(ch))) AS b FROM h UNION ALL SELECT doc_id, lang, 'w', unnest(wh), unnest(range(len(wh))) FROM h),
-q AS (SELECT lang, kind, b, CAST(sum(x) AS DOUBLE) / sum(sum(x)) OVER (PARTITION BY lang, kind) AS q FROM v WHERE lang IS NOT NULL GROUP BY lang, kind, b),
-p AS (SELECT doc_id, kind, b, CAST(x AS DOUBLE) / nullif(sum(x) OVER (PARTITION BY doc_id, kind), 0) AS p FROM v),
-j AS (SELECT doc_id, q.lang, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS x FROM p JOIN q USING (kind, b) WHERE p IS NOT NULL GROUP BY ALL),
+  [{", ".join(_COUNTS)}] AS k FROM d LEFT JOIN r USING (doc_id)),
+h AS (SELECT *, list_concat(k, [n_chars - word_chars, word_chars - list_sum(k)]) AS ch FROM m),
+u AS (SELECT doc_id, lang, x, count(*) AS n FROM (SELECT doc_id, lang, trim(lower(unnest(w)), '{_MARKS}') AS x FROM d) GROUP BY ALL),
+lw AS (SELECT lang, x, sum(n) AS n FROM u WHERE lang IS NOT NULL GROUP BY ALL),
+lt AS (SELECT lang, total FROM (SELECT lang, sum(n) AS total FROM lw GROUP BY lang) QUALIFY total * {quality._SHARE} >= sum(total) OVER ()),
+lv AS (SELECT lang, x, n, total FROM lw JOIN lt USING (lang) WHERE x <> '' QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) <= {quality.N_COMMON}),
+pw AS (SELECT h.doc_id, lv.lang, lv.x, lv.n, lv.total, h.n_words, coalesce(u.n, 0) AS c FROM h JOIN lv ON h.n_words > 0 LEFT JOIN (SELECT doc_id, x, sum(n) AS n FROM u GROUP BY ALL) u ON u.doc_id = h.doc_id AND u.x = lv.x),
+v AS (SELECT doc_id, lang, unnest(ch) AS x, unnest(range(len(ch))) AS b FROM h),
+q AS (SELECT lang, b, CAST(sum(x) AS DOUBLE) / sum(sum(x)) OVER (PARTITION BY lang) AS q FROM v WHERE lang IN (SELECT lang FROM lt) GROUP BY lang, b),
+p AS (SELECT doc_id, b, CAST(x AS DOUBLE) / nullif(sum(x) OVER (PARTITION BY doc_id), 0) AS p FROM v),
+e AS (SELECT doc_id, q.lang, 'c' AS kind, p, q FROM p JOIN q USING (b) WHERE p IS NOT NULL
+  UNION ALL SELECT doc_id, lang, 'w', CAST(c AS DOUBLE) / n_words, CAST(n AS DOUBLE) / total FROM pw
+  UNION ALL SELECT doc_id, lang, 'w', CAST(any_value(n_words) - sum(c) AS DOUBLE) / any_value(n_words), CAST(any_value(total) - sum(n) AS DOUBLE) / any_value(total) FROM pw GROUP BY doc_id, lang),
+j AS (SELECT doc_id, lang, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS x FROM e GROUP BY ALL),
 z AS (SELECT doc_id, min(x) AS distance FROM (SELECT doc_id, lang, max(x) AS x FROM j GROUP BY ALL) GROUP BY doc_id),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM h LEFT JOIN z USING (doc_id))
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_words >= 100 AND (lang IS NULL OR lang IN (SELECT lang FROM lt)) AS judged FROM h LEFT JOIN z USING (doc_id))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND (n_words < 100 OR distance IS NULL OR distance <= 0.3) AS kept FROM f"""
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND (NOT judged OR distance IS NULL OR distance <= 0.3) AS kept FROM f"""
 
 _HARD = """
 WITH v AS (SELECT vec_id AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c

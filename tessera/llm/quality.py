@@ -3,36 +3,43 @@
 Base rules count words, symbols, repeated lines and repeated three-word windows.
 Documents long enough are then compared with language references by the
 Jensen-Shannon distance (base 2, so 0 to 1) of two histograms: character classes
-and common words.  A reference is the sum over all documents of that language, of
-any that the table names.  A document's distance to a language is the larger of its
-two distances, and it is kept if the nearest language is near enough.
+and common words.  References are learned from all documents that name a language:
+the sums of their classes, and the counts of the language's ``N_COMMON`` most
+frequent words (in lower case, without ASCII marks at their ends; ties by byte
+order), all other words being one bin.  A document's distance to a language is the
+larger of its two distances, and it is kept if the nearest language is near enough.
+
+A language has a reference if it holds at least one ``_SHARE``-th of the words of
+all documents that name one, so there are at most ``_SHARE`` of them, of a few
+numbers each.
 
 Windows of a text are sorted by a hash and compared by their words; a text in which
 different windows have one hash is sorted by the windows themselves.
 
 Defined cases: null text has no words and fails the base rules; a null lang adds to
-no reference; without any reference, and under ``min_words`` words, the distance is
-not judged; a text without a common word is judged like any other; repeated
-rows are judged alike; an empty table gives no rows; other columns are ignored.
+no reference, and its documents are compared with all; documents that name a
+language too rare for a reference, and those under ``min_words`` words, are not
+judged by distance, nor is any document if there is no reference; a text without a
+common word is judged like any other; repeated rows are judged alike; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, durable, let, words_of
 
-# Frequent words of four languages, in lower case.
-COMMON_WORDS = {
-    "de": ["der", "die", "und", "den", "von", "zu"],
-    "en": ["the", "of", "and", "to", "in", "a"],
-    "es": ["de", "la", "que", "el", "en", "y"],
-    "fr": ["de", "la", "le", "et", "les", "un"],
-}
-WORD_LIST = sorted({w for ws in COMMON_WORDS.values() for w in ws})
+#: Common words of a language, and the share of all words that a language needs to have a reference.
+N_COMMON, _SHARE = 16, 256
+#: The ASCII marks, which are cut off both ends of a word before it is counted.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: Patterns of character classes; lower-case ASCII letters are what remains.
 CLASSES = {"blank": SPACE, "upper": "[A-Z]", "digit": "[0-9]", "mark": r"[!-/:-@\[-`{-~]", "wide": r"[^\x00-\x7F]"}
+_REFERENCES = "array<struct<words: array<string>, word: array<double>, char: array<double>>>"
 
 
 def by_words(w: Column) -> Column:
@@ -78,23 +85,41 @@ def repeated_words(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(let(positions(w), covered)))
 
 
-def _occurrences(words: Column, word: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == word)).cast("long")
+def plain(word: Column) -> Column:
+    """The form in which common words are counted."""
+    return F.btrim(F.lower(word), F.lit(MARKS))
+
 
+def common_words(docs: DataFrame) -> list[tuple[str, int, list[tuple[str, int]]]]:
+    """(lang, number of its words, its common words with their counts) of each language that has a reference."""
+    words = docs.where("lang is not null").select("lang", F.explode(words_of(F.col("text"))).alias("word"))
+    counts = durable(words.groupBy("lang", plain(F.col("word")).alias("word")).agg(F.count("*").alias("n")))
+    sums = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    all_words = sums.agg(F.sum("total")).first()[0] or 0
+    known = {r.lang: r.total for r in sums.where(F.col("total") * _SHARE >= all_words).collect()}
+    # The limit by rank is applied in each task before the shuffle by language.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = counts.where(F.col("lang").isin(*known) & (F.col("word") != "")).withColumn("rank", rank).where(F.col("rank") <= N_COMMON).collect() if known else []
+    ranked = sorted(top, key=lambda r: r["rank"])
+    return [(lang, known[lang], [(r.word, r.n) for r in ranked if r.lang == lang]) for lang in sorted(known)]
 
-def measures(text: Column) -> Column:
-    """A struct of the base counts and both histograms."""
+
+def measures(text: Column, common: list[str]) -> Column:
+    """A struct of the base counts, the counts of character classes, and those of the ``common`` words it has."""
     text = F.coalesce(text, F.lit(""))
     ink = lambda x: x.rlike(f"[^{SPACE[1:]}")
     lines = F.filter(F.split(text, "\n", -1), ink)
 
+    def counted(found: Column) -> Column:
+        entry = lambda x: F.struct(x.alias("word"), F.size(F.filter(found, lambda y: y == x)).cast("long").alias("n"))
+        return F.map_from_entries(F.transform(F.array_distinct(found), entry))
+
     def of(w: Column) -> Column:
-        common = F.filter(w, lambda x: x.isin(WORD_LIST))
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             repeated_words(w).alias("n_repeat_words"),
-            let(common, lambda c: F.array(*[_occurrences(c, k) for k in WORD_LIST])).alias("common"),
+            let(F.filter(F.transform(w, plain), lambda x: x.isin(common)), counted).alias("common"),
         )
 
     return F.struct(
@@ -106,9 +131,16 @@ def measures(text: Column) -> Column:
     )
 
 
+def _total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def _shares(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    return let(total, lambda t: F.when(t > 0, F.transform(counts, lambda x: x / t)))
+    return let(_total(counts), lambda t: F.when(t > 0, F.transform(counts, lambda x: x / t)))
+
+
+def _with_rest(counts: Column, total: Column) -> Column:
+    return let(counts, lambda c: F.concat(c, F.array(total - _total(c))))
 
 
 def _distance(shares: Column, reference: Column) -> Column:
@@ -127,23 +159,29 @@ def quality(docs: DataFrame, max_distance: float = 0.3, min_words: int = 100, id
 
     ``distance`` is null where it isn't judged.
     """
-    m = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), measures(F.col(text_col)).alias("m"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    languages = common_words(docs)
+    listed = sorted({word for _, _, words in languages for word, _ in words})
+    m = docs.select("doc_id", "lang", measures(F.col("text"), listed).alias("m"))
     m = m.select("doc_id", "lang", "m.w.*", "m.n_symbols", "m.n_dup_lines", "m.n_chars", "m.chars")
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
     blank = F.col("n_chars") - F.col("word_chars")
-    m = m.withColumn("char", F.concat("chars", F.array(blank, F.col("word_chars") - total(F.col("chars")))))
-    m = durable(m.withColumn("n_common", total(F.col("common"))).withColumn("word", F.concat("common", F.array(F.col("n_words") - F.col("n_common")))).drop("chars", "common"))
-    sizes = {"char": len(CLASSES) + 1, "word": len(WORD_LIST) + 1}
-    sums = m.where("lang is not null").groupBy("lang").agg(*[F.sum(F.get(k, F.lit(i))).alias(f"{k}{i}") for k, n in sizes.items() for i in range(n)])
+    m = durable(m.withColumn("char", _with_rest(F.concat("chars", F.array(blank)), F.col("n_chars"))).drop("chars"))
+    known = F.col("lang").isin([lang for lang, _, _ in languages])
+    sums = m.where(known).groupBy("lang").agg(F.array(*[F.sum(F.get("char", F.lit(i))) for i in range(len(CLASSES) + 1)]).alias("char"))
+    chars = {r.lang: r.char for r in sums.collect()}
     references = []
-    for r in sums.orderBy("lang").collect():  # one row of a few numbers for each language
-        counts = {k: [r[f"{k}{i}"] for i in range(n)] for k, n in sizes.items()}
-        if all(sum(c) for c in counts.values()):
-            references.append(F.struct(*[F.lit([x / sum(c) for x in c]).alias(k) for k, c in counts.items()]))
-    m = m.withColumns({f"{k}_share": _shares(F.col(k)) for k in sizes})
-    distance = lambda r: F.greatest(*[_distance(F.col(f"{k}_share"), r[k]) for k in sizes])
-    nearest = F.array_min(F.transform(F.array(*references), distance)) if references else F.lit(None).cast("double")
-    judged = F.col("n_words") >= min_words
+    for lang, total, words in languages:
+        counts = [n for _, n in words]
+        shares = [n / total for n in [*counts, total - sum(counts)]]
+        references.append({"words": [word for word, _ in words], "word": shares, "char": [n / sum(chars[lang]) for n in chars[lang]]})
+
+    def distance(r: Column) -> Column:
+        had = F.transform(r["words"], lambda x: F.coalesce(F.try_element_at("common", x), F.lit(0).cast("long")))
+        return F.greatest(_distance(_shares(_with_rest(had, F.col("n_words"))), r["word"]), _distance(F.col("char_share"), r["char"]))
+
+    m = m.withColumn("char_share", _shares(F.col("char")))
+    nearest = F.array_min(F.transform(F.from_json(F.lit(json.dumps(references)), _REFERENCES), distance))
+    judged = (F.col("n_words") >= min_words) & (F.col("lang").isNull() | known)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = m.withColumn("base_failed", failed).withColumn("distance", F.when(judged, nearest))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= max_distance, F.lit(True))
