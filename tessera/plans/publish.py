@@ -37,8 +37,10 @@ def locked(folder: str):
     with open(os.path.join(folder, LOCK), "a") as f:
         try:
             fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
-        except OSError:
+        except BlockingIOError:
             raise PublicationError("another build holds the publication lock") from None
+        except OSError as e:
+            raise PublicationError(f"the publication lock can't be taken: {e.strerror}") from None
         yield
 
 
