@@ -31,7 +31,7 @@ from ..schema import CONTENT, EXTRACTORS, FILES, SCHEMA_VERSION, SOURCE_LIMITS
 from ..sources.config import policy_digest
 from ..sources.extract import Missing, extracted, probe
 from ..sources.listing import listing, read_listed
-from ..sources.walk import Changed, WalkError, corpus_id
+from ..sources.walk import Changed, WalkError, corpus_marker
 from . import publish
 from .sqlguard import message
 from .search import INDEXES, Tables, write_indexes
@@ -192,9 +192,11 @@ def build(spark: SparkSession, config: dict, keep_unpublished: bool = False) ->
     if not os.path.isdir(folder):
         raise BuildError("publish_dir does not exist")
     with publish.locked(folder):
-        corpus, digest = corpus_id(config), policy_digest(config)
-        want = publish.desired_binding(config, digest, corpus)
+        marker, digest = corpus_marker(config), policy_digest(config)
+        want = publish.desired_binding(config, digest, marker[0])
         action = publish.decide(folder, want)
+        if action == "advance" and (faults := publish.faults(spark, publish.current(folder))):
+            raise publish.PublicationError(f"a higher generation needs an undamaged baseline: {faults[0]}")
         cache = previous(spark, folder, want, config)
         before = publish.current(folder)
         previous_count = (publish.read_meta(before)["file_count"], publish.read_meta(before)["policy_digest"]) if before else None
@@ -213,7 +215,7 @@ def build(spark: SparkSession, config: dict, keep_unpublished: bool = False) ->
                     raise e if isinstance(e, (BuildError, WalkError)) else BuildError(text) from e
         else:
             raise BuildError("the tree kept changing")
-        if corpus_id(config) != corpus:
+        if corpus_marker(config) != marker:
             shutil.rmtree(snapshot)
             raise BuildError("the corpus marker changed")
         if not keep_unpublished:

@@ -13,12 +13,14 @@ import json
 import os
 import re
 import shutil
+import stat
 import uuid
 from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
+from ..schema import SCHEMA_VERSION
 from ..sources.config import canonical_generation
 
 BINDING, CURRENT, LOCK, MANIFEST = "binding.json", "CURRENT", "lock", "manifest.json"
@@ -185,6 +187,15 @@ def faults(spark: SparkSession, snapshot: str) -> list[str]:
     return out
 
 
+def check_permissions(snapshot: str, states: list[dict]) -> None:
+    """The published ``meta.json`` must be a file of its own with the mode and group of one of ``states``."""
+    found = os.lstat(os.path.join(snapshot, "meta.json"))
+    if not stat.S_ISREG(found.st_mode) or found.st_nlink != 1:
+        raise PublicationError("the published snapshot is no longer made of its own files")
+    if not any(stat.S_IMODE(found.st_mode) == int(b["publish_mode"], 8) and b["publish_gid"] in (None, found.st_gid) for b in states):
+        raise PublicationError("the permissions of the published snapshot were changed")
+
+
 def decide(folder: str, want: dict) -> str:
     """``create``, ``adopt``, ``current``, ``advance`` or ``transition``; or an error.
 
@@ -208,17 +219,20 @@ def decide(folder: str, want: dict) -> str:
     if have["transition_from"] is not None:
         if not same:
             raise PublicationError("finish the pending transition first, as it was begun")
+        if snapshot := current(folder):
+            check_permissions(snapshot, [have, have["transition_from"]])
         return "transition"
     if new == old:
         if not same:
             raise PublicationError("rules or permissions changed without increasing access_policy_generation")
-        if (snapshot := current(folder)) and os.stat(os.path.join(snapshot, "meta.json")).st_mode & 0o777 != int(have["publish_mode"], 8):
-            raise PublicationError("the permissions of the published snapshot were changed")
+        if snapshot := current(folder):
+            check_permissions(snapshot, [have])
         return "current"
     if (snapshot := current(folder)) is None:
         raise PublicationError("a higher generation needs the published snapshot as its baseline")
+    check_permissions(snapshot, [have])
     meta = read_meta(snapshot)
-    if any(meta.get(k) != have[k] for k in ("corpus_uuid", "access_policy_id", "access_policy_generation", "policy_digest")):
+    if meta.get("schema_version") != SCHEMA_VERSION or any(meta.get(k) != have[k] for k in ("corpus_uuid", "access_policy_id", "access_policy_generation", "policy_digest")):
         raise PublicationError("the published snapshot does not match the binding")
     return "advance"
 

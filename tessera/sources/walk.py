@@ -211,23 +211,29 @@ class CorpusSource(DataSource):
 
 def corpus_id(config: dict, create: bool = False) -> str:
     """The UUID in the corpus marker; ``create`` makes one where there is none."""
-    path = os.path.join(config["corpus_root"], config["corpus_id_file"])
     if create:
+        path = os.path.join(config["corpus_root"], config["corpus_id_file"])
         fd = os.open(path, os.O_WRONLY | os.O_CREAT | os.O_EXCL | os.O_NOFOLLOW, 0o600)
         with os.fdopen(fd, "w") as f:
             f.write(f"{uuid.uuid4()}\n")
             f.flush()
             os.fsync(f.fileno())
+    return corpus_marker(config)[0]
+
+
+def corpus_marker(config: dict) -> tuple[str, tuple[int, ...]]:
+    """The UUID in the corpus marker, and what tells whether the file was written or replaced since."""
     try:
-        fd = os.open(path, os.O_RDONLY | os.O_NOFOLLOW)
+        fd = os.open(os.path.join(config["corpus_root"], config["corpus_id_file"]), os.O_RDONLY | os.O_NOFOLLOW)
     except OSError as e:
         raise WalkError(f"no corpus marker: {e}") from None
     with os.fdopen(fd, "rb") as f:
         text = f.read(100).decode("ascii", "replace").strip()
+        s = os.fstat(f.fileno())
     try:
         known = str(uuid.UUID(text))
     except ValueError:
         known = ""
     if known != text:
         raise WalkError("the corpus marker is not a UUID")
-    return text
+    return text, (s.st_dev, s.st_ino, s.st_mode, s.st_size, s.st_mtime_ns, s.st_ctime_ns)

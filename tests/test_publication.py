@@ -45,6 +45,13 @@ def test_a_transition_that_was_broken_off_is_resumed(spark, setup, monkeypatch):
     first, replace = B.build(spark, C.validate(base)), publish.replace_file
     higher = base | {"access_policy_generation": "2", "prune_dirs": ["b"]}
 
+    held = next(p for p in (out / os.path.basename(first) / "files").iterdir() if p.suffix == ".parquet")
+    data = held.read_bytes()
+    held.write_bytes(data + b"x")
+    with pytest.raises(publish.PublicationError, match="undamaged baseline"):
+        B.build(spark, C.validate(higher))
+    held.write_bytes(data)
+
     def broken(path, *rest):
         if os.path.basename(path) == publish.CURRENT:
             raise OSError(errno.EIO, "the disk is gone")
@@ -68,6 +75,80 @@ def test_a_transition_that_was_broken_off_is_resumed(spark, setup, monkeypatch):
     assert [h["relpath"] for h in Index(spark, str(out)).search("needle")] == ["a/needle-one.txt"]
 
 
+def test_a_marker_that_was_replaced_meanwhile(spark, setup, monkeypatch):
+    root, out, base = setup
+    config, write = C.validate(base), publish.write_manifest
+
+    def touched(spark, snapshot):
+        write(spark, snapshot)
+        path = root / config["corpus_id_file"]
+        text = path.read_text()
+        path.unlink()
+        path.write_text(text)
+
+    monkeypatch.setattr(publish, "write_manifest", touched)
+    with pytest.raises(B.BuildError, match="marker changed"):
+        B.build(spark, config)
+    assert publish.current(str(out)) is None and not [n for n in os.listdir(out) if n.startswith("snapshot-")]
+
+
+@pytest.fixture
+def bound(tmp_path):
+    """A publication folder of generation 2, made by hand, and its binding."""
+    binding = {"version": 1, "corpus_uuid": "12345678-1234-4234-8234-123456789abc", "access_policy_id": "p", "access_policy_generation": "2", "policy_digest": "a" * 64, "publish_mode": "0640", "publish_gid": os.getgid(), "transition_from": None}
+    snapshot = tmp_path / ("snapshot-" + "0" * 32)
+    snapshot.mkdir()
+    meta = snapshot / "meta.json"
+    meta.write_text(json.dumps({"schema_version": publish.SCHEMA_VERSION} | {k: binding[k] for k in ("corpus_uuid", "access_policy_id", "access_policy_generation", "policy_digest")}))
+    meta.chmod(0o640)
+    (tmp_path / publish.CURRENT).write_text(snapshot.name)
+    (tmp_path / publish.BINDING).write_text(json.dumps(binding))
+    return tmp_path, meta, binding
+
+
+def test_permissions_that_drifted(bound):
+    folder, meta, binding = bound
+    higher = binding | {"access_policy_generation": "3"}
+
+    def both(text):
+        for want in (binding, higher):
+            with pytest.raises(publish.PublicationError, match=text):
+                publish.decide(str(folder), want)
+
+    assert (publish.decide(str(folder), binding), publish.decide(str(folder), higher)) == ("current", "advance")
+    meta.chmod(0o644)
+    both("permissions")
+    meta.chmod(0o640)
+    os.link(meta, folder / "other")
+    both("its own files")
+    (folder / "other").unlink()
+    (folder / publish.BINDING).write_text(json.dumps(binding | {"publish_gid": os.getgid() + 1}))
+    with pytest.raises(publish.PublicationError, match="permissions"):
+        publish.decide(str(folder), binding | {"publish_gid": os.getgid() + 1})
+
+
+def test_either_side_of_a_transition_may_be_published(bound):
+    folder, meta, binding = bound
+    before = {k: binding[k] for k in ("policy_digest", "publish_mode", "publish_gid")} | {"access_policy_generation": "1"}
+    (folder / publish.BINDING).write_text(json.dumps(binding | {"publish_mode": "0600", "transition_from": before}))
+    want = binding | {"publish_mode": "0600"}
+    for mode in (0o640, 0o600):
+        meta.chmod(mode)
+        assert publish.decide(str(folder), want) == "transition"
+    meta.chmod(0o644)
+    with pytest.raises(publish.PublicationError, match="permissions"):
+        publish.decide(str(folder), want)
+
+
+def test_a_baseline_must_be_that_of_the_binding(bound):
+    folder, meta, binding = bound
+    good = json.loads(meta.read_text())
+    for change in ({"schema_version": 1}, {"policy_digest": "b" * 64}, {"access_policy_generation": "1"}):
+        meta.write_text(json.dumps(good | change))
+        with pytest.raises(publish.PublicationError, match="does not match the binding"):
+            publish.decide(str(folder), binding | {"access_policy_generation": "3"})
+
+
 def test_one_build_at_a_time(tmp_path, monkeypatch):
     with publish.locked(str(tmp_path)):
         with pytest.raises(publish.PublicationError, match="another build"), publish.locked(str(tmp_path)):
