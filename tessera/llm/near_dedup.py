@@ -11,15 +11,22 @@ values all of them meet, and where many do the next ones have more in common.
     confirmed on full sets, and components found.
 2.  A region (the classes of a tree with one base prefix) of ``_FAR`` + 1 or fewer
     is compared completely: sorted neighbours of different components.
-3.  A larger region with more than one component is compared completely too, without
-    the pairs inside its most frequent component: that one's members and the others
-    are dealt into tiles of about ``_TILE``, and every two tiles that hold an open pair
-    meet in a task, which compares signatures, then full sets, and returns only
-    links that join components.
+3.  A larger region with more than one component, of which up to ``_TILE`` classes lie
+    outside its most frequent one, is compared completely too, without the pairs inside
+    that component: its members and the others are dealt into tiles of about
+    ``_TILE``, and every two tiles that hold an open pair meet in a task, which compares
+    signatures, then full sets, and returns only links that join components.
+4.  A region with more classes outside goes deeper (``deeper``): what its classes have
+    in common tells nothing, so they are parted by their rarest shingles.  The
+    parts are regions of their own, for which steps 2 and 3 are repeated, unless
+    their squares are more than the complete comparison costs.
 
 So a linked group of any size costs about one link a member and tree, and o members
-of other components among n in a region cost o * n comparisons and move
-o * n / ``_TILE`` sets: the square of a region in which nothing is linked.
+of other components among n in a region cost o * n comparisons, o being at most
+``_TILE``.  A deeper part is as large as a shingle is frequent that is among the rarest
+ninth to fifth of a set: classes of one family, alike in up to about three quarters
+and linked with nothing, have none in common there.  Where even the rarest shingles are
+frequent (slots of a template filled from few words), the square of a region remains.
 
 With trees of base depth 2, a pair of similarity s shares no tree's prefix with
 probability (1 - s**2)**trees: 6e-7 at 0.8 with 14 trees; all other pairs are
@@ -36,6 +43,7 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +60,8 @@ _MUL = K.mix(np.arange(1, _HASHES + 1, dtype=_U)) | _U(1)
 _NEAR, _FAR = 4, 64
 #: Rows and shingles of a tile, about.
 _TILE, _TILE_SIZE = 1024, 2 << 20
+#: Sizes of sets in one band differ by this factor at most.
+_BAND = 1.04
 
 
 def shingle_sets(column: pa.Array, size: int):
@@ -186,7 +196,7 @@ def neighbours(rows: DataFrame, agree: int, reach: int, best_only: bool) -> Data
             batch.column("comp").to_numpy(),
         )
 
-    def run(batches):
+    def slide(batches, edges):
         held = None
         for batch in batches:
             if not batch.num_rows:
@@ -194,32 +204,23 @@ def neighbours(rows: DataFrame, agree: int, reach: int, best_only: bool) -> Data
             now = unpack(batch)
             if held is not None:
                 now = tuple(np.concatenate([a, b]) for a, b in zip(held, now, strict=True))
-            else:
-                edge = tuple(x[:reach] for x in now)
-                yield _border(edge)
+            elif edges:
+                yield _border(tuple(x[:reach] for x in now))
             a, b, s = pairs(*now)
             a, b, s = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b, s))
             if len(a):
                 yield _pairs(a, b, s)
             held = tuple(x[-reach:] for x in now)
-        if held is not None:
+        if held is not None and edges:
             yield _border(held)
 
     schema = "a long, b long, same long, tree int, key binary, mark binary, comp long"
-    found = durable(rows.mapInArrow(releasing(run), schema))
+    found = durable(rows.mapInArrow(releasing(lambda batches: slide(batches, True)), schema))
     border = found.where("tree is not null").select("tree", "key", F.col("a").alias("node"), "mark", "comp").distinct()
 
-    def across(batches):
-        table = [b for b in batches if b.num_rows]
-        if table:
-            now = unpack(pa.Table.from_batches(table).combine_chunks().to_batches()[0])
-            a, b, s = (np.concatenate([np.zeros(0, np.int64), *x]) for x in pairs(*now))
-            if len(a):
-                yield _pairs(a, b, s)
-
+    # At most 2 * reach rows a range partition and its neighbours in other ones; those of a region meet in one task.
     n = partitions(rows.sparkSession)
-    # At most 2 * reach rows a range partition and its neighbours in other ones; a tree's all meet in one task.
-    met = border.repartition(n, "tree").sortWithinPartitions(*_order()).mapInArrow(releasing(across), schema)
+    met = border.repartition(n, "tree", F.substring("key", 1, 4 * BASE)).sortWithinPartitions(*_order()).mapInArrow(releasing(lambda batches: slide(batches, False)), schema)
     both = found.where("tree is null").unionByName(met)
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same").where("a <> b").groupBy("a", "b").agg(F.max("same").alias("same"))
 
@@ -360,6 +361,42 @@ def tiled(rows: DataFrame, docs: DataFrame, classes: DataFrame, size: int, perce
     return dealt.groupBy(*pair).applyInArrow(run, "a long, b long")
 
 
+def outside(rows: DataFrame) -> DataFrame:
+    """For each region (tree, base): its main component, and rows and shingles in it and outside."""
+    parts = rows.groupBy("tree", "base", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    sums = parts.groupBy("tree", "base").agg(F.max(F.struct("n", "comp", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    return sums.select("tree", "base", F.col("top.comp").alias("main"), F.col("top.n").alias("n_main"), (F.col("n") - F.col("top.n")).alias("n_other"), F.col("top.size").alias("size_main"), (F.col("size") - F.col("top.size")).alias("size_other"))
+
+
+def deeper(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (tree, base, node, comp, n_shingles): the classes of ``crowd`` by their rarest shingles.
+
+    Two sets that overlap in o or more shingles have one in common among the first
+    size - o + 1 of each, in any order of all shingles; here the rarest come first.
+    What o must be depends on both sizes, so sets meet by bands of sizes: ``tree`` stands
+    for a pair of bands, and ``base`` for a shingle.
+    """
+    shingles = sets.select("node", F.explode("set").alias("shingle"))
+    often = durable(shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"))
+    # Shingles of one class alone are the rarest: only their number counts.
+    shared = attach_by_group(shingles, often, "shingle", "n").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("shared"))
+    n = F.col("n_shingles")
+    least, most = F.ceil(n * percent / 100), F.floor(n * 100 / percent)
+
+    def band(size):
+        return F.floor(F.log(size) / math.log(_BAND)).cast("int")
+
+    def with_partner(other):
+        smallest = F.greatest(F.ceil(F.pow(F.lit(_BAND), other) - 1e-6), least)
+        prefix = n - F.ceil((n + smallest) * percent / (100 + percent)) + 1
+        return F.struct(other.alias("band"), (prefix - n + F.size("shared")).cast("int").alias("first"))
+
+    partners = F.filter(F.transform(F.sequence(band(least), band(most)), with_partner), lambda x: x["first"] > 0)
+    rows = shared.join(crowd, "node").select("node", "comp", "n_shingles", "shared", band(n).alias("band"), F.explode(partners).alias("x"))
+    rows = rows.select("node", "comp", "n_shingles", (F.least("band", "x.band") * 2048 + F.greatest("band", "x.band")).alias("tree"), F.explode(F.slice("shared", 1, F.col("x.first"))).alias("y"))
+    return rows.select("tree", F.unhex(F.lpad(F.hex("y.shingle"), 16, "0")).alias("base"), "node", "comp", "n_shingles")
+
+
 def near_dedup(docs: DataFrame, size: int = 4, percent: int = 80, agree: int = 153, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): linked are pairs with a Jaccard similarity of ``percent`` or more.
 
@@ -395,11 +432,25 @@ def near_dedup(docs: DataFrame, size: int = 4, percent: int = 80, agree: int = 1
     split = small(regions.where("least <> most").select("tree", "base"))
     rows = trees(durable(labelled(links))).withColumn("base", F.substring("key", 1, 4 * BASE)).join(split, ["tree", "base"], "left_semi")
     rows = durable(rows.join(classes.select("node", "n_shingles"), "node").select("tree", "base", "node", "mark", "comp", "n_shingles"))
-    parts = rows.groupBy("tree", "base", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
-    sums = parts.groupBy("tree", "base").agg(F.max(F.struct("n", "comp", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
-    sums = sums.select("tree", "base", F.col("top.comp").alias("main"), F.col("top.n").alias("n_main"), (F.col("n") - F.col("top.n")).alias("n_other"), F.col("top.size").alias("size_main"), (F.col("size") - F.col("top.size")).alias("size_other"))
-    open_ = rows.join(small(sums.where("n_other > 0")), ["tree", "base"])
-    links = links.unionByName(durable(tiled(open_, docs, classes, size, percent, agree)))
+    sums = durable(outside(rows).where("n_other > 0"))
+    few = rows.join(small(sums.where(F.col("n_other") <= _TILE)), ["tree", "base"])
+    links = links.unionByName(durable(tiled(few, docs, classes, size, percent, agree)))
+
+    wide = small(sums.where(F.col("n_other") > _TILE))
+    cost = wide.agg(F.sum(F.col("n_other").cast("double") * (F.col("n_main") + F.col("n_other")))).first()[0]
+    if cost:
+        crowd = durable(rows.join(wide.select("tree", "base"), ["tree", "base"], "left_semi").select("node", "comp", "n_shingles").distinct())
+        parts = durable(deeper(crowd, full_sets(docs, classes.join(crowd, "node", "left_semi"), size), percent))
+        counts = durable(parts.groupBy("tree", "base").agg(F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("tree", "base", "n"))
+        if (counts.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0) < cost:
+            rows = durable(attach_by_group(parts, counts, ["tree", "base"], "n").join(classes.select("node", "mark"), "node"))
+            near = rows.where(F.col("n") <= _FAR + 1).withColumn("key", F.concat("base", F.lit(bytes(4 * (DEPTH - BASE)))))
+            links = links.unionByName(links_of(neighbours(forest(near), agree, _FAR, False).select("a", "b")))
+            large = durable(rows.where(F.col("n") > _FAR + 1))
+            pairs = large.join(small(outside(large)), ["tree", "base"])
+        else:
+            pairs = rows.join(wide, ["tree", "base"])
+        links = links.unionByName(durable(tiled(pairs, docs, classes, size, percent, agree)))
 
     known = components(links).withColumnRenamed("component", "comp")
     labels = durable(classes.join(known, "node", "left").select("set_id", "n", "doc_id", F.coalesce("comp", "node").alias("comp")))

@@ -269,6 +269,31 @@ def test_near_dedup_in_a_dense_family(spark, monkeypatch):
     assert got == {i: int(np.flatnonzero(linked[i]).min()) for i in range(len(texts))}
 
 
+def test_near_dedup_of_crowded_clusters(spark, monkeypatch):
+    """Texts of one template whose rarest shingles are shared within clusters: parts of a region that are compared by tiles."""
+    rng, texts = random.Random(3), []
+    for c in range(25):
+        for _ in range(12):
+            chosen = sorted(rng.sample(range(12), 8))
+            texts.append([f"t{i}" for i in range(100)] + [f"c{c}.{k}.{i}" for k in chosen for i in range(9)])
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in texts]
+    label = list(range(len(texts)))
+    for _ in range(12):
+        for a, b in itertools.combinations(range(len(texts)), 2):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                label[a] = label[b] = min(label[a], label[b])
+    assert 100 < len(set(label)) < len(texts)
+    tiles = []
+    whole = near_dedup.tiled
+    monkeypatch.setattr(near_dedup, "tiled", lambda rows, *more: tiles.append(rows.select("tree").distinct().count()) or whole(rows, *more))
+    monkeypatch.setattr(near_dedup, "_TILE", 50)
+    monkeypatch.setattr(near_dedup, "_FAR", 4)
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(rows).collect()}
+    assert got == dict(enumerate(label))
+    assert len(tiles) == 2 and tiles[1]
+
+
 def test_url_filter(spark):
     link = '<link rel="canonical" href="{}">'
     pages = [
