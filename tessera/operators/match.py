@@ -268,7 +268,8 @@ def counts(post: DataFrame, node: Node, key: str = "relpath") -> DataFrame:
     exact = [w for w, prefix in wanted if not prefix]
     read = [F.col("term").isin(exact)] * bool(exact) + [of_term(w, True) for w, prefix in wanted if prefix]
     places = F.array(*[F.struct(F.lit(k).alias("phrase"), F.lit(i).alias("place"), of_term(w, p.prefix and i == len(p.words) - 1).alias("here")) for k, p in enumerate(phrases) for i, w in enumerate(p.words)])
-    hits = post.where(reduce(lambda a, b: a | b, read)).select(key, "n_tokens", "col", "pos", F.explode(F.filter(places, lambda x: x["here"])).alias("x"))
+    # Dealt by document once, which serves all aggregations.
+    hits = post.where(reduce(lambda a, b: a | b, read)).repartition(key).select(key, "n_tokens", "col", "pos", F.explode(F.filter(places, lambda x: x["here"])).alias("x"))
     phrase, begin = F.col("x.phrase"), F.col("pos") - F.col("x.place")
     begins = hits.groupBy(key, phrase.alias("phrase"), "col", begin.alias("begin")).agg(F.countDistinct("x.place").alias("n"), F.first("n_tokens").alias("n_tokens"))
     whole = F.lit(False)

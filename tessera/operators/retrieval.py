@@ -12,6 +12,9 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ from ..functions.text import let, tokenize, tokens
 K1, B, LEAST_IDF, RRF_K = 1.2, 0.75, 1e-6, 60
 #: More candidates than this in one source are an error, never cut.
 MAX_CANDIDATES = 10_000
+#: When postings are written, a task sorts at a time documents of this many tokens, and at most this many documents more.
+RUN, STEP = 2_000_000, 512
 
 
 class QueryError(ValueError):
@@ -82,6 +87,72 @@ def exploded(found: DataFrame, n_columns: int, key: str = "relpath") -> DataFram
     return reduce(DataFrame.unionByName, [found.select(key, F.lit(i).alias("col"), F.posexplode(f"t{i}").alias("pos", "term"), "n_tokens") for i in range(n_columns)])
 
 
+def grouped(found: DataFrame, n_columns: int, key: str = "relpath") -> DataFrame:
+    """(key, n_tokens, term, p0, p1, ...): one row per term of a document of ``tokenised``, with its positions in each column.
+
+    Documents stay in their tasks, so nothing is shuffled; each task puts its rows in
+    the order of (term, key), in runs of ``RUN`` tokens, so its memory is bounded.
+    """
+
+    def arrange(batches: list[pa.RecordBatch]):
+        docs = pa.Table.from_batches(batches).combine_chunks()
+        lists = [docs.column(f"t{i}").combine_chunks() for i in range(n_columns)]
+        sizes = [pc.list_value_length(x).to_numpy() for x in lists]
+        pos = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in sizes]).astype(np.int32)
+        col = np.repeat(np.arange(n_columns), [n.sum() for n in sizes])
+        doc = np.concatenate([np.repeat(np.arange(len(docs)), n) for n in sizes])
+        terms = pa.chunked_array([x.flatten() for x in lists]).combine_chunks().dictionary_encode()
+        code = terms.indices.to_numpy()
+
+        def place(values) -> np.ndarray:
+            out = np.empty(len(values), np.int64)
+            out[pc.sort_indices(values).to_numpy()] = np.arange(len(values))
+            return out
+
+        group = place(terms.dictionary)[code] * len(docs) + place(docs.column(key))[doc]
+        # Equal ones stay in the order of columns and positions.
+        order = np.argsort(group, kind="stable")
+        begins = np.diff(group[order], prepend=-1) != 0
+        first, number = np.flatnonzero(begins), np.cumsum(begins) - 1
+        at = []
+        for i in range(n_columns):
+            of = col[order] == i
+            ends = np.cumsum(np.bincount(number[of], minlength=len(first)))
+            at.append(pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pos[order][of]))
+        rows = docs.select([key, "n_tokens"]).take(doc[order][first])
+        out = [rows.column(key), rows.column("n_tokens"), terms.dictionary.take(terms.indices.take(order[first])), *at]
+        yield from pa.table(out, [key, "n_tokens", "term", *[f"p{i}" for i in range(n_columns)]]).to_batches(1 << 16)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, STEP):
+                held.append(batch.slice(i, STEP))
+                size += pc.sum(held[-1].column("n_tokens")).as_py()
+                if size >= RUN:
+                    yield from arrange(held)
+                    held, size = [], 0
+        if size:
+            yield from arrange(held)
+
+    kind = dict(found.dtypes)[key]
+    return found.mapInArrow(run, f"`{key}` {kind}, n_tokens long, term string, " + ", ".join(f"p{i} array<int>" for i in range(n_columns)))
+
+
+def ungrouped(rows: DataFrame, n_columns: int, key: str = "relpath") -> DataFrame:
+    """(key, col, pos, term, n_tokens): one row per token, as ``exploded`` makes them, from rows of ``grouped``."""
+
+    def of(i: int) -> Column:
+        return F.transform(f"p{i}", lambda p: F.struct(F.lit(i).alias("col"), p.alias("pos")))
+
+    return rows.select(key, F.explode(F.concat(*map(of, range(n_columns)))).alias("x"), "term", "n_tokens").select(key, "x.col", "x.pos", "term", "n_tokens")
+
+
+def occurrences(n_columns: int) -> Column:
+    """Tokens that a row of ``grouped`` stands for."""
+    return reduce(lambda a, b: a + b, [F.size(f"p{i}") for i in range(n_columns)]).cast("long")
+
+
 def postings(docs: DataFrame, columns: list[str], key: str = "relpath") -> DataFrame:
     """(key, col, pos, term): one row per token."""
     parts = [docs.select(key, F.lit(i).alias("col"), F.posexplode(tokens(F.col(c))).alias("pos", "term")) for i, c in enumerate(columns)]
@@ -93,9 +164,9 @@ def lengths(docs: DataFrame, columns: list[str], key: str = "relpath") -> DataFr
     return docs.select(key, reduce(lambda a, b: a + b, [F.size(tokens(F.col(c))) for c in columns]).cast("long").alias("n_tokens"))
 
 
-def term_stats(post: DataFrame, key: str = "relpath") -> DataFrame:
-    """(term, n_docs, n_total); documents are counted after a partial aggregation by (term, key)."""
-    return post.groupBy("term", key).count().groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("count").alias("n_total"))
+def term_stats(rows: DataFrame, n_columns: int) -> DataFrame:
+    """(term, n_docs, n_total) from rows of ``grouped``, each of which is one document of its term."""
+    return rows.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum(occurrences(n_columns)).alias("n_total"))
 
 
 def lookup(post: DataFrame, sizes: DataFrame | None, query: list[list[str]], key: str = "relpath") -> DataFrame:
@@ -108,7 +179,8 @@ def lookup(post: DataFrame, sizes: DataFrame | None, query: list[list[str]], key
     wanted = sorted({t for p in query for t in p})
     places = F.explode(F.array(*[F.struct(F.lit(k).alias("phrase"), F.lit(i).alias("place"), F.lit(t).alias("word")) for k, p in enumerate(query) for i, t in enumerate(p)]))
     post = post if sizes is None else post.withColumn("n_tokens", F.lit(0).cast("long"))
-    hits = post.where(F.col("term").isin(wanted)).select(key, "n_tokens", "col", "pos", "term", places.alias("x")).where("term = x.word")
+    # Dealt by document once, which serves both aggregations.
+    hits = post.where(F.col("term").isin(wanted)).repartition(key).select(key, "n_tokens", "col", "pos", "term", places.alias("x")).where("term = x.word")
     begins = hits.groupBy(key, F.col("x.phrase").alias("phrase"), "col", (F.col("pos") - F.col("x.place")).alias("begin")).agg(F.count("*").alias("n"), F.first("n_tokens").alias("n_tokens"))
     size = F.create_map(*[F.lit(v) for k, p in enumerate(query) for v in (k, len(p))])
     full = begins.where(F.col("n") == F.element_at(size, F.col("phrase")))

@@ -32,10 +32,12 @@ def _rounded(df: DataFrame, digits: int = 9) -> DataFrame:
 
 
 def index_build(spark, sf_dir):
-    """Writes the tables and their indexes anew, which the searches below use; rows of each."""
+    """Writes the tables and their indexes anew, which the searches below use; rows of each, of postings one a token."""
     tables = corpus_view.written(spark, sf_dir, again=True)
-    names = ["files", "content", *(f"{i}_{k}" for i in search.INDEXES for k in ("postings", "lengths"))]
-    return reduce(DataFrame.unionByName, [tables.table(n).select(F.lit(n).alias("name")).groupBy("name").agg(F.count("*").alias("n_rows")) for n in names])
+    names = ["files", "content", *(f"{i}_lengths" for i in search.INDEXES)]
+    rows = [tables.table(n).select(F.lit(n).alias("name"), F.lit(1).alias("n")) for n in names]
+    rows += [tables.rows(i).select(F.lit(f"{i}_postings").alias("name"), R.occurrences(len(columns)).alias("n")) for i, (_, columns) in search.INDEXES.items()]
+    return reduce(DataFrame.unionByName, [r.groupBy("name").agg(F.sum("n").alias("n_rows")) for r in rows])
 
 
 def search_rrf(spark, sf_dir):

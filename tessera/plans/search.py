@@ -2,8 +2,10 @@
 
 An index holds, below the folder of its tables and for each of ``INDEXES``:
 
-* ``postings``: one row a token with its document's length, clustered by term, in
-  segments; a rebuild adds a segment of what changed and keeps the older ones;
+* ``postings``: one row a term of a document with its positions and the document's
+  length, in segments; each file holds whole documents, in runs sorted by term, so a
+  term's pages are found by their bounds and nothing is shuffled to write them; a
+  rebuild adds a segment of what changed and keeps the older ones;
 * ``gone``: which documents' postings up to a segment no longer count;
 * ``terms``: every term's documents and occurrences, ``stats``: those of the index;
 * ``lengths``: tokens of every document, which a rebuild needs and no query reads.
@@ -40,8 +42,9 @@ def hit_limit(n: int) -> int:
     return n
 
 
-def _clustered(postings: DataFrame) -> DataFrame:
-    return postings.repartitionByRange("term", "relpath").sortWithinPartitions("term", "relpath", "col", "pos")
+def _write_postings(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def _without(df: DataFrame, paths: DataFrame, n: int) -> DataFrame:
@@ -59,9 +62,9 @@ def write_indexes(spark: SparkSession, path: str, previous: str | None = None) -
 def _write_whole(spark: SparkSession, path: str, index: str) -> None:
     table, columns = INDEXES[index]
     found = stored(R.tokenised(spark.read.parquet(f"{path}/{table}"), columns))
-    _clustered(R.exploded(found, len(columns))).write.parquet(f"{path}/{index}_postings/segment=0")
+    rows = _write_postings(R.grouped(found, len(columns)), f"{path}/{index}_postings/segment=0")
     found.select("relpath", "n_tokens").write.parquet(f"{path}/{index}_lengths")
-    _finish(spark, path, index, R.term_stats(spark.read.parquet(f"{path}/{index}_postings")), None)
+    _finish(spark, path, index, R.term_stats(rows, len(columns)), None)
 
 
 def _finish(spark: SparkSession, path: str, index: str, terms: DataFrame, gone: DataFrame | None) -> None:
@@ -86,10 +89,10 @@ def _write_segment(spark: SparkSession, path: str, old: Tables, index: str) -> b
     some = spark.read.parquet(f"{path}/{table}").join(F.broadcast(fresh) if n_fresh <= _BROADCAST else fresh, "relpath", "left_semi")
     found = stored(R.tokenised(some, columns))
     _without(old.table(f"{index}_lengths"), dead, n_dead).unionByName(found.select("relpath", "n_tokens")).write.parquet(f"{path}/{index}_lengths")
-    added, live = R.exploded(found, len(columns)), old.postings(index)
+    added, live = R.grouped(found, len(columns)), old.rows(index)
     if len(segments) >= MOST_SEGMENTS or stats.n_gone + n_dead + n_fresh > MOST_CHANGED * stats.n_rows:
-        _clustered(_without(live, dead, n_dead).unionByName(added)).write.parquet(f"{path}/{index}_postings/segment=0")
-        _finish(spark, path, index, R.term_stats(spark.read.parquet(f"{path}/{index}_postings")), None)
+        whole = _without(live, dead, n_dead).unionByName(added).repartition("relpath").sortWithinPartitions("term", "relpath")
+        _finish(spark, path, index, R.term_stats(_write_postings(whole, f"{path}/{index}_postings/segment=0"), len(columns)), None)
         return True
     for s in segments:
         os.makedirs(to := f"{path}/{index}_postings/{os.path.basename(s)}")
@@ -97,10 +100,10 @@ def _write_segment(spark: SparkSession, path: str, old: Tables, index: str) -> b
             if f.endswith(".parquet"):
                 os.link(f"{s}/{f}", f"{to}/{f}")
     last = int(segments[-1].rpartition("=")[2])
-    _clustered(added).write.parquet(f"{path}/{index}_postings/segment={last + 1}")
+    added = _write_postings(added, f"{path}/{index}_postings/segment={last + 1}")
     gone = old.table(f"{index}_gone").unionByName(dead.withColumn("upto", F.lit(last))).groupBy("relpath").agg(F.max("upto").alias("upto"))
-    lost = R.term_stats(live.join(F.broadcast(dead) if n_dead <= _BROADCAST else dead, "relpath", "left_semi"))
-    change = R.term_stats(added).unionByName(lost.select("term", (-F.col("n_docs")).alias("n_docs"), (-F.col("n_total")).alias("n_total")))
+    lost = R.term_stats(live.join(F.broadcast(dead) if n_dead <= _BROADCAST else dead, "relpath", "left_semi"), len(columns))
+    change = R.term_stats(added, len(columns)).unionByName(lost.select("term", (-F.col("n_docs")).alias("n_docs"), (-F.col("n_total")).alias("n_total")))
     terms = old.table(f"{index}_terms").unionByName(change).groupBy("term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_total").alias("n_total")).where("n_docs > 0")
     _finish(spark, path, index, terms, gone)
     return True
@@ -122,13 +125,17 @@ class Tables:
             self._stats[index] = self.table(f"{index}_stats").first()
         return self._stats[index]
 
-    def postings(self, index: str) -> DataFrame:
-        """(relpath, col, pos, term, n_tokens) of the postings that count."""
+    def rows(self, index: str) -> DataFrame:
+        """(relpath, n_tokens, term, p0, ...) of the postings that count, as they are written."""
         post, n = self.table(f"{index}_postings"), self.stats(index).n_gone
         if n:
             gone = self.table(f"{index}_gone").withColumnRenamed("relpath", "lost")
             post = post.join(F.broadcast(gone) if n <= _BROADCAST else gone, (F.col("relpath") == F.col("lost")) & (F.col("segment") <= F.col("upto")), "left_anti")
-        return post.select("relpath", "col", "pos", "term", "n_tokens")
+        return post.select("relpath", "n_tokens", "term", *[f"p{i}" for i in range(len(INDEXES[index][1]))])
+
+    def postings(self, index: str) -> DataFrame:
+        """(relpath, col, pos, term, n_tokens) of the postings that count, one row a token."""
+        return R.ungrouped(self.rows(index), len(INDEXES[index][1]))
 
     def found(self, index: str, query: list[list[str]]) -> DataFrame:
         """(relpath, n_tokens, f0, ...): only the query's terms are read."""
@@ -149,7 +156,7 @@ class Tables:
         node = M.parse(text, INDEXES[index][1])
         if node is None:
             return self.table("files").select("relpath", F.lit(0.0).alias("score")).limit(0)
-        counts, stats, n = M.counts(self.postings(index), node), self.stats(index), sum(1 for _ in node.phrases())
+        counts, stats, n = stored(M.counts(self.postings(index), node)), self.stats(index), sum(1 for _ in node.phrases())
         hits = counts.agg(*[F.count(F.when(F.col(f"d{k}") > 0, 1)) for k in range(n)]).first()
         found = counts.where(M.condition(node)[0]).select("relpath", "n_tokens", *[c.alias(f"f{k}") for k, c in enumerate(M.counted(node))])
         return found.select("relpath", R.bm25(R.Stats(stats.n_rows, stats.n_tokens, tuple(hits)), n).alias("score"))

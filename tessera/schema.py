@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 
 # Content states.
 STATUSES = ["extracted", "empty_pdf", "unsupported_format", "metadata_only", "too_big", "error", "no_text_type"]

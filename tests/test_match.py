@@ -124,3 +124,25 @@ def test_full_text_in_statements(spark, tmp_path):
     for wrong in ("SELECT bm25(content_fts) FROM content_fts", "SELECT bm25(content_fts, 2.0) FROM content_fts WHERE content_fts MATCH 'x'", "SELECT snippet(content_fts, 7, '', '', '', 5) FROM content_fts WHERE content_fts MATCH 'x'", "SELECT * FROM content_fts WHERE content_fts MATCH 'x AND'"):
         with pytest.raises(R.QueryError):
             I.with_full_text(tables, wrong)
+
+
+def test_postings_are_written_without_dealing_tokens(spark, tmp_path, monkeypatch):
+    """A row a term of a document, whatever the number of runs; the plan that writes them has no exchange."""
+    docs = spark.createDataFrame([*DOCS, ("empty.txt", ""), ("none.txt", None)], "name string, text string").withColumn("relpath", F.col("name"))
+    found = R.tokenised(docs, COLUMNS).coalesce(1)
+    want = sorted(map(tuple, R.exploded(found, 2).collect()))
+    for tokens in (1, 10**6):
+        monkeypatch.setattr(R, "RUN", tokens)
+        monkeypatch.setattr(R, "STEP", tokens)
+        rows = R.grouped(found, 2)
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, R.ungrouped(rows, 2).collect())) == want
+        got = [(r.term.encode(), r.relpath.encode()) for r in rows.collect()]
+        assert len(set(got)) == len(got) and (got == sorted(got)) == (tokens > 1)
+        assert all(r.p0 == sorted(r.p0) and r.p1 == sorted(r.p1) for r in rows.collect())
+    assert {r.term: (r.n_docs, r.n_total) for r in R.term_stats(rows, 2).collect()} == {
+        t: (len({r[0] for r in want if r[3] == t}), sum(r[3] == t for r in want)) for t in {r[3] for r in want}
+    }
+    tables = snapshot(spark, f"{tmp_path}/0", DOCS)
+    plan = M.counts(tables.postings("content"), M.parse("NEAR(the of, 2)", ["text"]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
