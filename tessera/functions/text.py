@@ -124,9 +124,11 @@ def token_spans(text: str) -> list[tuple[str, int, int]]:
 
 def collapse_blanks(text: Column) -> Column:
     """Runs of (Python's) white space become one space, none at the ends."""
-    # A single space, the usual case, stays as it is and isn't matched.
-    one = _BLANK[:-1]
-    return F.trim(F.regexp_replace(text, f"(?:[{one[1:-1]}&&[^ ]]| (?={one})){one}*", " "))
+    # A single space, the usual case, stays as it is and isn't matched.  A character is tried
+    # once, and what is wider than a byte is behind a test of its bounds.
+    narrow, wide = _BLANK[1:-2].split("\u1680")
+    one = rf"[{narrow}[\x{{1680}}-\x{{3000}}&&[\x{{1680}}{wide}]]]"
+    return F.trim(F.regexp_replace(text, f"{one}(?:(?<! )|(?={one})){one}*", " "))
 
 
 def nfc(text: Column) -> Column:
