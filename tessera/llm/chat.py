@@ -56,9 +56,8 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
     # Within a struct, null equals null in joins.
     base = messages.select(F.struct("tree").alias("tree"), "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = base.select("tree", F.col("id").alias("parent"), F.lit(True).alias("there"))
-    nodes = base.join(known, ["tree", "parent"], "left").select("tree", "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), "score")
-    leaves = nodes.join(nodes.select("tree", F.col("up").alias("id")).where("id is not null").distinct(), ["tree", "id"], "left_anti").select("tree", "id")
-    nodes = durable(nodes)
+    nodes = durable(base.join(known, ["tree", "parent"], "left").select("tree", "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), "score"))
+    leaves = nodes.join(nodes.select("tree", F.col("up").alias("id")).where("id is not null"), ["tree", "id"], "left_anti").select("tree", "id")
     jumps, waiting = [], nodes.where("up is not null").count()
     while waiting:
         jumps.append(nodes.select("tree", "id", "up").where("up is not null"))
@@ -74,10 +73,12 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
         waiting = still
     ends = leaves.join(nodes.where("up is null"), ["tree", "id"])
     best = ends.withColumn("place", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "id"))).where(F.col("place") <= keep)
-    walk = best.select("tree", F.col("id").alias("branch"), "id")
-    for j in jumps:
-        walk = durable(walk.unionByName(walk.join(j, ["tree", "id"]).select("tree", "branch", F.col("up").alias("id"))))
-    return walk.join(nodes.select("tree", "id", "depth"), ["tree", "id"]).select("tree.tree", "branch", "id", "depth")
+    walk = durable(best.select("tree", F.col("id").alias("branch"), "id", "depth"))
+    for k, j in enumerate(jumps):
+        # All ancestors of this jump are 2**k above.
+        above = walk.join(j, ["tree", "id"]).select("tree", "branch", F.col("up").alias("id"), (F.col("depth") - (1 << k)).alias("depth"))
+        walk = durable(walk.unionByName(above))
+    return walk.select("tree.tree", "branch", "id", "depth")
 
 
 def format_branches(messages: DataFrame, keep: int = 1, trained: str = "assistant") -> DataFrame:
@@ -87,6 +88,8 @@ def format_branches(messages: DataFrame, keep: int = 1, trained: str = "assistan
     as escaped, of role ``trained``.
     """
     empty = F.lit("")
+    # Written once: what numbers the messages would otherwise be part of each plan, and plans take the driver's memory.
+    messages = durable(messages.select("tree", "id", "parent", "role", "text", "score"))
     path = branches(messages, keep).withColumn("tree", F.struct("tree"))
     turns = path.join(messages.select(F.struct("tree").alias("tree"), "id", "role", "text"), ["tree", "id"]).select(
         "tree",

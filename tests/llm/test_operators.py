@@ -572,3 +572,12 @@ def test_releasing_keeps_every_batch():
     made = common.releasing(lambda batches: (2 * x for x in batches))
     assert list(made(iter([1, 2, 3]))) == [2, 4, 6]
     assert list(made(iter([]))) == []
+
+
+def test_chat_plans_stay_small(spark):
+    """Plans take the driver's memory: the last one reads written messages and doesn't number them again."""
+    rows = spark.createDataFrame([(1, k, "user", f"t{k}") for k in range(5)], "conv_id long, turn long, role string, text string")
+    out = chat.format_branches(chat.from_turns(rows))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join") == 1
+    assert [t.text for t in out.select(chat.read_back(F.col("formatted")).alias("t")).first().t] == [f"t{k}" for k in range(5)]
