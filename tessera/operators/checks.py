@@ -17,8 +17,11 @@ def reuse(manifest: DataFrame, files: DataFrame, content: DataFrame) -> DataFram
     """
     old = files.where(F.col("content_status").isin(REUSABLE) & F.col("source_hash").isNotNull()).join(content.select("relpath", "text", "extractor", "source_sig"), "relpath", "left")
     broken = F.coalesce(F.col("source_sig") != F.col("source_hash"), F.lit(False)) | ((F.col("content_present") == 1) != F.col("source_sig").isNotNull())
-    old = old.select("relpath", "source_hash", F.col("content_status").alias("old_status"), "text", "extractor", broken.alias("broken"))
-    return manifest.join(old, ["relpath", "source_hash"], "left").withColumn("hit", F.col("old_status").isNotNull())
+    old = old.select(F.col("relpath").alias("old_path"), F.col("source_hash").alias("old_hash"), F.col("content_status").alias("old_status"), "text", "extractor", broken.alias("broken"))
+    # The hash is no key of the join but a condition: texts, dealt by path above, need not be dealt again.
+    same = F.when(F.col("source_hash") == F.col("old_hash"), True).otherwise(False)
+    joined = manifest.join(old, (F.col("relpath") == F.col("old_path")) & same, "left").drop("old_path", "old_hash")
+    return joined.withColumn("hit", F.col("old_status").isNotNull())
 
 
 def manifest_diff(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import checks
 from tessera.operators import retrieval as R
+from tessera.plans import corpus_view
 from tessera.operators.snippet import snippet_of
 
 DOCS = [("a/x.txt", "the red fox. The red hen ran; foo-bar"), ("b/y.txt", "foo bar foo-bar red"), ("c/red.txt", "hen and fox"), ("d/z.txt", ""), ("e/w.md", "the " * 30 + "red hen: sat. " + "the end " * 20)]
@@ -62,3 +63,27 @@ def test_reuse_and_diff(spark):
     assert got == {"a": (True, False), "b": (False, None), "c": (True, True), "d": (True, False), "e": (False, None)}
     diff = {(r.relpath, r.change) for r in checks.manifest_diff(files, now.where("relpath <> 'a'").withColumn("source_hash", F.when(F.col("relpath") == "c", "new").otherwise(F.col("source_hash"))), ["source_hash"]).collect()}
     assert diff == {("a", "removed"), ("c", "changed"), ("e", "added")}
+
+
+def test_reuse_deals_texts_once(spark):
+    """Texts are dealt by path; the hash doesn't make them be dealt again."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        files = spark.createDataFrame([("a", "h1", "extracted", 1), ("b", "h2", "extracted", 1)], "relpath string, source_hash string, content_status string, content_present int")
+        content = spark.createDataFrame([("a", "one", "text", "h1"), ("b", "two", "text", "h2")], "relpath string, text string, extractor string, source_sig string")
+        now = spark.createDataFrame([("a", "h1"), ("b", "new"), ("c", "h1"), ("d", None)], "relpath string, source_hash string")
+        out = checks.reuse(now, files, content)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+        assert sorted((r.relpath, r.hit, r.text) for r in out.collect()) == [("a", True, "one"), ("b", False, None), ("c", False, None), ("d", False, None)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_reading_files_collapses_no_text_for_hashes(spark):
+    """Each text is looked at once: hashes don't wait for it to be collapsed, nor do unread files."""
+    docs = spark.createDataFrame([(1, " a  b ", "en", "src0"), (2, "x", "en", "src1"), (6, " ", "en", "src0")], "doc_id long, text string, lang string, source string")
+    read = corpus_view.read_files(docs)
+    assert "regexp_replace" not in read.select("relpath", "source_hash")._jdf.queryExecution().optimizedPlan().toString()
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert {r.relpath: r.body for r in read.collect()} == {"src0/2016/en-000001.md": "a b", "src1/2017/en-000002.csv": None, "src0/2021/en-000006.pdf": None}
