@@ -87,3 +87,11 @@ def test_reading_files_collapses_no_text_for_hashes(spark):
     assert "regexp_replace" not in read.select("relpath", "source_hash")._jdf.queryExecution().optimizedPlan().toString()
     assert read._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
     assert {r.relpath: r.body for r in read.collect()} == {"src0/2016/en-000001.md": "a b", "src1/2017/en-000002.csv": None, "src0/2021/en-000006.pdf": None}
+
+
+def test_lookup_deals_hits_once(spark):
+    """By document, which serves the count of beginnings and that of phrases."""
+    docs = spark.createDataFrame(DOCS, "relpath string, text string")
+    found = R.lookup(R.exploded(R.tokenised(docs, ["text"]), 1), None, R.phrases("red foo-bar"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r.relpath: (r.n_tokens, r.f0, r.f1) for r in found.collect() if r.f0 and r.f1} == {"a/x.txt": (9, 2, 1), "b/y.txt": (5, 1, 2)}
