@@ -7,7 +7,9 @@ import functools
 import sqlite3
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,6 +93,39 @@ def tokens(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), plain).otherwise(wide)
 
 
+def code_table(tables: tuple[str, str, list[tuple[int, int]]]) -> np.ndarray:
+    """What each code point becomes in a token, by ``fold_tables``: 0 parts tokens, -1 vanishes."""
+    source, target, ranges = tables
+    out = np.zeros(0x110000, np.int32)
+    for a, b in ranges:
+        out[a : b + 1] = np.arange(a, b + 1)
+    points = np.frombuffer(source.encode("utf-32-le"), "<u4")
+    out[points[: len(target)]] = np.frombuffer(target.encode("utf-32-le"), "<u4")
+    out[points[len(target) :]] = -1
+    return out
+
+
+def find_tokens(texts: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """As ``tokens`` for a batch of texts: how many each has, and all in order."""
+    # Texts are told apart by line ends, which are in no token; bytes that are no UTF-8 part tokens too.
+    whole = [b"" if t is None else t for t in texts.cast(pa.binary()).to_pylist()]
+    whole = [t.decode("utf-8", "replace") for t in whole]
+    code = codes[np.frombuffer("".join(f"{t}\n" for t in whole).encode("utf-32-le"), "<u4")]
+    ends = np.cumsum([len(t) + 1 for t in whole])
+    if (code < 0).any():
+        left = code >= 0
+        ends, code = np.cumsum(left)[ends - 1], code[left]
+    inside = code > 0
+    edges = np.flatnonzero(np.diff(inside, prepend=False))
+    n = np.diff(np.searchsorted(edges[::2], ends), prepend=0)
+    chars = code[inside].astype("<u4")
+    data = chars.tobytes().decode("utf-32-le").encode()
+    at = np.concatenate([[0], np.cumsum(edges[1::2] - edges[::2])])
+    if len(data) > len(chars):
+        at = np.concatenate([[0], np.cumsum(1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000))])[at]
+    return n, pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data))
+
+
 def tokenize(text: str) -> list[str]:
     """``tokens`` on the driver, for query terms."""
     return [t for t, _, _ in token_spans(text)]

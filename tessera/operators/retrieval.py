@@ -18,14 +18,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let, tokenize, tokens
+from ..functions.text import code_table, find_tokens, fold_tables, let, tokenize, tokens
 
 # Fixed values of the scoring.
 K1, B, LEAST_IDF, RRF_K = 1.2, 0.75, 1e-6, 60
 #: More candidates than this in one source are an error, never cut.
 MAX_CANDIDATES = 10_000
-#: When postings are written, a task sorts at a time documents of this many tokens, and at most this many documents more.
-RUN, STEP = 2_000_000, 512
+#: When postings are written, a task sorts at a time documents of this many tokens, and at most this many documents or bytes more.
+RUN, STEP, STEP_BYTES = 2_000_000, 512, 1 << 22
 
 
 class QueryError(ValueError):
@@ -87,56 +87,93 @@ def exploded(found: DataFrame, n_columns: int, key: str = "relpath") -> DataFram
     return reduce(DataFrame.unionByName, [found.select(key, F.lit(i).alias("col"), F.posexplode(f"t{i}").alias("pos", "term"), "n_tokens") for i in range(n_columns)])
 
 
-def grouped(found: DataFrame, n_columns: int, key: str = "relpath") -> DataFrame:
-    """(key, n_tokens, term, p0, p1, ...): one row per term of a document of ``tokenised``, with its positions in each column.
+def _arranged(keys: pa.Array, found: list[tuple[np.ndarray, pa.Array]], key: str) -> pa.Table:
+    """Rows of ``grouped`` of some documents, in the order of (term, key), from the number of tokens of each and the tokens, for each column."""
+    total = sum(n for n, _ in found)
+    doc = np.concatenate([np.repeat(np.arange(len(keys), dtype=np.int32), n) for n, _ in found])
+    pos = np.concatenate([(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32) for n, _ in found])
+    col = np.repeat(np.arange(len(found), dtype=np.int8), [n.sum() for n, _ in found])
+    terms = pa.chunked_array([t for _, t in found]).combine_chunks().dictionary_encode()
+    code = terms.indices.to_numpy()
+
+    def place(values) -> np.ndarray:
+        out = np.empty(len(values), np.int64)
+        out[pc.sort_indices(values).to_numpy()] = np.arange(len(values))
+        return out
+
+    group = place(terms.dictionary)[code] * len(keys) + place(keys)[doc]
+    # Equal ones stay in the order of columns and positions.
+    order = np.argsort(group, kind="stable")
+    begins = np.diff(group[order], prepend=-1) != 0
+    first, number = np.flatnonzero(begins), np.cumsum(begins) - 1
+    at = []
+    for i in range(len(found)):
+        of = col[order] == i
+        ends = np.cumsum(np.bincount(number[of], minlength=len(first)))
+        at.append(pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pos[order][of]))
+    of = doc[order][first]
+    out = [keys.take(pa.array(of)), pa.array(total[of], pa.int64()), terms.dictionary.take(terms.indices.take(pa.array(order[first]))), *at]
+    return pa.table(out, [key, "n_tokens", "term", *[f"p{i}" for i in range(len(found))]])
+
+
+def _in_runs(docs: DataFrame, n_columns: int, key: str, reader, lengths: bool) -> DataFrame:
+    """Rows of ``grouped`` from what ``reader()`` finds in a batch; with ``lengths``, first a row without term for each document of a run.
 
     Documents stay in their tasks, so nothing is shuffled; each task puts its rows in
     the order of (term, key), in runs of ``RUN`` tokens, so its memory is bounded.
     """
+    names = [key, "n_tokens", "term", *[f"p{i}" for i in range(n_columns)]]
 
-    def arrange(batches: list[pa.RecordBatch]):
-        docs = pa.Table.from_batches(batches).combine_chunks()
-        lists = [docs.column(f"t{i}").combine_chunks() for i in range(n_columns)]
-        sizes = [pc.list_value_length(x).to_numpy() for x in lists]
-        pos = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in sizes]).astype(np.int32)
-        col = np.repeat(np.arange(n_columns), [n.sum() for n in sizes])
-        doc = np.concatenate([np.repeat(np.arange(len(docs)), n) for n in sizes])
-        terms = pa.chunked_array([x.flatten() for x in lists]).combine_chunks().dictionary_encode()
-        code = terms.indices.to_numpy()
-
-        def place(values) -> np.ndarray:
-            out = np.empty(len(values), np.int64)
-            out[pc.sort_indices(values).to_numpy()] = np.arange(len(values))
-            return out
-
-        group = place(terms.dictionary)[code] * len(docs) + place(docs.column(key))[doc]
-        # Equal ones stay in the order of columns and positions.
-        order = np.argsort(group, kind="stable")
-        begins = np.diff(group[order], prepend=-1) != 0
-        first, number = np.flatnonzero(begins), np.cumsum(begins) - 1
-        at = []
-        for i in range(n_columns):
-            of = col[order] == i
-            ends = np.cumsum(np.bincount(number[of], minlength=len(first)))
-            at.append(pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pos[order][of]))
-        rows = docs.select([key, "n_tokens"]).take(doc[order][first])
-        out = [rows.column(key), rows.column("n_tokens"), terms.dictionary.take(terms.indices.take(order[first])), *at]
-        yield from pa.table(out, [key, "n_tokens", "term", *[f"p{i}" for i in range(n_columns)]]).to_batches(1 << 16)
+    def arrange(held):
+        keys = pa.chunked_array([k for k, _ in held]).combine_chunks()
+        found = [(np.concatenate([f[i][0] for _, f in held]), pa.chunked_array([f[i][1] for _, f in held]).combine_chunks()) for i in range(n_columns)]
+        if lengths:
+            none = pa.ListArray.from_arrays(pa.array(np.zeros(len(keys) + 1, np.int32)), pa.array([], pa.int32()))
+            yield from pa.table([keys, pa.array(sum(n for n, _ in found), pa.int64()), pa.nulls(len(keys), pa.string()), *[none] * n_columns], names).to_batches(1 << 16)
+        yield from _arranged(keys, found, key).to_batches(1 << 16)
 
     def run(batches):
-        held, size = [], 0
+        find, held, size = reader(), [], 0
         for batch in batches:
-            for i in range(0, batch.num_rows, STEP):
-                held.append(batch.slice(i, STEP))
-                size += pc.sum(held[-1].column("n_tokens")).as_py()
+            # In parts of STEP documents, or less if they are large.
+            ends = np.arange(batch.num_rows) // STEP + np.cumsum(sum(_weights(batch.column(i)) for i in range(1, batch.num_columns))) // STEP_BYTES
+            cuts = [0, *np.flatnonzero(np.diff(ends)) + 1, batch.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(i, j - i)
+                held.append((part.column(0), [find(part.column(k)) for k in range(1, n_columns + 1)]))
+                size += len(part) + sum(len(t) for _, t in held[-1][1])
                 if size >= RUN:
                     yield from arrange(held)
                     held, size = [], 0
-        if size:
+        if held:
             yield from arrange(held)
+        pa.default_memory_pool().release_unused()
+
+    kind = dict(docs.dtypes)[key]
+    return docs.mapInArrow(run, f"`{key}` {kind}, n_tokens long, term string, " + ", ".join(f"p{i} array<int>" for i in range(n_columns)))
+
+
+def _weights(column: pa.Array) -> np.ndarray:
+    """Bytes of texts, or tokens of lists."""
+    sizes = pc.list_value_length(column) if pa.types.is_nested(column.type) else pc.binary_length(column)
+    return pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def grouped(found: DataFrame, n_columns: int, key: str = "relpath") -> DataFrame:
+    """(key, n_tokens, term, p0, p1, ...): one row per term of a document of ``tokenised``, with its positions in each column."""
+    listed = lambda x: (pc.list_value_length(x).to_numpy(), x.flatten())
+    return _in_runs(found.select(key, *[f"t{i}" for i in range(n_columns)]), n_columns, key, lambda: listed, False)
+
 
-    kind = dict(found.dtypes)[key]
-    return found.mapInArrow(run, f"`{key}` {kind}, n_tokens long, term string, " + ", ".join(f"p{i} array<int>" for i in range(n_columns)))
+def indexed(docs: DataFrame, columns: list[str], key: str = "relpath") -> DataFrame:
+    """``grouped`` straight from texts, and a row without term for each document, which has its length: tokens are stored nowhere else."""
+    tables = fold_tables()
+
+    def reader():
+        codes = code_table(tables)
+        return lambda texts: find_tokens(texts, codes)
+
+    return _in_runs(docs.select(key, *columns), len(columns), key, reader, True)
 
 
 def ungrouped(rows: DataFrame, n_columns: int, key: str = "relpath") -> DataFrame:
@@ -164,6 +201,11 @@ def lengths(docs: DataFrame, columns: list[str], key: str = "relpath") -> DataFr
     return docs.select(key, reduce(lambda a, b: a + b, [F.size(tokens(F.col(c))) for c in columns]).cast("long").alias("n_tokens"))
 
 
+def sizes(rows: DataFrame, key: str = "relpath") -> DataFrame:
+    """(key, n_tokens) of every document, from rows of ``indexed``."""
+    return rows.where("term IS NULL").select(key, "n_tokens")
+
+
 def term_stats(rows: DataFrame, n_columns: int) -> DataFrame:
     """(term, n_docs, n_total) from rows of ``grouped``, each of which is one document of its term."""
     return rows.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum(occurrences(n_columns)).alias("n_total"))
@@ -188,6 +230,31 @@ def lookup(post: DataFrame, sizes: DataFrame | None, query: list[list[str]], key
     return (counts if sizes is None else counts.drop("n_tokens").join(sizes, key)).select(key, "n_tokens", *[f"f{k}" for k in range(len(query))])
 
 
+def lookup_rows(rows: DataFrame, n_columns: int, query: list[list[str]], key: str = "relpath") -> DataFrame:
+    """As ``lookup``, from rows of ``grouped``: one row a word of a document is dealt, whatever its occurrences.
+
+    Positions are dealt only of words that phrases need; a phrase begins where the
+    positions of its words, less their places, meet.
+    """
+    long = sorted({t for p in query if len(p) > 1 for t in p})
+    of = lambda t: F.col("term") == t
+    at = F.struct(*[f"p{i}" for i in range(n_columns)])
+    hits = rows.where(F.col("term").isin(sorted({t for p in query for t in p}))).select(key, "n_tokens", "term", occurrences(n_columns).alias("n"), *([F.when(F.col("term").isin(long), at).alias("at")] if long else []))
+    single = [F.coalesce(F.sum(F.when(of(p[0]), F.col("n"))), F.lit(0)).cast("long").alias(f"f{k}") for k, p in enumerate(query) if len(p) == 1]
+    per = hits.groupBy(key).agg(F.first("n_tokens").alias("n_tokens"), *single, *[F.first(F.when(of(t), F.col("at")), ignorenulls=True).alias(f"a{j}") for j, t in enumerate(long)])
+
+    def places(word: str, i: int, place: int) -> Column:
+        return F.transform(F.col(f"a{long.index(word)}")[f"p{i}"], lambda x: x - place)
+
+    def begins(phrase: list[str]) -> Column:
+        whole = [F.size(reduce(F.array_intersect, [places(t, i, place) for place, t in enumerate(phrase)])) for i in range(n_columns)]
+        there = reduce(lambda a, b: a & b, [F.col(f"a{long.index(t)}").isNotNull() for t in phrase])
+        return F.when(there, reduce(lambda a, b: a + b, whole)).otherwise(0).cast("long")
+
+    out = per.select(key, "n_tokens", *[(begins(p) if len(p) > 1 else F.col(f"f{k}")).alias(f"f{k}") for k, p in enumerate(query)])
+    return out.where(reduce(lambda a, b: a | b, [F.col(f"f{k}") > 0 for k in range(len(query))], F.lit(False)))
+
+
 def stats(scanned: DataFrame, n_phrases: int) -> Stats:
     r = scanned.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0)), *[F.count(F.when(F.col(f"f{k}") > 0, 1)) for k in range(n_phrases)]).first()
     return Stats(r[0], r[1], tuple(r[2:]))

@@ -3,7 +3,7 @@
 An index holds, below the folder of its tables and for each of ``INDEXES``:
 
 * ``postings``: one row a term of a document with its positions and the document's
-  length, in segments; each file holds whole documents, in runs sorted by term, so a
+  length, and one a document without term, in segments; each file holds whole documents, in runs sorted by term, so a
   term's pages are found by their bounds and nothing is shuffled to write them; a
   rebuild adds a segment of what changed and keeps the older ones;
 * ``gone``: which documents' postings up to a segment no longer count;
@@ -29,6 +29,8 @@ from .workspace import stored
 #: What each index is made from: a table, its columns, and what tells whether a row's tokens are still the same.
 INDEXES = {"names": ("files", ["filename_nfc", "relpath_nfc"]), "content": ("content", ["text"])}
 _SAME = {"names": "relpath_nfc", "content": "source_sig"}
+#: Rows of postings but for those that hold lengths.
+_TERM = "term IS NOT NULL"
 PARTS = ("postings", "gone", "terms", "stats", "lengths")
 #: A rebuild merges segments when there are this many, or when more than this share of the documents has changed since the last merge.
 MOST_SEGMENTS, MOST_CHANGED = 8, 0.25
@@ -61,10 +63,9 @@ def write_indexes(spark: SparkSession, path: str, previous: str | None = None) -
 
 def _write_whole(spark: SparkSession, path: str, index: str) -> None:
     table, columns = INDEXES[index]
-    found = stored(R.tokenised(spark.read.parquet(f"{path}/{table}"), columns))
-    rows = _write_postings(R.grouped(found, len(columns)), f"{path}/{index}_postings/segment=0")
-    found.select("relpath", "n_tokens").write.parquet(f"{path}/{index}_lengths")
-    _finish(spark, path, index, R.term_stats(rows, len(columns)), None)
+    rows = _write_postings(R.indexed(spark.read.parquet(f"{path}/{table}"), columns), f"{path}/{index}_postings/segment=0")
+    R.sizes(rows).write.parquet(f"{path}/{index}_lengths")
+    _finish(spark, path, index, R.term_stats(rows.where(_TERM), len(columns)), None)
 
 
 def _finish(spark: SparkSession, path: str, index: str, terms: DataFrame, gone: DataFrame | None) -> None:
@@ -87,10 +88,12 @@ def _write_segment(spark: SparkSession, path: str, old: Tables, index: str) -> b
     if not segments or n_fresh > stats.n_rows:
         return False
     some = spark.read.parquet(f"{path}/{table}").join(F.broadcast(fresh) if n_fresh <= _BROADCAST else fresh, "relpath", "left_semi")
-    found = stored(R.tokenised(some, columns))
-    _without(old.table(f"{index}_lengths"), dead, n_dead).unionByName(found.select("relpath", "n_tokens")).write.parquet(f"{path}/{index}_lengths")
-    added, live = R.grouped(found, len(columns)), old.rows(index)
-    if len(segments) >= MOST_SEGMENTS or stats.n_gone + n_dead + n_fresh > MOST_CHANGED * stats.n_rows:
+    merge, last = len(segments) >= MOST_SEGMENTS or stats.n_gone + n_dead + n_fresh > MOST_CHANGED * stats.n_rows, int(segments[-1].rpartition("=")[2])
+    added = R.indexed(some, columns)
+    added = stored(added) if merge else _write_postings(added, f"{path}/{index}_postings/segment={last + 1}")
+    _without(old.table(f"{index}_lengths"), dead, n_dead).unionByName(R.sizes(added)).write.parquet(f"{path}/{index}_lengths")
+    added, live = added.where(_TERM), old.rows(index)
+    if merge:
         whole = _without(live, dead, n_dead).unionByName(added).repartition("relpath").sortWithinPartitions("term", "relpath")
         _finish(spark, path, index, R.term_stats(_write_postings(whole, f"{path}/{index}_postings/segment=0"), len(columns)), None)
         return True
@@ -99,8 +102,6 @@ def _write_segment(spark: SparkSession, path: str, old: Tables, index: str) -> b
         for f in os.listdir(s):
             if f.endswith(".parquet"):
                 os.link(f"{s}/{f}", f"{to}/{f}")
-    last = int(segments[-1].rpartition("=")[2])
-    added = _write_postings(added, f"{path}/{index}_postings/segment={last + 1}")
     gone = old.table(f"{index}_gone").unionByName(dead.withColumn("upto", F.lit(last))).groupBy("relpath").agg(F.max("upto").alias("upto"))
     lost = R.term_stats(live.join(F.broadcast(dead) if n_dead <= _BROADCAST else dead, "relpath", "left_semi"), len(columns))
     change = R.term_stats(added, len(columns)).unionByName(lost.select("term", (-F.col("n_docs")).alias("n_docs"), (-F.col("n_total")).alias("n_total")))
@@ -127,7 +128,7 @@ class Tables:
 
     def rows(self, index: str) -> DataFrame:
         """(relpath, n_tokens, term, p0, ...) of the postings that count, as they are written."""
-        post, n = self.table(f"{index}_postings"), self.stats(index).n_gone
+        post, n = self.table(f"{index}_postings").where(_TERM), self.stats(index).n_gone
         if n:
             gone = self.table(f"{index}_gone").withColumnRenamed("relpath", "lost")
             post = post.join(F.broadcast(gone) if n <= _BROADCAST else gone, (F.col("relpath") == F.col("lost")) & (F.col("segment") <= F.col("upto")), "left_anti")
@@ -139,7 +140,7 @@ class Tables:
 
     def found(self, index: str, query: list[list[str]]) -> DataFrame:
         """(relpath, n_tokens, f0, ...): only the query's terms are read."""
-        return R.lookup(self.postings(index), None, query)
+        return R.lookup_rows(self.rows(index), len(INDEXES[index][1]), query)
 
     def scores(self, index: str, query: list[list[str]]) -> DataFrame:
         """(relpath, score) of all documents that match; the documents of single words come from the term dictionary."""

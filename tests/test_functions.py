@@ -1,6 +1,8 @@
 import fnmatch
 import sqlite3
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +89,20 @@ def test_every_code_point_is_folded_as_by_fts5(spark):
     assert [(r.id, r.t, want[r.id]) for r in got.toLocalIterator() if r.t != want[r.id]] == []
     sample = [i for i in points if i % 97 == 0 or i < 0x3100]
     assert all(text.tokenize(f"a{chr(i)}b {chr(i)}") == want[i] for i in sample)
+
+
+def test_tokens_of_batches_are_those_of_columns(spark):
+    """Every code point between letters and alone, and bytes that are no UTF-8."""
+    codes = text.code_table(text.fold_tables())
+    points = [i for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    texts = [f"a{chr(i)}b {chr(i)}" for i in points]
+    n, found = text.find_tokens(pa.array(texts), codes)
+    ends = [0, *n.cumsum().tolist()]
+    found = found.to_pylist()
+    rows = spark.createDataFrame(pd.DataFrame({"k": range(len(texts)), "x": texts})).select("k", text.tokens(F.col("x")).alias("t")).toLocalIterator()
+    assert [r.k for r in rows if r.t != found[ends[r.k] : ends[r.k + 1]]] == []
+    odd = ["", None, "a\nb", "\u0301", "e\u0301\u0301T", "A\x00b", " z"]
+    n, found = text.find_tokens(pa.array(odd)[1:], codes)
+    assert (n.tolist(), found.to_pylist()) == ([0, 2, 0, 1, 2, 1], ["a", "b", "et", "a", "b", "z"])
+    wrong = pa.StringArray.from_buffers(2, pa.array([b"a\xffb", b"c"]).buffers()[1], pa.array([b"a\xffb", b"c"]).buffers()[2])
+    assert text.find_tokens(wrong, codes)[1].to_pylist() == ["a", "b", "c"]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import checks
 from tessera.operators import retrieval as R
-from tessera.plans import corpus_view
+from tessera.plans import corpus_view, search
 from tessera.operators.snippet import snippet_of
 
 DOCS = [("a/x.txt", "the red fox. The red hen ran; foo-bar"), ("b/y.txt", "foo bar foo-bar red"), ("c/red.txt", "hen and fox"), ("d/z.txt", ""), ("e/w.md", "the " * 30 + "red hen: sat. " + "the end " * 20)]
@@ -95,3 +95,28 @@ def test_lookup_deals_hits_once(spark):
     found = R.lookup(R.exploded(R.tokenised(docs, ["text"]), 1), None, R.phrases("red foo-bar"))
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert {r.relpath: (r.n_tokens, r.f0, r.f1) for r in found.collect() if r.f0 and r.f1} == {"a/x.txt": (9, 2, 1), "b/y.txt": (5, 1, 2)}
+
+
+@pytest.mark.parametrize("terms", ["red", "the", "foo-bar red", "the-the", "red-hen fox", "x-txt the-red", "nothing red", "nothing-red", "red red-hen-sat"])
+def test_lookup_in_rows_deals_words_of_documents_not_occurrences(spark, terms):
+    docs, columns, query = spark.createDataFrame(DOCS, "relpath string, text string"), ["relpath", "text"], R.phrases(terms)
+    found = R.lookup_rows(R.indexed(docs, columns), 2, query)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
+    want = {tuple(r) for r in R.lookup(R.exploded(R.tokenised(docs, columns), 2), None, query).collect()}
+    assert {tuple(r) for r in found.collect()} == want
+
+
+def test_indexes_are_written_without_storing_tokens(spark, tmp_path, monkeypatch):
+    """Lengths and terms come from the postings; documents without a token have a length too."""
+    docs = [*DOCS, ("none.txt", None), ("signs.txt", "-- !"), ("marks.txt", "́ été \U00010400 naïve")]
+    rows = spark.createDataFrame([(p, p, p.rpartition("/")[2], t) for p, t in docs], "relpath string, relpath_nfc string, filename_nfc string, text string")
+    for name in ("files", "content"):
+        rows.write.parquet(f"{tmp_path}/{name}")
+    monkeypatch.setattr(search, "stored", None)
+    search.write_indexes(spark, str(tmp_path))
+    tables = search.Tables(spark, str(tmp_path))
+    found = R.tokenised(rows, ["text"])
+    assert sorted(map(tuple, tables.postings("content").collect())) == sorted(map(tuple, R.exploded(found, 1).collect()))
+    assert sorted(map(tuple, tables.table("content_lengths").collect())) == sorted((r.relpath, r.n_tokens) for r in found.collect())
+    assert tables.table("content_terms").where("term IS NULL OR n_docs < 1").count() == 0
